@@ -7,9 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, mixing, secrets, sentencepiece_bpe, simhash, substring_dedup, weighted_sampling
+from . import exact_dedup, importance, mixing, secrets, sentencepiece_bpe, simhash, substring_dedup, toxicity, weighted_sampling
 from .common import documents
 
+TOXIC_FROM = 0.3
+
 
 def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken", "copies")
@@ -46,6 +48,15 @@ def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan(documents(spark, sf_dir))
 
 
+def labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/labels.parquet")
+
+
+def op6_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = importance.select(documents(spark, sf_dir), labels(spark, sf_dir))
+    return kept.select("doc_id", "log_weight", "sample_key")
+
+
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.dedup_report(documents(spark, sf_dir))
 
@@ -62,12 +73,26 @@ def op9_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    model = toxicity.fit(docs, labels(spark, sf_dir))
+    return toxicity.detect(docs, model).select(
+        "doc_id",
+        toxicity.held_out(F.col("doc_id")).alias("held_out"),
+        "score",
+        (F.col("score") >= TOXIC_FROM).cast("int").alias("predicted"),
+        F.size("offending").alias("n_offending"),
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mixing": op1_mixing,
     "op2_sentencepiece": op2_sentencepiece,
     "op3_substring_dedup": op3_substring_dedup,
     "op4_simhash": op4_simhash,
     "op5_secrets": op5_secrets,
+    "op6_importance": op6_importance,
     "op7_exact_dedup": op7_exact_dedup,
     "op9_fingerprints": op9_fingerprints,
+    "op10_toxicity": op10_toxicity,
 }

@@ -11,8 +11,9 @@ compatible with it. The ids are then read backwards from the end.
 
 Compatibility is decided once per pair by merging the pair's text. A text is
 encoded in chunks, cut where no piece can reach across: before a space mark that
-follows another character (checked against the vocabulary). Chunks recur, so
-their ids are kept in a bounded table.
+follows another character, and around ASCII characters that no piece holds (both
+checked against the vocabulary). Chunks recur, so their ids are kept in a
+bounded table of two generations.
 
 Defined cases: a null text is the empty text and has no ids; characters outside
 the vocabulary become byte pieces; everything else is row by row, so repeated
@@ -35,7 +36,6 @@ from pyspark.sql import functions as F
 MARK = "▁"
 KEPT_CHUNKS = 300_000
 KEPT_PAIRS = 1_000_000
-CHUNK = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
 
 
 class Encoder:
@@ -51,9 +51,16 @@ class Encoder:
         for p in self.pieces:
             self.automaton.add_word(p, p)
         self.automaton.make_automaton()
-        self.splits = not any(MARK in p.lstrip(MARK) for p in self.pieces)
         self.fits: dict[tuple[str, str], bool] = {}
-        self.chunks: dict[str, tuple[int, ...]] = {}
+        self.recent: dict[str, tuple[int, ...]] = {}
+        self.older: dict[str, tuple[int, ...]] = {}
+        held = set().union(*self.pieces)
+        self.plain = {c for c in held if c in self.pieces}
+        alone = re.escape("".join(chr(c) for c in range(128) if chr(c) not in held))
+        if any(MARK in p.lstrip(MARK) for p in self.pieces):
+            self.cut = re.compile(f"[{alone}]|[^{alone}]+")
+        else:
+            self.cut = re.compile(f"{MARK}*[^{MARK}{alone}]+|{MARK}+|[{alone}]")
 
     def merge(self, text: str) -> list[str]:
         """The merge procedure itself, for the texts of one or two tokens."""
@@ -70,24 +77,28 @@ class Encoder:
         return parts
 
     def compatible(self, left: str, right: str) -> bool:
-        known = self.fits.get((left, right))
-        if known is None:
-            if len(self.fits) >= KEPT_PAIRS:
-                self.fits.clear()
-            known = self.fits[left, right] = self.merge(left + right) == ([left, right] if left else [right])
+        if len(self.fits) >= KEPT_PAIRS:
+            self.fits.clear()
+        known = self.fits[left, right] = self.merge(left + right) == ([left, right] if left else [right])
         return known
 
     def tokens(self, text: str) -> list[str]:
         """The pieces of ``text``, by the prefix table."""
         last: list[str | None] = [None] * (len(text) + 1)
         last[0] = ""
+        fits, known = self.fits, self.plain.issuperset(text)
         for end, piece in self.automaton.iter(text):
-            self._unmatched(last, text, end)
-            if last[end + 1] is None:
-                before = last[end + 1 - len(piece)]
-                if before is not None and self.compatible(before, piece):
-                    last[end + 1] = piece
-        self._unmatched(last, text, len(text))
+            if not known:
+                self._unmatched(last, text, end)
+            end += 1
+            if last[end] is None:
+                before = last[end - len(piece)]
+                if before is not None:
+                    fit = fits.get((before, piece))
+                    if fit or (fit is None and self.compatible(before, piece)):
+                        last[end] = piece
+        if not known:
+            self._unmatched(last, text, len(text))
         out, at = [], len(text)
         while at:
             out.append(last[at])
@@ -111,20 +122,23 @@ class Encoder:
         return tuple(self.byte[bytes([b])] for b in token.encode())
 
     def chunk(self, text: str) -> tuple[int, ...]:
-        known = self.chunks.get(text)
-        if known is None:
-            if len(self.chunks) >= KEPT_CHUNKS:
-                self.chunks.clear()
-            known = tuple(chain.from_iterable(map(self.ids, self.tokens(text))))
-            if len(text) <= 64:
-                self.chunks[text] = known
-        return known
+        """The ids of a chunk that ``recent`` does not hold."""
+        found = self.older.get(text)
+        if found is None:
+            tokens = self.tokens(text)
+            try:
+                found = tuple([self.pieces[t] for t in tokens])
+            except KeyError:
+                found = tuple(chain.from_iterable(map(self.ids, tokens)))
+        if len(text) <= 64:
+            if len(self.recent) >= KEPT_CHUNKS:
+                self.older, self.recent = self.recent, {}
+            self.recent[text] = found
+        return found
 
     def encode(self, text: str) -> list[int]:
-        marked = self.library.normalize(text)
-        parts = CHUNK.findall(marked) if self.splits else [marked] if marked else []
-        known = self.chunks.get
-        return list(chain.from_iterable([known(p) or self.chunk(p) for p in parts]))
+        known = self.recent.get
+        return list(chain.from_iterable([known(p) or self.chunk(p) for p in self.cut.findall(self.library.normalize(text))]))
 
 
 _ENCODERS: dict[bytes, Encoder] = {}
