@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, importance, mixing, secrets, sentencepiece_bpe, simhash, substring_dedup, toxicity, weighted_sampling
+from . import exact_dedup, importance, mixing, secrets, sentencepiece_bpe, simhash, substring_dedup, suffix_dedup, toxicity, weighted_sampling
 from .common import documents
 
 TOXIC_FROM = 0.3
@@ -61,6 +61,16 @@ def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.dedup_report(documents(spark, sf_dir))
 
 
+def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.remove_repeats(documents(spark, sf_dir)).select(
+        "doc_id",
+        "n_bytes",
+        "n_removed",
+        F.size("spans").cast("long").alias("n_spans"),
+        F.sha2("kept", 256).alias("kept_sha256"),
+    )
+
+
 def op9_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return weighted_sampling.with_neighbours(documents(spark, sf_dir)).select(
         "doc_id",
@@ -93,6 +103,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_secrets": op5_secrets,
     "op6_importance": op6_importance,
     "op7_exact_dedup": op7_exact_dedup,
+    "op8_suffix_dedup": op8_suffix_dedup,
     "op9_fingerprints": op9_fingerprints,
     "op10_toxicity": op10_toxicity,
 }
