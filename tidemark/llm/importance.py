@@ -108,13 +108,14 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
         .limit(labelled)
     )
     # `labelled` ids at most, and so as many texts
-    good = docs.join(F.broadcast(cut(sample)), docs[id_col] == F.col("l_id"), "left_semi")
-    target, raw = _counts(good.select(text_col)), _counts(docs.select(text_col))
+    plain = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    good = plain.join(F.broadcast(cut(sample)), F.col("doc_id") == F.col("l_id"), "left_semi").select("text")
+    target, raw = _counts(good), _counts(plain.select("text"))
     if not target.sum():
         return np.zeros(BUCKETS), 0.0
     smooth = lambda c: (c + 0.5) / (c.sum() + 0.5 * BUCKETS)
     ratio = np.log(smooth(target)) - np.log(smooth(raw))
-    weights = sorted(r.log_weight for r in weigh(good.select(text_col), ratio, text_col).select("log_weight").toLocalIterator())
+    weights = sorted(r.log_weight for r in weigh(good, ratio).select("log_weight").toLocalIterator())
     return ratio, weights[len(weights) // SPARED]
 
 

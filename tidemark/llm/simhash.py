@@ -192,4 +192,4 @@ def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     """The rows of ``docs`` whose id is the least of its group."""
     groups = near_groups(docs, id_col, text_col, width, radius)
     dropped = groups.where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("dropped_id")).distinct()
-    return docs.join(dropped, docs[id_col].eqNullSafe(F.col("dropped_id")), "left_anti")
+    return docs.join(dropped, docs[id_col].eqNullSafe(dropped["dropped_id"]), "left_anti")

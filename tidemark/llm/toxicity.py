@@ -206,7 +206,8 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
         .orderBy(F.xxhash64("l_id"), "l_id")
         .limit(labelled)
     )
-    got = docs.join(F.broadcast(sample), docs[id_col] == F.col("l_id")).select("l_id", F.col(text_col).cast("string").alias("text"), "toxic").toArrow()
+    plain = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    got = plain.join(F.broadcast(sample), F.col("doc_id") == F.col("l_id")).select("l_id", "text", "toxic").toArrow()  # at most `labelled` ids
     order = np.argsort(words.mix(got.column("l_id").to_numpy().astype(np.int64).view(np.uint64)), kind="stable")
     texts, toxic = words.as_bytes(got.column("text").combine_chunks()), got.column("toxic").to_numpy()
     rest = order[::3]
