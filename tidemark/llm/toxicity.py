@@ -36,6 +36,8 @@ PREFIXES = (3, 4, 5, 6)
 LABELLED = 6_000
 STRETCH = 64
 STEPS = 25
+#: Bytes of the sample that training works on at once.
+CHUNK = 1 << 18
 TRIM = np.zeros(256, bool)
 TRIM[[b for b in range(33, 127) if not chr(b).isalnum()]] = True
 LOWER = np.arange(256, dtype=np.uint8)
@@ -87,7 +89,7 @@ class Field:
             return np.zeros(0), np.zeros((2, 2))
         rows, width = row[-1] + 1, col.max() + 1
         score = np.zeros((width, rows))
-        score[col, row] = self.weights[features].sum(axis=1) + self.bias
+        score[col, row] = sum(self.weights[f] for f in features.T) + self.bias
         real = np.zeros((width, rows), bool)
         real[col, row] = True
         pair = self.pair
@@ -117,44 +119,71 @@ class Field:
         return p[col, row], expected
 
 
-def label_words(features: np.ndarray, text: np.ndarray, toxic: np.ndarray) -> np.ndarray:
-    """0/1 per word from document labels. A form or prefix tells if so many of its
+@dataclass
+class Chunk:
+    """Some whole documents of the sample; ``tags`` is 0/1 per word."""
+
+    features: np.ndarray
+    text: np.ndarray
+    toxic: np.ndarray
+    tags: np.ndarray
+
+
+def chunked(texts: list[bytes], toxic: np.ndarray) -> list[Chunk]:
+    """The sample in parts of about CHUNK bytes, so that working memory stays small."""
+    out = []
+    for s, e in words.slices(texts, CHUNK):
+        features, text, _, _ = featurize(texts[s:e])
+        out.append(Chunk(features, text.astype(np.int32), toxic[s:e], np.zeros(len(text))))
+    return out
+
+
+def label_words(chunks: list[Chunk]) -> None:
+    """Sets tags from document labels. A form or prefix tells if so many of its
     documents are toxic that chance would not do that to any of the candidates:
     n KL(its toxic share || the base share) > ln(candidates) + 2."""
-    docs = np.unique(text.repeat(features.shape[1]) * FEATURES + features.ravel())
-    doc, feature = docs // FEATURES, docs % FEATURES
-    n = np.bincount(feature, minlength=FEATURES)
-    bad = np.bincount(feature[toxic[doc] == 1], minlength=FEATURES)
+    n, bad = np.zeros(FEATURES, np.int64), np.zeros(FEATURES, np.int64)
+    for c in chunks:
+        found = np.unique(c.text.repeat(c.features.shape[1]).astype(np.int64) * FEATURES + c.features.ravel())
+        doc, feature = found // FEATURES, found % FEATURES
+        n += np.bincount(feature, minlength=FEATURES)
+        bad += np.bincount(feature[c.toxic[doc] == 1], minlength=FEATURES)
+    toxic = np.concatenate([c.toxic for c in chunks]) if chunks else np.zeros(0)
     base = np.clip(toxic.mean() if len(toxic) else 0.5, 1e-6, 1 - 1e-6)
     share = np.clip(bad / np.maximum(n, 1), 1e-9, 1 - 1e-9)
     surprise = n * (share * np.log(share / base) + (1 - share) * np.log((1 - share) / (1 - base)))
     telling = (share > max(0.5, base)) & (surprise > np.log(max(1, (n > 0).sum())) + 2)
-    return (telling[features].any(axis=1) & (toxic[text] == 1)).astype(np.float64)
+    for c in chunks:
+        c.tags = (telling[c.features].any(axis=1) & (c.toxic[c.text] == 1)).astype(np.float64)
 
 
-def train_field(features: np.ndarray, text: np.ndarray, tags: np.ndarray, steps: int = STEPS) -> Field:
+def train_field(chunks: list[Chunk], steps: int = STEPS) -> Field:
     """Maximum likelihood by Adagrad over all sequences, with a small L2 penalty."""
-    n = len(tags)
-    field = Field(np.zeros(FEATURES), float(np.log((tags.sum() + 0.5) / (n - tags.sum() + 0.5))) if n else -3.0, np.zeros((2, 2)))
-    if not tags.any():
+    n, marked = sum(len(c.tags) for c in chunks), sum(c.tags.sum() for c in chunks)
+    field = Field(np.zeros(FEATURES), float(np.log((marked + 0.5) / (n - marked + 0.5))) if n else -3.0, np.zeros((2, 2)))
+    if not marked:
         return field
-    row, _ = stretches(text)
-    linked = row[1:] == row[:-1]
     seen = np.zeros((2, 2))
-    np.add.at(seen, (tags[:-1][linked].astype(int), tags[1:][linked].astype(int)), 1)
-    flat, wide = features.ravel(), features.shape[1]
+    for c in chunks:
+        row, _ = stretches(c.text)
+        linked = row[1:] == row[:-1]
+        np.add.at(seen, (c.tags[:-1][linked].astype(int), c.tags[1:][linked].astype(int)), 1)
     power_w, power_p, power_b = np.full(FEATURES, 1e-8), np.full((2, 2), 1e-8), 1e-8
     for _ in range(steps):
-        p, expected = field.marginals(features, text, want_pairs=True)
-        gap = tags - p
-        grad = np.bincount(flat, np.repeat(gap, wide), FEATURES) - 0.01 * field.weights
+        grad, pair_grad, bias_grad = -0.01 * field.weights, seen - 0.01 * field.pair, 0.0
+        for c in chunks:
+            p, expected = field.marginals(c.features, c.text, want_pairs=True)
+            gap = c.tags - p
+            for column in c.features.T:
+                grad += np.bincount(column, gap, FEATURES)
+            pair_grad -= expected
+            bias_grad += gap.sum()
         power_w += grad**2
         field.weights += 0.5 * grad / np.sqrt(power_w)
-        pair_grad = seen - expected - 0.01 * field.pair
         power_p += pair_grad**2
         field.pair += 0.2 * pair_grad / np.sqrt(power_p)
-        power_b += gap.sum() ** 2
-        field.bias += 0.2 * gap.sum() / power_b**0.5
+        power_b += bias_grad**2
+        field.bias += 0.2 * bias_grad / power_b**0.5
     return field
 
 
@@ -210,13 +239,17 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     got = plain.join(F.broadcast(sample), F.col("doc_id") == F.col("l_id")).select("l_id", "text", "toxic").toArrow()  # at most `labelled` ids
     order = np.argsort(words.mix(got.column("l_id").to_numpy().astype(np.int64).view(np.uint64)), kind="stable")
     texts, toxic = words.as_bytes(got.column("text").combine_chunks()), got.column("toxic").to_numpy()
+    del got
     rest = order[::3]
     tag = np.setdiff1d(order, rest)
-    features, text, _, _ = featurize([texts[i] for i in tag])
-    field = train_field(features, text, label_words(features, text, toxic[tag]))
-    features, text, _, _ = featurize([texts[i] for i in rest])
-    x = aggregates(field.marginals(features, text)[0], text, len(rest))
-    return Model(field, fit_logistic(x, toxic[rest].astype(float)) if len(rest) else np.array([-2.0, 0.0, 0.0]))
+    chunks = chunked([texts[i] for i in tag], toxic[tag])
+    label_words(chunks)
+    field = train_field(chunks)
+    del chunks
+    x = [np.zeros((0, 3))]
+    for c in chunked([texts[i] for i in rest], toxic[rest]):
+        x.append(aggregates(field.marginals(c.features, c.text)[0], c.text, len(c.toxic)))
+    return Model(field, fit_logistic(np.concatenate(x), toxic[rest].astype(float)) if len(rest) else np.array([-2.0, 0.0, 0.0]))
 
 
 def detect(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
