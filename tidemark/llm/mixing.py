@@ -31,6 +31,13 @@ from .common import WORD, cut
 
 BUCKETS = 4096
 TILT = 64
+#: Rows up to which a table of sources (and length classes) is broadcast; beyond it Spark joins as it sees fit.
+SMALL = 100_000
+
+
+def small(df: DataFrame) -> DataFrame:
+    """``df``, which has been cut, marked for broadcast if it is short."""
+    return F.broadcast(df) if df.count() <= SMALL else df
 
 
 def n_words(text: Column) -> Column:
@@ -114,8 +121,8 @@ def _with_copies(rows: DataFrame, seed: int, max_copies: int) -> DataFrame:
     q = quota.select(F.col("source").alias("q_source"), "source_size", "target")
     placed = (
         _ranked(rows, expected, seed)
-        .join(ends, F.col("m_source").eqNullSafe(F.col("e_source")), "left")
-        .join(q, F.col("m_source").eqNullSafe(F.col("q_source")))
+        .join(small(ends), F.col("m_source").eqNullSafe(F.col("e_source")), "left")
+        .join(small(q), F.col("m_source").eqNullSafe(F.col("q_source")))
         .drop("e_source", "q_source")
     )
     at_end = F.col("odds").isNotNull() & F.col("bucket").eqNullSafe(F.col("end_bucket"))
@@ -130,7 +137,7 @@ def _with_copies(rows: DataFrame, seed: int, max_copies: int) -> DataFrame:
 
 def _ranked(rows: DataFrame, expected: DataFrame, seed: int) -> DataFrame:
     """Adds whole, p, odds (null where nothing is left to draw) and bucket."""
-    classes = expected.select(F.col("source").alias("c_source"), F.col("length_class").alias("c_class"), "whole", "p")
+    classes = small(expected.select(F.col("source").alias("c_source"), F.col("length_class").alias("c_class"), "whole", "p"))
     u = draw(F.col("m_id"), seed)
     same_class = (F.length(F.bin("m_size")).cast("int") == F.col("c_class")) & (F.col("m_size") > 0)
     return (
