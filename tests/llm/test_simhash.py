@@ -90,3 +90,72 @@ def test_empty_table_and_extra_columns(make_docs):
     kept = simhash.keep_one_of_each(docs)
     assert kept.columns == docs.columns
     assert sorted(r.doc_id for r in kept.collect()) == [1, 3]
+
+
+def five(text):
+    words = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
+    return {" ".join(words[i : i + 5]) for i in range(len(words) - 4)} or {" ".join(words)}
+
+
+def likeness(a, b):
+    return len(a & b) / len(a | b)
+
+
+def brute_keep(rows):
+    """Ids kept: least of each group of fingerprints, then of each group of similar texts."""
+    fps = {i: brute_fingerprint(t) for i, t in rows}
+    texts = dict(rows)
+    reps = sorted({c for _, _, c in brute_groups(list(fps.items()))})
+    sets = {i: five(texts[i]) for i in reps}
+    label = {i: i for i in reps}
+    pairs = [(a, b) for a in reps for b in reps if a < b and (fps[a] ^ fps[b]).bit_count() <= simhash.WIDE and likeness(sets[a], sets[b]) >= 0.8]
+    changed = True
+    while changed:
+        changed = False
+        for a, b in pairs:
+            if label[a] != label[b]:
+                label[a] = label[b] = min(label[a], label[b])
+                changed = True
+    return sorted(i for i in reps if label[i] == i)
+
+
+def test_near_copies_leave_one_of_each_group(spark, make_docs, sf_dir):
+    rng = np.random.default_rng(5)
+    rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").collect()]
+    for k in range(20):
+        words = (rows[k][1] or "").split()
+        for at in rng.choice(len(words), size=max(1, len(words) // 60), replace=False):
+            words[at] = f"new{k}x{at}"
+        rows.append((100_000 + k, " ".join(words)))
+    kept = [r.doc_id for r in simhash.keep_one_of_each(make_docs(rows)).collect()]
+    want = brute_keep(rows)
+    assert sorted(kept) == want
+    assert sum(i >= 100_000 for i in want) < 18
+
+
+@pytest.mark.parametrize("size", [40, 700])
+def test_close_pairs_join_what_all_pairs_join(size):
+    rng = np.random.default_rng(size)
+    fps = np.unique(rng.integers(0, 1 << 20, size).astype(np.uint64))
+    for radius in (2, 5):
+        label = list(range(len(fps)))
+        brute = list(range(len(fps)))
+        for out, pairs in ((label, simhash.close_pairs(fps, radius)), (brute, [(i, j) for i in range(len(fps)) for j in range(i) if int(fps[i] ^ fps[j]).bit_count() <= radius])):
+            def root(x, out=out):
+                while out[x] != x:
+                    x = out[x]
+                return x
+            for i, j in pairs:
+                assert int(fps[i] ^ fps[j]).bit_count() <= radius
+                a, b = root(i), root(j)
+                out[max(a, b)] = min(a, b)
+            out[:] = [root(i) for i in range(len(fps))]
+        assert label == brute
+
+
+def test_slices_cover_the_wide_radius():
+    masks = simhash.split_masks(list(range(64)), simhash.WIDE)
+    rng = np.random.default_rng(0)
+    for _ in range(2000):
+        bits = rng.choice(64, size=simhash.WIDE, replace=False)
+        assert any(all(not m >> int(b) & 1 for b in bits) for m in masks)

@@ -36,22 +36,34 @@ from .components import components
 BITS = 64
 RADIUS = 3
 MOST = 2048
+# Near copies: five-word shingles with a Jaccard similarity of at least SIMILAR. Their three-word fingerprints differ in at most WIDE bits (measured; see README).
+WIDE = 11
+WIDE_MOST = 8192
+PER_MEMBER = 4
+COPY_WIDTH = 5
+SIMILAR = 0.8
 SEED = 42
 
 
-def fingerprint(text: bytes, width: int = 3) -> int:
-    """Unsigned 64-bit fingerprint of a text's ``width``-word shingles."""
+def shingles(text: bytes, width: int) -> np.ndarray:
+    """Hashes of a text's ``width``-word shingles, repeats included."""
     norm = b" ".join(text.lower().split())
     if not norm:
-        return 0
+        return np.zeros(0, np.uint64)
     digest = xxhash.xxh64_intdigest
     gaps = np.flatnonzero(np.frombuffer(norm, np.uint8) == 32)
     n = len(gaps) + 1
     if n <= width:
-        hashes = np.array([digest(norm, SEED)], np.uint64)
-    else:
-        starts, ends = [0, *(gaps[: n - width] + 1).tolist()], [*gaps[width - 1 :].tolist(), len(norm)]
-        hashes = np.fromiter((digest(norm[s:e], SEED) for s, e in zip(starts, ends, strict=True)), np.uint64, n - width + 1)
+        return np.array([digest(norm, SEED)], np.uint64)
+    starts, ends = [0, *(gaps[: n - width] + 1).tolist()], [*gaps[width - 1 :].tolist(), len(norm)]
+    return np.fromiter((digest(norm[s:e], SEED) for s, e in zip(starts, ends, strict=True)), np.uint64, n - width + 1)
+
+
+def fingerprint(text: bytes, width: int = 3) -> int:
+    """Unsigned 64-bit fingerprint of a text's ``width``-word shingles."""
+    hashes = shingles(text, width)
+    if not len(hashes):
+        return 0
     votes = np.zeros(BITS, np.int64)
     for at in range(0, len(hashes), 1 << 14):
         part = hashes[at : at + (1 << 14)]
@@ -78,13 +90,20 @@ def covering_masks(positions: list[int], radius: int = RADIUS) -> list[int]:
     return [sum(1 << p for p, m in zip(positions, vectors, strict=True) if (m & v).bit_count() & 1) for v in range(1, top + 1)]
 
 
+def split_masks(positions: list[int], radius: int = RADIUS) -> list[int]:
+    """Covering masks for a wide radius: of ``parts`` slices of the positions one
+    has at most ``RADIUS`` of the differing bits, so each slice is covered alone."""
+    parts = -(-(radius + 1) // (RADIUS + 1))
+    return [m for k in range(parts) for m in covering_masks(positions[k::parts], min(radius, RADIUS))]
+
+
 def _signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
 def _first_tables(nodes: DataFrame, radius: int) -> DataFrame:
     """key, free (bits that the key leaves open), fp."""
-    masks = covering_masks(list(range(BITS)), radius)
+    masks = split_masks(list(range(BITS)), radius)
     rows = [F.struct(F.lit(_signed(~m & (1 << 64) - 1)).alias("free"), F.col("fp").bitwiseAND(F.lit(_signed(m))).alias("part")) for m in masks]
     return nodes.select("fp", F.explode(F.array(*rows)).alias("t")).select(F.xxhash64("t.free", "t.part").alias("key"), "t.free", "fp")
 
@@ -98,7 +117,7 @@ def _next_tables(keyed: DataFrame, radius: int) -> DataFrame:
             key, free, fp = (batch.column(i).to_numpy().view(np.uint64) for i in range(3))
             for f in np.unique(free).tolist():
                 if f not in known:
-                    known[f] = covering_masks([i for i in range(BITS) if f >> i & 1], radius)
+                    known[f] = split_masks([i for i in range(BITS) if f >> i & 1], radius)
                 at = free == np.uint64(f)
                 for mask in known[f]:
                     sub = words.mix(key[at] ^ words.mix((fp[at] & np.uint64(mask)) + words.mix(np.full(at.sum(), mask, np.uint64))))
@@ -122,8 +141,30 @@ def forest(fps: np.ndarray, radius: int) -> list[tuple[int, int]]:
     return out
 
 
-def _links(keyed: DataFrame, radius: int) -> DataFrame:
-    """Spanning links (a, b) of every bucket; buckets have at most MOST members."""
+def close_pairs(fps: np.ndarray, radius: int) -> list[tuple[int, int]]:
+    """Index pairs within the radius: all of them while they are few, else each
+    member's link to the nearest one before it in a least spanning tree."""
+    n = len(fps)
+    if n <= 512:
+        i, j = np.nonzero(np.triu(np.bitwise_count(fps[:, None] ^ fps[None, :]) <= radius, 1))
+        if len(i) <= PER_MEMBER * n:
+            return list(zip(i.tolist(), j.tolist(), strict=True))
+    gap, parent, open_, out = np.full(n, 255, np.uint8), np.zeros(n, np.int64), np.ones(n, bool), []
+    for _ in range(n):
+        at = int(np.where(open_, gap, 255).argmin())
+        if not open_[at]:
+            at = int(open_.argmax())
+        if gap[at] <= radius:
+            out.append((int(parent[at]), at))
+        open_[at] = False
+        d = np.bitwise_count(fps ^ fps[at])
+        nearer = d < gap
+        gap[nearer], parent[nearer] = d[nearer], at
+    return out
+
+
+def _links(keyed: DataFrame, radius: int, join=forest) -> DataFrame:
+    """Links (a, b) that ``join`` gives for every bucket; buckets have at most MOST members."""
 
     def search(key: np.ndarray, fp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         cuts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1], [True]]))
@@ -133,7 +174,7 @@ def _links(keyed: DataFrame, radius: int) -> DataFrame:
         a, b = [fp[pair]], [fp[pair + 1]]
         for s, n in zip(cuts[:-1][size > 2], size[size > 2], strict=True):
             own = fp[s : s + n]
-            if found := forest(own, radius):
+            if found := join(own, radius):
                 i, j = np.array(found).T
                 a.append(own[i])
                 b.append(own[j])
@@ -157,7 +198,7 @@ def _links(keyed: DataFrame, radius: int) -> DataFrame:
     return dealt.mapInArrow(run, "a long, b long")
 
 
-def links(nodes: DataFrame, radius: int = RADIUS, most: int = MOST) -> DataFrame:
+def links(nodes: DataFrame, radius: int = RADIUS, most: int = MOST, join=forest) -> DataFrame:
     """``nodes`` (distinct fp) -> (a, b) whose transitive closure joins the same
     fingerprints as all pairs within the radius."""
     keyed, out = _first_tables(nodes, radius), None
@@ -165,11 +206,11 @@ def links(nodes: DataFrame, radius: int = RADIUS, most: int = MOST) -> DataFrame
         large = cut(keyed.groupBy("key").count().where(F.col("count") > most).select("key"))
         n = large.count()
         if not n:
-            part = _links(keyed, radius)
+            part = _links(keyed, radius, join)
             return part if out is None else out.unionByName(part)
         if n <= 10_000:
             large = F.broadcast(large)
-        part = _links(keyed.join(large, "key", "left_anti"), radius)
+        part = _links(keyed.join(large, "key", "left_anti"), radius, join)
         out = part if out is None else out.unionByName(part)
         keyed = cut(_next_tables(keyed.join(large, "key", "left_semi").select("key", "free", "fp"), radius))
 
@@ -188,8 +229,39 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return fps.join(labels, F.col("fp") == F.col("n_fp")).select("doc_id", hex_fp.alias("fingerprint"), "component_id")
 
 
+def similar(docs: DataFrame, reps: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = WIDE, most: int = WIDE_MOST) -> DataFrame:
+    """``reps`` (fp, id) -> id pairs (a, b) whose fingerprints differ in at most
+    ``radius`` bits and whose texts have a similarity of at least SIMILAR."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(0, batch.num_rows, 64):
+                part = batch.slice(k, 64)
+                texts = words.as_bytes(part.column(1))
+                fps = np.fromiter((fingerprint(t) for t in texts), np.uint64, part.num_rows)
+                sets = [np.unique(shingles(t, COPY_WIDTH)).view(np.int64) for t in texts]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(fps.view(np.int64)), pa.array(sets, pa.list_(pa.int64()))], ["id", "fp", "parts"])
+
+    met = links(reps.select("fp"), radius, most, close_pairs)
+    met = cut(met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    ends = met.select(F.explode(F.array("a", "b")).alias("fp")).distinct().join(reps, "fp").select("fp", "id")
+    wanted = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).join(ends.select("id").distinct(), "id", "left_semi")
+    sets = wanted.mapInArrow(run, "id long, fp long, parts array<long>").join(ends, ["id", "fp"], "left_semi")
+    sets = cut(sets.groupBy("fp").agg(F.min("id").alias("id"), F.min("parts").alias("parts")))
+    left, right = (sets.select(F.col("fp").alias(x), F.col("id").alias(f"{x}_id"), F.col("parts").alias(f"{x}_parts")) for x in "ab")
+    both = F.size(F.array_intersect("a_parts", "b_parts"))
+    enough = both >= SIMILAR * (F.size("a_parts") + F.size("b_parts") - both)
+    return met.join(left, "a").join(right, "b").where(enough).select(F.col("a_id").alias("a"), F.col("b_id").alias("b"))
+
+
 def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, radius: int = RADIUS) -> DataFrame:
-    """The rows of ``docs`` whose id is the least of its group."""
-    groups = near_groups(docs, id_col, text_col, width, radius)
-    dropped = groups.where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("dropped_id")).distinct()
+    """The rows of ``docs`` whose id is the least of its group: of documents linked
+    as in ``near_groups``, then of those left whose five-word shingles are similar."""
+    groups = cut(near_groups(docs, id_col, text_col, width, radius))
+    dropped = groups.where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("dropped_id"))
+    first = groups.where("doc_id = component_id")
+    bits = F.conv("fingerprint", 16, -10).cast("long")
+    reps = cut(first.groupBy(bits.alias("fp")).agg(F.min("doc_id").alias("id")))
+    again = components(similar(docs, reps, id_col, text_col)).where("node != root").select(F.col("node").alias("dropped_id"))
+    dropped = dropped.union(again).distinct()
     return docs.join(dropped, docs[id_col].eqNullSafe(dropped["dropped_id"]), "left_anti")
