@@ -257,11 +257,14 @@ def similar(docs: DataFrame, reps: DataFrame, id_col: str = "doc_id", text_col:
 def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, radius: int = RADIUS) -> DataFrame:
     """The rows of ``docs`` whose id is the least of its group: of documents linked
     as in ``near_groups``, then of those left whose five-word shingles are similar."""
+    from . import near_copies
+
     groups = cut(near_groups(docs, id_col, text_col, width, radius))
     dropped = groups.where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("dropped_id"))
     first = groups.where("doc_id = component_id")
     bits = F.conv("fingerprint", 16, -10).cast("long")
     reps = cut(first.groupBy(bits.alias("fp")).agg(F.min("doc_id").alias("id")))
-    again = components(similar(docs, reps, id_col, text_col)).where("node != root").select(F.col("node").alias("dropped_id"))
+    again = components(similar(docs, reps, id_col, text_col).union(near_copies.join_copies(docs, first.select(F.col("doc_id").alias("id"), F.col("doc_id").alias("label")).distinct(), id_col, text_col)))
+    again = again.where("node != root").select(F.col("node").alias("dropped_id"))
     dropped = dropped.union(again).distinct()
     return docs.join(dropped, docs[id_col].eqNullSafe(dropped["dropped_id"]), "left_anti")
