@@ -85,3 +85,20 @@ def test_least_common_is_never_above_the_shared_prefix():
         if b and 5 * len(a & b) >= 4 * len(a | b):
             first = [set(sorted(s)[: near_copies.prefix_size(len(s))]) for s in (a, b)]
             assert len(first[0] & first[1]) >= near_copies.least_common(np.array([len(a)]), np.array([len(b)]))[0] >= 1
+
+
+def edited(rng, text, k):
+    out = list(text)
+    for at in rng.choice(len(out), size=k, replace=False):
+        out[at] = f"n{rng.integers(1 << 40)}"
+    return out
+
+
+def test_dense_family_leaves_what_all_pairs_leave(spark, make_docs):
+    """Copies of one text with scattered edits: more pairs than a bucket's least tree has links."""
+    rng = np.random.default_rng(8)
+    one = prose(rng, 200)
+    rows = [(0, " ".join(one)), *((k, " ".join(edited(rng, one, int(rng.integers(2, 8))))) for k in range(1, 121))]
+    want, alike = brute_kept(rows)
+    assert len(alike) > 300
+    assert sorted(r.doc_id for r in simhash.keep_one_of_each(make_docs(rows)).collect()) == want

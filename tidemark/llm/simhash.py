@@ -229,31 +229,6 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return fps.join(labels, F.col("fp") == F.col("n_fp")).select("doc_id", hex_fp.alias("fingerprint"), "component_id")
 
 
-def similar(docs: DataFrame, reps: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = WIDE, most: int = WIDE_MOST) -> DataFrame:
-    """``reps`` (fp, id) -> id pairs (a, b) whose fingerprints differ in at most
-    ``radius`` bits and whose texts have a similarity of at least SIMILAR."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for k in range(0, batch.num_rows, 64):
-                part = batch.slice(k, 64)
-                texts = words.as_bytes(part.column(1))
-                fps = np.fromiter((fingerprint(t) for t in texts), np.uint64, part.num_rows)
-                sets = [np.unique(shingles(t, COPY_WIDTH)).view(np.int64) for t in texts]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(fps.view(np.int64)), pa.array(sets, pa.list_(pa.int64()))], ["id", "fp", "parts"])
-
-    met = links(reps.select("fp"), radius, most, close_pairs)
-    met = cut(met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
-    ends = met.select(F.explode(F.array("a", "b")).alias("fp")).distinct().join(reps, "fp").select("fp", "id")
-    wanted = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).join(ends.select("id").distinct(), "id", "left_semi")
-    sets = wanted.mapInArrow(run, "id long, fp long, parts array<long>").join(ends, ["id", "fp"], "left_semi")
-    sets = cut(sets.groupBy("fp").agg(F.min("id").alias("id"), F.min("parts").alias("parts")))
-    left, right = (sets.select(F.col("fp").alias(x), F.col("id").alias(f"{x}_id"), F.col("parts").alias(f"{x}_parts")) for x in "ab")
-    both = F.size(F.array_intersect("a_parts", "b_parts"))
-    enough = both >= SIMILAR * (F.size("a_parts") + F.size("b_parts") - both)
-    return met.join(left, "a").join(right, "b").where(enough).select(F.col("a_id").alias("a"), F.col("b_id").alias("b"))
-
-
 def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, radius: int = RADIUS) -> DataFrame:
     """The rows of ``docs`` whose id is the least of its group: of documents linked
     as in ``near_groups``, then of those left whose five-word shingles are similar."""
@@ -262,9 +237,7 @@ def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     groups = cut(near_groups(docs, id_col, text_col, width, radius))
     dropped = groups.where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("dropped_id"))
     first = groups.where("doc_id = component_id")
-    bits = F.conv("fingerprint", 16, -10).cast("long")
-    reps = cut(first.groupBy(bits.alias("fp")).agg(F.min("doc_id").alias("id")))
-    again = components(similar(docs, reps, id_col, text_col).union(near_copies.join_copies(docs, first.select(F.col("doc_id").alias("id"), F.col("doc_id").alias("label")).distinct(), id_col, text_col)))
-    again = again.where("node != root").select(F.col("node").alias("dropped_id"))
+    own = first.select(F.col("doc_id").alias("id"), F.col("doc_id").alias("label")).distinct()
+    again = near_copies.join_copies(docs, own, id_col, text_col).where("node != root").select(F.col("node").alias("dropped_id"))
     dropped = dropped.union(again).distinct()
     return docs.join(dropped, docs[id_col].eqNullSafe(dropped["dropped_id"]), "left_anti")
