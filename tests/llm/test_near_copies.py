@@ -102,3 +102,25 @@ def test_dense_family_leaves_what_all_pairs_leave(spark, make_docs):
     want, alike = brute_kept(rows)
     assert len(alike) > 300
     assert sorted(r.doc_id for r in simhash.keep_one_of_each(make_docs(rows)).collect()) == want
+
+
+def bits(a, b):
+    return (simhash.fingerprint(" ".join(a).encode()) ^ simhash.fingerprint(" ".join(b).encode())).bit_count()
+
+
+def alike(a, b):
+    x, y = five(" ".join(a)), five(" ".join(b))
+    return 5 * len(x & y) >= 4 * len(x | y)
+
+
+def test_copies_of_a_dropped_copy_are_joined(spark, make_docs):
+    """b falls to a's fingerprint group; c is alike to b but not to a."""
+    rng, rows = np.random.default_rng(9), []
+    while len(rows) < 24:
+        a = prose(rng, 200)
+        b, c = (lambda b: (b, edited(rng, b, 3)))(edited(rng, a, 3))
+        if bits(a, b) <= 3 and bits(b, c) > 3 and bits(a, c) > 3 and alike(b, c) and not alike(a, c):
+            rows += [(len(rows) + k, " ".join(x)) for k, x in enumerate((a, b, c))]
+    want, _ = brute_kept(rows)
+    assert want == list(range(0, 24, 3))
+    assert sorted(r.doc_id for r in simhash.keep_one_of_each(make_docs(rows)).collect()) == want

@@ -230,14 +230,13 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, radius: int = RADIUS) -> DataFrame:
-    """The rows of ``docs`` whose id is the least of its group: of documents linked
-    as in ``near_groups``, then of those left whose five-word shingles are similar."""
+    """The rows of ``docs`` whose id is the least of its group: of documents joined
+    by links as in ``near_groups`` and by similar five-word shingles, in any order."""
     from . import near_copies
 
     groups = cut(near_groups(docs, id_col, text_col, width, radius))
-    dropped = groups.where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("dropped_id"))
-    first = groups.where("doc_id = component_id")
-    own = first.select(F.col("doc_id").alias("id"), F.col("doc_id").alias("label")).distinct()
-    again = near_copies.join_copies(docs, own, id_col, text_col).where("node != root").select(F.col("node").alias("dropped_id"))
-    dropped = dropped.union(again).distinct()
+    labels = groups.where("doc_id is not null").groupBy(F.col("doc_id").alias("id")).agg(F.min("component_id").alias("label"))
+    again = near_copies.join_copies(docs, labels, id_col, text_col).where("node != root").select(F.col("node").alias("dropped_id"))
+    # the least id of a group that hangs on another one's; the other ids are no least ones already
+    dropped = groups.where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("dropped_id")).union(again).distinct()
     return docs.join(dropped, docs[id_col].eqNullSafe(dropped["dropped_id"]), "left_anti")
