@@ -106,6 +106,30 @@ def scores_of(table: DataFrame, queries: np.ndarray, ids: list[int], least: int)
     return table.select("id", "codes").mapInArrow(run, "query long, id long, score long")
 
 
+def scores_of_many(table: DataFrame, asked: DataFrame, least: int, block: int = 2048) -> DataFrame:
+    """(query, id, score) of every row against every row of ``asked``; both have id
+    and codes. Each side is dealt into blocks of about ``block`` rows and a task
+    compares two of them, so neither side has to fit in one place."""
+    sides = []
+    for rows in (table, asked):
+        blocks = max(1, -(-rows.count() // block))
+        sides.append((rows.select("id", F.col("codes").cast("array<tinyint>").alias("codes"), F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int").alias("own")), blocks))
+    (rows, row_blocks), (queries, query_blocks) = sides
+    left = rows.select("id", "codes", F.lit(False).alias("asks"), F.col("own").alias("low"), F.explode(F.sequence(F.lit(0), F.lit(query_blocks - 1))).alias("high"))
+    right = queries.select("id", "codes", F.lit(True).alias("asks"), F.explode(F.sequence(F.lit(0), F.lit(row_blocks - 1))).alias("low"), F.col("own").alias("high"))
+
+    def compare(df: pd.DataFrame) -> pd.DataFrame:
+        x, y = df[~df["asks"]], df[df["asks"]]
+        if not len(x) or not len(y):
+            return pd.DataFrame({"query": [], "id": [], "score": []}).astype("int64")
+        a, b = (np.stack(d["codes"].to_list()).astype(np.float64) for d in (x, y))
+        score = np.rint(a @ b.T).astype(np.int64)
+        i, j = np.nonzero(score >= least)
+        return pd.DataFrame({"query": y["id"].to_numpy()[j], "id": x["id"].to_numpy()[i], "score": score[i, j]})
+
+    return left.unionByName(right).groupBy("low", "high").applyInPandas(compare, "query long, id long, score long")
+
+
 def bib_hits(bibs: DataFrame, photos: DataFrame, sources: DataFrame, printed: str, fuzzy: bool = False) -> DataFrame:
     """photo_id, bib, conf, kind ('exact' or 'suffix'): exact hits, or with
     ``fuzzy`` and without exact ones those whose digits end in the number; one per

@@ -100,6 +100,13 @@ def face_many_queries(t):
     return search.scores_of(table, np.array([r.codes for r in asked]), [r.vec_id for r in asked], int(np.ceil(0.2 * vectors.SQUARE)))
 
 
+@query(f"SELECT q.vec_id AS query, a.vec_id id, {DOT} score FROM codes a JOIN codes q ON q.vec_id % 100 = 0 WHERE {DOT} >= 0.2 * 16129")
+def face_due_queries(t):
+    """The search of every hundredth id; ``face_many_queries`` asks five only, as its SQL says."""
+    table = codes(t).select(C("vec_id").cast("long").alias("id"), "codes")
+    return search.scores_of_many(table, table.where("id % 100 = 0"), int(np.ceil(0.2 * vectors.SQUARE)))
+
+
 @query("SELECT vec_id, max(abs(cast(e as double) * 127 - round_even(cast(e as double) * 127, 0))) <= 0.5 within_half, round(sqrt(sum(cast(e as double) * e)), 4) norm FROM (SELECT vec_id, unnest(embedding) e FROM embeddings) GROUP BY vec_id")
 def vec_norm_check(t):
     off = F.transform(C("embedding"), lambda x: F.abs(x.cast("double") * 127 - F.rint(x.cast("double") * 127)))
