@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import count
 
 import numpy as np
 import pyarrow as pa
@@ -76,16 +77,18 @@ def key_ok(column: str) -> Column:
     return F.coalesce(F.col(column).rlike(KEY), F.lit(False))
 
 
-def walk_edges(edges: DataFrame, root: str, most_depth: int = 50) -> DataFrame:
+def walk_edges(edges: DataFrame, root: str) -> DataFrame:
     """Folders reachable from ``root`` in (parent, child), each once with its
     depth; a level is one join, cycles end."""
     seen = front = edges.sparkSession.createDataFrame([(root, 0)], "folder string, depth int")
-    for depth in range(1, most_depth + 1):
+    for depth in count(1):
         following = edges.join(front, F.col("parent") == F.col("folder"), "left_semi").select(F.col("child").alias("folder")).distinct()
         front = cut(following.join(seen, "folder", "left_anti").withColumn("depth", F.lit(depth)))
         if front.isEmpty():
             break
         seen = seen.unionByName(front)
+        if depth % 16 == 0:
+            seen = cut(seen)
     return seen
 
 
