@@ -87,13 +87,25 @@ def tile_grid(width: Column, height: Column, cols: int = 2, rows: int = 2, overl
 
 def similarity(source: Column, target: Column) -> Column:
     """Rotation, scale and shift (a, b, tx, ty) that best maps points to points:
-    x' = a x - b y + tx, y' = b x + a y + ty. Both are array<struct<x,y>>."""
+    x' = a x - b y + tx, y' = b x + a y + ty. Both are array<struct<x,y>>. Points
+    that all lie in one place give the identity."""
     n = F.size(source).cast("double")
     total = lambda points, f: F.aggregate(F.transform(points, f), F.lit(0.0), lambda s, v: s + v)
     sx, sy = total(source, lambda p: p["x"]) / n, total(source, lambda p: p["y"]) / n
     tx, ty = total(target, lambda p: p["x"]) / n, total(target, lambda p: p["y"]) / n
     pairs = F.zip_with(source, target, lambda s, t: F.struct((s["x"] - sx).alias("x"), (s["y"] - sy).alias("y"), (t["x"] - tx).alias("u"), (t["y"] - ty).alias("v")))
-    norm = F.greatest(total(pairs, lambda p: p["x"] * p["x"] + p["y"] * p["y"]), F.lit(1e-12))
-    a = total(pairs, lambda p: p["x"] * p["u"] + p["y"] * p["v"]) / norm
-    b = total(pairs, lambda p: p["x"] * p["v"] - p["y"] * p["u"]) / norm
-    return F.struct(a.alias("a"), b.alias("b"), (tx - (a * sx - b * sy)).alias("tx"), (ty - (b * sx + a * sy)).alias("ty"))
+    norm = total(pairs, lambda p: p["x"] * p["x"] + p["y"] * p["y"])
+    some = F.nullif(norm, F.lit(0.0))
+    a = total(pairs, lambda p: p["x"] * p["u"] + p["y"] * p["v"]) / some
+    b = total(pairs, lambda p: p["x"] * p["v"] - p["y"] * p["u"]) / some
+    fit = lambda a, b, c, d: F.struct(a.alias("a"), b.alias("b"), c.alias("tx"), d.alias("ty"))
+    zero = F.lit(0.0)
+    return F.when(norm == 0, fit(F.lit(1.0), zero, zero, zero)).otherwise(fit(a, b, tx - (a * sx - b * sy), ty - (b * sx + a * sy)))
+
+
+def inverse(fit: Column) -> Column:
+    """The similarity that takes back ``fit``; null if it maps all points to one."""
+    a, b, tx, ty = (fit[c] for c in ("a", "b", "tx", "ty"))
+    size = a * a + b * b
+    back = F.struct((a / size).alias("a"), (-b / size).alias("b"), (-(a * tx + b * ty) / size).alias("tx"), ((b * tx - a * ty) / size).alias("ty"))
+    return F.when(size > 0, back)

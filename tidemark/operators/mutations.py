@@ -8,6 +8,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import geometry, text
+
 Rule = Callable[[Column, Column], Column]
 
 
@@ -109,6 +111,144 @@ def write_faces(faces: DataFrame, delta: DataFrame, event_id: int, base: int, co
     return faces.where(~inside).unionByName(delta.where(inside).dropDuplicates(["event_id", "row_idx"]))
 
 
+def misfits(delta: DataFrame, photos: DataFrame) -> DataFrame:
+    """Face rows (photo_id, bbox) whose box does not lie in their photo's frame; a
+    photo that is not known is not judged here."""
+    known = photos.select("photo_id", F.col("width").alias("frame_w"), F.col("height").alias("frame_h"))
+    box = geometry.parse_box(F.col("bbox"))
+    fits = F.when(F.col("frame_h").isNull() | F.col("frame_w").isNull(), F.lit(True)).otherwise(F.coalesce(geometry.box_fits(F.col("box_"), F.col("frame_w"), F.col("frame_h")), F.lit(False)))
+    return delta.withColumn("box_", box).join(known, "photo_id").where(~fits).drop("box_")
+
+
+def write_checked_faces(faces: DataFrame, delta: DataFrame, photos: DataFrame, event_id: int, base: int, count: int) -> DataFrame:
+    """As ``write_faces``; refuses the whole write if one box does not fit its photo."""
+    wrong = misfits(delta, photos).select("photo_id", "bbox", "frame_w", "frame_h").limit(1).collect()
+    if wrong:
+        raise ValueError(f"face box does not fit its photo: {wrong[0].asDict()}")
+    return write_faces(faces, delta, event_id, base, count)
+
+
+def write_directory(directory: DataFrame, delta: DataFrame) -> DataFrame:
+    """Shard rows (event_id, shard_key, row_base, row_count, seq): the last one given stays."""
+    keys = ["event_id", "shard_key"]
+    folded = fold(delta, keys, {"row_base": "last", "row_count": "last"})
+    return upsert(directory, folded, keys, {"row_base": take_new, "row_count": take_new})
+
+
+def write_sources(sources: DataFrame, delta: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(sources after it, refused changes). delta: event_id, folder_id, source_id, url,
+    added_at, image_source, is_operator, seq. A withdrawn folder is refused until it is
+    restored. Only an operator chooses the image source; what they leave out or
+    misspell stays as it was, 'original' at first. A known folder keeps its id."""
+    keys = ["event_id", "folder_id"]
+    gone = sources.where("removed_at is not null").select(*keys)
+    refused = delta.join(gone, keys, "left_semi")
+    rest = delta.join(gone, keys, "left_anti")
+    old = sources.select(*keys, F.col("image_source").alias("was"))
+    given = F.when(F.col("image_source").isin("thumb", "original"), F.col("image_source"))
+    chosen = F.when(F.col("is_operator"), given).otherwise("thumb")
+    folded = fold(rest.withColumn("image_source", chosen), keys, {"source_id": "last", "url": "last", "added_at": "last", "image_source": "known"})
+    told = folded.join(old, keys, "left").withColumn("image_source", F.coalesce("image_source", "was", F.lit("original"))).drop("was")
+    return upsert(sources, told, keys, {"url": take_new, "image_source": take_new}), refused
+
+
+def restore_sources(sources: DataFrame, ids: DataFrame) -> DataFrame:
+    return mark(sources, ids, "source_id", "removed_at", F.lit(None).cast(sources.schema["removed_at"].dataType))
+
+
+def start_indexing(events: DataFrame, ids: DataFrame) -> DataFrame:
+    """Drafts among ``ids`` are being indexed from now on; published events stay published."""
+    return mark(events, ids, "event_id", "status", F.when(F.col("status") == "draft", "indexing").otherwise(F.col("status")))
+
+
+def add_organizers(organizers: DataFrame, delta: DataFrame) -> DataFrame:
+    """delta: email, added_at, added_by, seq. Adding someone again lifts a ban."""
+    folded = fold(delta.withColumn("email", text.clean_email(F.col("email"))).where("email is not null"), ["email"], {"added_at": "last", "added_by": "last"})
+    gone = lambda old, new: F.lit(None).cast("string")
+    return upsert(organizers, folded, ["email"], {"banned_at": gone, "reason": gone})
+
+
+def ban(organizers: DataFrame, events: DataFrame, delta: DataFrame, own_email: str, unpublish: bool = True) -> tuple[DataFrame, DataFrame]:
+    """(organizers, events) after bans (email, banned_at, banned_by, reason, seq);
+    the operator's own address is left out. Someone who is on no list is put on it.
+    With ``unpublish`` the ready events of the banned become drafts."""
+    mail = text.clean_email(F.col("email"))
+    reason = F.nullif(F.substring(text.stripped(F.col("reason")), 1, 200), F.lit(""))
+    given = delta.withColumns({"email": mail, "reason": reason}).where((F.col("email").isNotNull()) & (F.col("email") != own_email))
+    folded = fold(given, ["email"], {"banned_at": "last", "banned_by": "last", "reason": "last"})
+    rows = folded.select("email", F.col("banned_at").alias("added_at"), F.col("banned_by").alias("added_by"), "banned_at", "reason")
+    after = upsert(organizers, rows, ["email"], {"banned_at": take_new, "reason": take_new})
+    if not unpublish:
+        return after, events
+    hit = events.join(rows.select(F.col("email").alias("b_email")), F.lower("owner_email") == F.col("b_email"), "left_semi").where("status = 'ready'")
+    return after, mark(events, hit.select("event_id"), "event_id", "status", F.lit("draft"))
+
+
+def withdraw(tables: dict[str, DataFrame], ids: DataFrame, now: Column) -> dict[str, DataFrame]:
+    """``tables`` (sources, photos, faces, bibs, rejects, events) after the sources
+    ``ids`` were taken off: ``removed_at`` is set once, their photos go with all that
+    hangs on them, and their events are counted anew. The source rows stay, as the
+    memory that keeps the folder from coming back."""
+    first = F.coalesce("removed_at", now)
+    sources = mark(tables["sources"], ids, "source_id", "removed_at", first)
+    gone = tables["photos"].join(ids.select("source_id").distinct(), "source_id", "left_semi")
+    out = {"sources": sources, **{name: purge(tables[name], gone) for name in ("photos", "faces", "bibs", "rejects")}}
+    touched = tables["sources"].join(ids.select("source_id").distinct(), "source_id", "left_semi").select("event_id").distinct()
+    return {**out, "events": recount(tables["events"], touched, out["photos"], out["faces"])}
+
+
+def recount(events: DataFrame, ids: DataFrame, photos: DataFrame, faces: DataFrame) -> DataFrame:
+    """photo_count and face_count of the events ``ids``, from the rows there are."""
+    owned = photos.groupBy("event_id").agg(F.count("*").alias("photos_"))
+    found = faces.join(photos.select("photo_id", "event_id"), "photo_id").groupBy("event_id").agg(F.count("*").alias("faces_"))
+    new = ids.select("event_id").distinct().join(owned, "event_id", "left").join(found, "event_id", "left")
+    n = lambda c: F.coalesce(F.col(c), F.lit(0))
+    counted = new.select(F.col("event_id").alias("c_event"), n("photos_").alias("photos_"), n("faces_").alias("faces_"))
+    joined = events.join(counted, F.col("event_id") == F.col("c_event"), "left")
+    of = {"photo_count": "photos_", "face_count": "faces_"}
+    return joined.select(*[F.when(F.col("c_event").isNotNull(), F.col(of[c])).otherwise(F.col(c)).cast(events.schema[c].dataType).alias(c) if c in of else F.col(c) for c in events.columns])
+
+
+def reset_photos(faces: DataFrame, bibs: DataFrame, photos: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(faces, bibs) without what was read from ``photos``; numbers that a person entered stay."""
+    return purge(faces, photos), drop_read(bibs, photos)
+
+
+def write_progress(jobs: DataFrame, delta: DataFrame) -> DataFrame:
+    """delta: job_id, done, total, status (null: as before), error and error_set
+    (given at all, perhaps as null), updated_at; one row a job."""
+    told = patch(jobs, delta.select("job_id", "error", "error_set"), "job_id", ["error"])
+    new = delta.select("job_id", "done", "total", "status", "updated_at")
+    return upsert(told, new.join(jobs.select("job_id"), "job_id", "left_semi"), ["job_id"], {"done": new_or_old, "total": new_or_old, "status": new_or_old, "updated_at": take_new})
+
+
+STATUSES = ("draft", "indexing", "ready", "partial")
+
+
+def patch_events(events: DataFrame, delta: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(events after it, refused: event_id, error). A null in delta (event_id, name,
+    event_date, status, bibs_enabled, bib_min_digits, bib_max_digits, bib_prefixes,
+    bib_prefix_required) leaves a column as it is; an empty prefix list clears it and
+    the flag with it. A change is judged by the row it would leave, and refused whole."""
+    plain = ["name", "event_date", "status", "bibs_enabled", "bib_min_digits", "bib_max_digits"]
+    listed = text.canonical_prefixes(F.col("bib_prefixes"))
+    given = delta.withColumns(
+        {
+            "bad_list": F.col("bib_prefixes").isNotNull() & listed.isNull(),
+            "bib_prefixes": F.when(F.col("bib_prefixes").isNotNull(), listed),
+            "bib_prefix_required": F.when(F.col("bib_prefixes").isNotNull() & (F.coalesce(listed, F.lit("")) == ""), F.lit(False)).otherwise(F.col("bib_prefix_required")),
+        }
+    )
+    names = [*plain, "bib_prefixes", "bib_prefix_required"]
+    joined = events.select("event_id", *[F.col(c).alias(f"o_{c}") for c in names]).join(given, "event_id")
+    merged = joined.select("event_id", "bad_list", *[F.coalesce(c, f"o_{c}").alias(c) for c in names])
+    rule = text.rule_error(F.coalesce("bib_min_digits", F.lit(3)), F.coalesce("bib_max_digits", F.lit(5)), F.coalesce("bib_prefixes", F.lit("")), F.coalesce("bib_prefix_required", F.lit(False)))
+    error = F.when(~F.col("status").isin(*STATUSES), "bad_status").when(F.col("bad_list"), "bad_bib_prefixes").otherwise(rule)
+    judged = merged.withColumn("error", error)
+    sound = judged.where("error is null").select("event_id", *names)
+    return upsert(events, sound, ["event_id"], dict.fromkeys(names, take_new)), judged.where("error is not null").select("event_id", "error")
+
+
 def purge(child: DataFrame, photos: DataFrame) -> DataFrame:
     return child.join(photos.select("photo_id"), "photo_id", "left_anti")
 

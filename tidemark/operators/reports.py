@@ -6,9 +6,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import geometry
+from ..session import cut
 
 # Fixed values.
 STALE_MINUTES, MOST_ATTEMPTS = 20, 60
+#: Keys of a sample up to which their list is broadcast.
+MOST_SAMPLE = 100_000
 
 
 def _counts(df: DataFrame, key: str, name: str) -> DataFrame:
@@ -112,20 +115,26 @@ def box_audit(photos: DataFrame, faces: DataFrame) -> DataFrame:
 def usage_share(df: DataFrame, key: str, value: str) -> DataFrame:
     """key, n, total, mean, largest, share (percent of all, one decimal)."""
     per = df.groupBy(key).agg(F.count("*").alias("n"), F.sum(value).alias("total"), F.avg(value).alias("mean"), F.max(value).alias("largest"))
-    # one row per key, a short list
-    return per.withColumn("share", F.round(100 * F.col("total") / F.sum("total").over(Window.partitionBy()), 1))
+    whole = per.agg(F.sum("total").alias("whole"))
+    joined = per.join(F.broadcast(whole))  # one row
+    return joined.withColumn("share", F.round(100 * F.col("total") / F.col("whole"), 1)).drop("whole")
 
 
 def systematic_sample(df: DataFrame, rows: int, k: int, key: str) -> DataFrame:
-    """Every (rows // k)-th row in key order, k at most. Places are counted within
-    ranges of the key and added up over the ranges, so no task sorts all rows."""
+    """Every (rows // k)-th row in key order, k at most. Only keys are dealt into
+    ranges and counted; the ranges are stored, so that counting and placing see the
+    same ones whatever is re-planned in between. Rows come by their keys, of which
+    k at most are chosen; of rows that share a key any may stand for another."""
     step = max(1, rows // k)
-    dealt = df.repartitionByRange(key).withColumn("range_", F.spark_partition_id())
-    sizes = dealt.groupBy("range_").agg(F.count("*").alias("n_"))
+    dealt = cut(df.select(key).repartitionByRange(key).withColumn("range_", F.spark_partition_id()))
+    sizes = dealt.groupBy("range_").agg(F.count("*").alias("n_"))  # a row per partition
     before = F.coalesce(F.sum("n_").over(Window.orderBy("range_").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     starts = sizes.select("range_", before.alias("before_"))
     placed = dealt.join(F.broadcast(starts), "range_").withColumn("place_", F.col("before_") + F.row_number().over(Window.partitionBy("range_").orderBy(key)) - 1)
-    return placed.where(f"place_ % {step} = 0 and place_ < {step * k}").drop("range_", "before_", "place_")
+    chosen = placed.where(f"place_ % {step} = 0 and place_ < {step * k}").groupBy(F.col(key).alias("key_")).agg(F.count("*").alias("times_"))
+    hit = df.join(F.broadcast(chosen) if k <= MOST_SAMPLE else chosen, F.col(key).eqNullSafe(F.col("key_")))
+    nth = F.row_number().over(Window.partitionBy("key_").orderBy("key_"))
+    return hit.withColumn("nth_", nth).where("nth_ <= times_").drop("nth_", "times_", "key_")
 
 
 def compare_modes(results: DataFrame) -> DataFrame:

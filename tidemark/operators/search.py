@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions import text, vectors
+from ..functions import geometry, text, vectors
 
 PUBLIC = ("ready", "partial")
 
@@ -155,6 +155,73 @@ def bib_alternatives(bibs: DataFrame, printed: str, most: int = 10) -> DataFrame
     return bibs.join(F.broadcast(wanted)).where(other).select("bib").distinct().orderBy("bib").limit(most)
 
 
+def bib_lookup(events: DataFrame, bibs: DataFrame, photos: DataFrame, sources: DataFrame, event_id: int, printed: str, fuzzy: bool = False, most: int = 200) -> tuple[DataFrame, DataFrame]:
+    """(hits, answer) inside one public event (events has bibs_enabled, bibs has
+    event_id and bib_raw). Hits: photo_id, bib, conf, bib_raw, kind, one per photo of
+    the ``most`` surest reads. Answer, one row: bib, error ('no_bibs' where the event
+    has none), matched, bib_read (the surest hit's print), alternatives, photos,
+    fuzzy_available."""
+    number = text.normalize_bib(F.lit(printed), lenient=True)
+    event = visible(events).where(F.col("event_id") == event_id).select("event_id", "bibs_enabled", number.alias("wanted"))
+    asked = F.broadcast(event.where("bibs_enabled and wanted != ''"))  # one event
+    own = bibs.where(F.col("event_id") == event_id).join(asked, "event_id")
+    live = own.join(live_only(photos, sources).select("photo_id"), "photo_id", "left_semi")
+    same = F.col("bib") == F.col("wanted")
+    alike = (text.bib_prefix(F.col("bib")) == text.bib_prefix(F.col("wanted"))) & F.endswith(text.bib_digits(F.col("bib")), text.bib_digits(F.col("wanted")))
+    found = live.withColumn("kind", F.when(same, "exact").when(F.lit(fuzzy) & alike, "suffix")).where("kind is not null")
+    first = found.agg(F.min("kind").alias("first_kind"))
+    rows = found.join(F.broadcast(first), F.col("kind") == F.col("first_kind")).orderBy(F.desc("conf"), "photo_id", "bib").limit(most)
+    hits = best_per(rows.select("photo_id", "bib", "conf", "bib_raw", "kind"), "photo_id", F.desc("conf"), F.asc("bib"))
+    surest = F.min_by("bib_raw", F.struct(-F.col("conf"), "photo_id"))
+    told = hits.agg(F.count("*").alias("photos"), F.max("kind").alias("matched"), surest.alias("bib_read"))
+    digits = (text.bib_digits(F.col("bib")) == text.bib_digits(F.col("wanted"))) & ~same
+    others = own.where(digits).select("bib").distinct().orderBy("bib").limit(10).agg(F.array_sort(F.collect_list("bib")).alias("alternatives"))
+    open_ = F.col("bibs_enabled") & (F.col("wanted") != "") & (F.col("photos") == 0)
+    answer = event.join(F.broadcast(told)).join(F.broadcast(others)).select(  # a row each
+        F.nullif("wanted", F.lit("")).alias("bib"),
+        F.when(~F.col("bibs_enabled"), "no_bibs").alias("error"),
+        "matched",
+        "bib_read",
+        "alternatives",
+        "photos",
+        (open_ & F.lit(not fuzzy)).alias("fuzzy_available"),
+    )
+    return hits, answer
+
+
+def public_photos(photos: DataFrame, base: str = "") -> DataFrame:
+    """What anyone may see of a photo (photo_id, file_id, thumb_key, width, height, taken_at)."""
+    return photos.select("photo_id", text.asset_url(base, F.col("thumb_key")).alias("thumb_url"), text.original_url(F.col("file_id")).alias("original_url"), "width", "height", "taken_at")
+
+
+def public_events(events: DataFrame, base: str = "") -> DataFrame:
+    """What anyone may see of an event; an unset ``bibs_enabled`` counts as on."""
+    shown = F.coalesce(F.col("bibs_enabled").cast("int") != 0, F.lit(True))
+    return events.select("event_id", "slug", "name", "event_date", text.asset_url(base, F.col("banner_key")).alias("banner_url"), "status", "photo_count", "face_count", shown.alias("bibs_enabled"))
+
+
+def next_cursor(page: DataFrame, limit: int, key: str = "photo_id") -> DataFrame:
+    """One row: returned, cursor (the page's last key; null unless the page is full)."""
+    return page.agg(F.count("*").alias("returned"), F.when(F.count("*") == limit, F.max(key)).alias("cursor"))
+
+
+def listed(df: DataFrame, most: int, *order: Column) -> tuple[DataFrame, DataFrame]:
+    """(the first ``most`` rows, one row: total, returned), so that a cut list says so."""
+    total = df.agg(F.count("*").alias("total"))
+    return df.orderBy(*order).limit(most), total.withColumn("returned", F.least("total", F.lit(most)))
+
+
+def photo_source(photos: DataFrame, sources: DataFrame, photo_id: int) -> DataFrame:
+    """A photo's row with its source's folder and image_source."""
+    one = photos.where(F.col("photo_id") == photo_id)
+    return F.broadcast(one).join(sources.select("source_id", "folder_id", "image_source"), "source_id").select("photo_id", "event_id", "source_id", "folder_id", "image_source")
+
+
+def photo_ids(photos: DataFrame, files: DataFrame) -> DataFrame:
+    """file_id and photo_id of ``files`` (event_id, file_id) that are photos of that event."""
+    return files.distinct().join(photos.select("event_id", "file_id", "photo_id"), ["event_id", "file_id"]).select("event_id", "file_id", "photo_id")
+
+
 def photo_page(photos: DataFrame, cursor: int | None, limit: int, faces: DataFrame | None = None, bibs: DataFrame | None = None, only: str = "all", source_id: int | None = None) -> DataFrame:
     """A page after ``cursor`` in id order; ``only`` is all, no_face, no_bib or
     has_bib, anything else counts as all."""
@@ -168,6 +235,19 @@ def quality_filter(photos: DataFrame, faces: DataFrame | None, bibs: DataFrame |
     return photos if how is None else photos.join(how[0].select("photo_id"), "photo_id", how[1])
 
 
+def photo_details(photos: DataFrame, faces: DataFrame, bibs: DataFrame) -> DataFrame:
+    """Per photo (photo_id, width, height): faces (face_id, bib and the box as
+    fractions; a box that cannot be told is left out) and bibs (as printed, key,
+    conf, source), each in a fixed order."""
+    box = geometry.box_fraction(geometry.parse_box(F.col("bbox")), F.col("width"), F.col("height"))
+    own = faces.join(photos.select("photo_id", "width", "height"), "photo_id").withColumn("f", box).where("f is not null")
+    f = own.groupBy("photo_id").agg(F.array_sort(F.collect_list(F.struct("face_id", "bib", "f.x", "f.y", "f.w", "f.h"))).alias("faces"))
+    row = F.struct(F.coalesce("bib_raw", "bib").alias("bib"), F.col("bib").alias("bib_key"), "conf", F.coalesce("source", F.lit("ocr")).alias("source"))
+    b = bibs.groupBy("photo_id").agg(F.array_sort(F.collect_list(row)).alias("bibs"))
+    joined = photos.select("photo_id").join(f, "photo_id", "left").join(b, "photo_id", "left")
+    return joined.select("photo_id", *[F.coalesce(c, F.array().cast(joined.schema[c].dataType)).alias(c) for c in ("faces", "bibs")])
+
+
 def event_list(events: DataFrame) -> DataFrame:
     """Published events, the latest day first; days are text and compare as such."""
     return visible(events).orderBy(F.coalesce("event_date", "created_at").desc(), "event_id")

@@ -17,25 +17,30 @@ GAP_BACK, GAP_AHEAD, ROW_SHARE, SUPPRESS = 0.8, 1.5, 0.5, 0.4
 
 
 def accept(tokens: DataFrame, pattern: str) -> DataFrame:
-    """Wide enough, sure enough, and a number by the event's rule: tokens has text, conf, width, frame_width."""
-    return tokens.where((F.col("width") >= LEAST_WIDTH * F.col("frame_width")) & (F.col("conf") >= LEAST_CONF) & F.trim("text").rlike(pattern))
+    """Wide enough, sure enough, and a number by the event's rule: tokens has text,
+    conf, width, frame_width. A read whose box is not known passes for its width."""
+    wide = F.coalesce(F.col("width") >= LEAST_WIDTH * F.col("frame_width"), F.lit(True))
+    return tokens.where(wide & (F.col("conf") >= LEAST_CONF) & text.read_token(F.col("text")).rlike(pattern))
 
 
 def rejoin_prefixes(tokens: DataFrame, prefixes: list[str]) -> DataFrame:
     """tokens (crop_id, text, conf, x1, y1, x2, y2) and, beside them, every letter
-    of ``prefixes`` joined to the number that follows it on its line."""
+    of ``prefixes`` (with or without its dash) joined to the number that follows it
+    on its line: the letter begins and ends before the number does, near to it."""
     box = ["x1", "y1", "x2", "y2"]
     side = lambda p: tokens.select("crop_id", *[F.col(c).alias(f"{p}_{c}") for c in ("text", "conf", *box)])
-    letters = side("l").where(F.upper(F.trim("l_text")).isin(*[p.upper() for p in prefixes]))
-    digits = side("d").where(F.trim("d_text").rlike("^[0-9]+$"))
-    w, h, dh = F.col("l_x2") - F.col("l_x1"), F.col("l_y2") - F.col("l_y1"), F.col("d_y2") - F.col("d_y1")
+    letter = F.rtrim(F.upper(text.stripped(F.col("l_text"))), F.lit("-"))
+    letters = side("l").withColumn("l_text", letter).where(F.col("l_text").isin(*[p.upper() for p in prefixes]))
+    digits = side("d").withColumn("d_text", text.stripped(F.col("d_text"))).where(F.col("d_text").rlike(r"^\p{Nd}+$"))
+    extent = lambda p, c: F.greatest(F.col(f"{p}_{c}2") - F.col(f"{p}_{c}1"), F.lit(1.0))
+    w, h, dh = extent("l", "x"), extent("l", "y"), extent("d", "y")
     gap = F.col("d_x1") - F.col("l_x2")
     row = F.least("l_y2", "d_y2") - F.greatest("l_y1", "d_y1")
-    near = (F.col("l_x1") < F.col("d_x1")) & (gap >= -GAP_BACK * w) & (gap <= GAP_AHEAD * F.greatest(w, h)) & (row >= ROW_SHARE * F.least(h, dh))
-    joined = letters.join(digits, "crop_id").where(near)
-    whole = joined.select(
+    leads = (F.col("l_x1") < F.col("d_x1")) & (F.col("l_x2") < F.col("d_x2"))
+    near = leads & gap.between(-GAP_BACK * w, GAP_AHEAD * F.greatest(w, h)) & (row >= ROW_SHARE * F.least(h, dh))
+    whole = letters.join(digits, "crop_id").where(near).select(
         "crop_id",
-        F.concat(F.upper(F.trim("l_text")), F.lit("-"), F.trim("d_text")).alias("text"),
+        F.concat_ws("-", "l_text", "d_text").alias("text"),
         F.least("l_conf", "d_conf").alias("conf"),
         *[(F.least if c[1] == "1" else F.greatest)(f"l_{c}", f"d_{c}").alias(c) for c in box],
     )
@@ -54,6 +59,21 @@ def best_by(hits: DataFrame, *keys: str) -> DataFrame:
     return hits.withColumn("rank_", F.row_number().over(order)).where("rank_ = 1").drop("rank_")
 
 
+def photo_reads(torso: DataFrame, tiles: DataFrame) -> DataFrame:
+    """Numbers of a photo (photo_id, bib, bib_raw, conf) from both passes: the surest
+    of each torso crop (``torso`` has crop_id), the surest of each number over all
+    tiles; the same number may come from both, a later upsert folds it."""
+    out = ["photo_id", "bib", "bib_raw", "conf"]
+    return best_by(torso, "photo_id", "crop_id").select(*out).unionByName(best_by(tiles, "photo_id", "bib").select(*out))
+
+
+def largest_box(boxes: DataFrame, group: str) -> DataFrame:
+    """The box of largest area in each group, the first box_id on a tie."""
+    area = (F.col("x2") - F.col("x1")) * (F.col("y2") - F.col("y1"))
+    order = Window.partitionBy(group).orderBy(area.desc(), "box_id")
+    return boxes.withColumn("rank_", F.row_number().over(order)).where("rank_ = 1").drop("rank_")
+
+
 def _keep(box: np.ndarray, most: float, kept: list[int], rest: list[int]) -> list[int]:
     """``kept`` and those of ``rest``, in order, that overlap none of them by over ``most``."""
     area = (box[:, 2] - box[:, 0]) * (box[:, 3] - box[:, 1])

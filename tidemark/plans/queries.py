@@ -6,7 +6,7 @@ import tempfile
 from collections.abc import Callable
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import geometry, text, vectors
@@ -168,6 +168,72 @@ def shard_compact(t):
     return shards.compact(empty, directory(t))[1]
 
 
+def placed(t: Tables) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(vectors, directory, faces) of the embeddings: a label is an event, its vectors
+    lie in shards of 16 rows. Label 3 lacks a row, label 4 has one shard only."""
+    order = F.row_number().over(Window.partitionBy("event_id").orderBy("vec_id")) - 1
+    rows = codes(t).select(C("label").cast("long").alias("event_id"), "vec_id", C("codes").cast("array<tinyint>").alias("codes")).withColumn("row_idx", order.cast("long"))
+    at = F.when(C("event_id") == 4, 0).otherwise(F.floor(C("row_idx") / 16)).cast("long")
+    shard = rows.groupBy("event_id", at.alias("at")).agg(F.min("row_idx").alias("row_base"), F.count("*").alias("row_count"))
+    listed = shard.select("event_id", F.concat(F.lit("s"), "at").alias("shard_key"), "row_base", "row_count")
+    held = rows.where("not (event_id = 3 and row_idx = 5)")
+    return held.select("event_id", "row_idx", "codes"), listed, held.where("vec_id % 4 > 0").select("event_id", "row_idx")
+
+
+PLACED = ", rw AS (SELECT cast(label as bigint) event_id, vec_id, row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1 row_idx, c FROM codes), hd AS (SELECT * FROM rw WHERE NOT (event_id = 3 AND row_idx = 5)), n AS (SELECT event_id, count(*) n, if(event_id = 4, 1, (count(*) + 15) // 16) s FROM rw GROUP BY 1)"
+
+
+@query(f"{PLACED} SELECT event_id, s shards, n row_count, case when s = 1 then 'single' when event_id = 3 then 'bad_shards' else 'ok' end state FROM n")
+def shard_states(t):
+    vectors_, listed, _ = placed(t)
+    return shards.shard_states(vectors_, listed)
+
+
+@query(f"{PLACED} SELECT event_id, count(*) n, cast(sum(row_idx) as bigint) row_sum, cast(sum(list_sum(c)) as bigint) code_sum FROM hd JOIN n USING (event_id) WHERE event_id = 3 OR s = 1 OR vec_id % 4 > 0 GROUP BY 1")
+def compact_vectors(t):
+    """Compaction that keeps only vectors with a face, where the shards are whole."""
+    moved, _ = shards.compact_checked(*placed(t))
+    total = F.sum(F.aggregate("codes", F.lit(0).cast("long"), lambda a, x: a + x))
+    return moved.groupBy("event_id").agg(F.count("*").alias("n"), F.sum("row_idx").alias("row_sum"), total.alias("code_sum"))
+
+
+@query(f"{PLACED} SELECT event_id, if(event_id = 3 OR s = 1, s, 1) shards, cast(n as bigint) row_count FROM n")
+def compact_directory(t):
+    _, whole = shards.compact_checked(*placed(t))
+    return whole.groupBy("event_id").agg(F.count("*").alias("shards"), F.sum("row_count").alias("row_count"))
+
+
+@query("SELECT cast(label as bigint) event_id, count(*) * 64 // 1000 + if(count(*) * 64 % 1000 > 0, 1, 0) reads, count(*) * 64 bytes FROM embeddings GROUP BY 1")
+def segment_read(t):
+    """Files read back in planned parts of 1,000 bytes; event 2's file is short by half a row, event 1's is planned from its size."""
+    rows = codes(t).select(C("label").cast("long").alias("event_id"), F.concat(F.lit("L"), "label").alias("shard_key"), C("vec_id").alias("row_idx"), vectors.packed(C("codes")).alias("packed"))
+    files = shards.encode_shard(rows)
+    listed = files.select("event_id", "shard_key", F.floor(F.length("content") / DIM).alias("row_count"))
+    read = shards.read_segments(files.select("shard_key", "content"), shards.segment_plan(listed, DIM, 1000))
+    return read.groupBy("event_id").agg(F.count("*").alias("reads"), F.sum(F.length("bytes")).cast("long").alias("bytes"))
+
+
+@query("SELECT page_id, page_id % 4 < 2 ok FROM pages")
+def shard_key_rule(t):
+    named = t.raw("pages").selectExpr("page_id", "case page_id % 4 when 0 then concat('index/ev_', page_id, '/s-1.bin') when 1 then 'index/a.b/c' when 2 then concat('index/', page_id) else 'index/../x/y' end shard_key")
+    return named.select("page_id", shards.key_ok("shard_key").alias("ok"))
+
+
+@query("SELECT if(o_orderkey % 5 = 1, concat('t', o_orderkey), concat('f', o_orderkey)) file_id, concat('n', o_orderkey) AS name, concat('d', o_orderkey % 7) folder FROM orders WHERE o_orderkey % 7 < 5 AND o_orderkey % 5 < 3")
+def folder_images(t):
+    """Images in known folders: of five files one is a picture, one a shortcut to one, one a picture in capitals' stead, the others are not."""
+    mime = f"element_at(array('image/jpeg', '{shards.SHORTCUT}', 'image/heic', 'text/plain', '{shards.SHORTCUT}'), cast(o_orderkey % 5 + 1 as int))"
+    target = "element_at(array(null, 'image/png', null, null, 'application/pdf'), cast(o_orderkey % 5 + 1 as int))"
+    files = t.raw("orders").selectExpr("concat('d', o_orderkey % 7) parent", "concat('f', o_orderkey) file_id", "concat('n', o_orderkey) name", f"{mime} mime", "concat('t', o_orderkey) target_id", f"{target} target_mime")
+    return shards.images_in(files, t.spark.range(5).selectExpr("concat('d', id) folder"))
+
+
+@query("SELECT 50 folders, true truncated UNION ALL SELECT 399, false")
+def folder_bound(t):
+    edges = t.spark.range(1, 400).selectExpr("cast(id as string) parent", "explode(array(2 * id, 2 * id + 1)) child").where("child < 400").withColumn("child", C("child").cast("string"))
+    return shards.walk_bounded(edges, "1", 50)[1].unionByName(shards.walk_bounded(edges, "1")[1])
+
+
 # ---- text
 
 PRINTED = "case p_partkey % 6 when 0 then concat(' 00', p_partkey, ' ') when 1 then concat('#', p_partkey) when 2 then concat('f-00', p_partkey % 100) when 3 then concat('MW ', p_partkey) when 4 then concat(p_partkey, 'km') else cast(p_partkey as string) end"
@@ -269,6 +335,66 @@ def rounds_estimate(t):
     return t.sources.select("source_id", text.rounds_estimate(C("discovered") * 40, image).alias("rounds"), text.plural(C("discovered"), "photo").alias("label"))
 
 
+@query("SELECT c_custkey, case when trim(r, chr(9) || ' ') = '' then '' when f = '' then null else f end stored, f = '' AND trim(r, chr(9) || ' ') <> '' refused FROM (SELECT *, array_to_string(list_filter(list_transform(string_split(upper(replace(r, ';', ',')), ','), lambda x: trim(x, chr(9) || ' ')), lambda x: regexp_matches(x, '^[A-Z]{1,2}$')), ',') f FROM (SELECT c_custkey, case c_custkey % 4 when 0 then concat(chr(9), 'f;', chr(9), 'mw', chr(9)) when 1 then concat(c_custkey, ', 7') when 2 then concat(' ', chr(9)) else substr(c_mktsegment, 1, 2) end r FROM customer))")
+def canonical_prefixes(t):
+    raw = F.expr("case c_custkey % 4 when 0 then concat(char(9), 'f;', char(9), 'mw', char(9)) when 1 then concat(c_custkey, ', 7') when 2 then concat(' ', char(9)) else substr(c_mktsegment, 1, 2) end")
+    stored = text.canonical_prefixes(raw)
+    return t.raw("customer").select("c_custkey", stored.alias("stored"), stored.isNull().alias("refused"))
+
+
+PADDED = "case p_partkey % 5 when 0 then concat({tab}, p_partkey % 1000, {nl}) when 1 then concat('f', {tab}, '-7') when 2 then concat({nl}, 'mw-00', p_partkey % 90, ' ') when 3 then concat(p_partkey % 100, ' ', p_partkey % 7) else concat('#', p_partkey % 100) end"
+PADS = {"sql": {"tab": "chr(9)", "nl": "chr(10)"}, "spark": {"tab": "char(9)", "nl": "char(10)"}}
+
+
+@query(f""", pr AS (SELECT p_partkey, trim({PADDED.format(**PADS["sql"])}, chr(9) || chr(10) || ' ') printed FROM part)
+SELECT p_partkey, {_normal_sql(False)} strict, {_normal_sql(True)} lenient, regexp_matches(printed, '^[0-9]{{2,3}}$') passes FROM pr""")
+def bib_padded(t):
+    raw = F.expr(PADDED.format(**PADS["spark"]))
+    return t.raw("part").select("p_partkey", text.normalize_bib(raw).alias("strict"), text.normalize_bib(raw, True).alias("lenient"), text.passes_gate(raw, 2, None, 3).alias("passes"))
+
+
+CLOCKS = "case o_orderkey % 6 when 0 then concat(o_orderkey % 24, ':05') when 1 then concat({tab}, '2024:05:01 ', o_orderkey % 24, ':15:59 ') when 2 then '2024:08:02' when 3 then concat('at T', o_orderkey % 24, ':45') when 4 then concat('2024-05-01T', o_orderkey % 24, ':30:00Z') else concat('x', o_orderkey % 24, ':20') end"
+
+
+@query("SELECT o_orderkey, case o_orderkey % 6 when 0 then h || ':05' when 1 then h || ':15' when 2 then null when 3 then h || ':45' when 4 then null else null end clock FROM (SELECT o_orderkey, lpad(cast(o_orderkey % 24 as varchar), 2, '0') h FROM orders)")
+def clock_forms(t):
+    return t.raw("orders").select("o_orderkey", text.clock_time(F.expr(CLOCKS.format(tab="char(9)"))).alias("clock"))
+
+
+DAYS = "case o_orderkey % 4 when 0 then concat(date_format(o_orderdate, 'yyyy-MM-dd'), 'T23:30:17.170Z') when 1 then date_format(o_orderdate, 'yyyy-MM-dd') when 2 then 'soon' end"
+
+
+@query("SELECT o_orderkey, case o_orderkey % 4 when 2 then 'soon' when 3 then null else strftime(o_orderdate, '%-d %b %Y') end shown FROM orders")
+def format_instants(t):
+    return t.raw("orders").select("o_orderkey", text.format_date(F.expr(DAYS)).alias("shown"))
+
+
+LINKS = "case page_id % 7 when 0 then concat('https://drive.example/drive/u/1/folders/a_', page_id, '?usp=sharing') when 1 then concat('/folders/b', page_id) when 2 then concat('https://photos.google.com/share/folders/c', page_id) when 3 then concat('open?authuser=0&id=d-', page_id, '#x') when 4 then concat(' ', repeat('e', 19), page_id % 10, ' ') when 5 then 'tooshort' else 'https://Photos.App.goo.gl/abcdefghijklmnopqrst' end"
+
+
+@query("SELECT page_id, case page_id % 7 when 0 then 'a_' || page_id when 1 then 'b' || page_id when 3 then 'd-' || page_id when 4 then repeat('e', 19) || page_id % 10 end folder FROM pages")
+def folder_link_forms(t):
+    return t.raw("pages").select("page_id", text.folder_id(F.expr(LINKS)).alias("folder"))
+
+
+@query("SELECT page_id, page_id % 3 = 0 ok FROM pages")
+def file_ids(t):
+    value = F.expr("case page_id % 3 when 0 then concat('file_', lpad(page_id, 8, '0')) when 1 then concat('a b', lpad(page_id, 9, '0')) else 'short' end")
+    return t.raw("pages").select("page_id", text.file_id_ok(value).alias("ok"))
+
+
+@query("SELECT n_nationkey, case when z then 1.0 else a end a, case when z then 0.0 else b end b, case when z then 0.0 else 5.0 end tx, case when z then 0.0 else -1.0 end ty, case when z then 0.0 else round((-5 * a + b) / (a * a + b * b), 6) end back_tx FROM (SELECT n_nationkey, n_nationkey % 5 = 4 z, cast(n_nationkey % 4 + 1 as double) a, cast(n_nationkey % 3 as double) b FROM nation)")
+def similarity_fit(t):
+    """Points turned, scaled and moved are found again; points in one place give the identity."""
+    one = "n_nationkey % 5 = 4"
+    source = F.expr(f"transform(array(0D, 4D, 1D), (x, i) -> named_struct('x', if({one}, 3D, x), 'y', if({one}, 3D, element_at(array(0D, 0D, 3D), i + 1))))")
+    rows = t.raw("nation").select("n_nationkey", (C("n_nationkey") % 4 + 1).cast("double").alias("a0"), (C("n_nationkey") % 3).cast("double").alias("b0"), source.alias("s"))
+    target = F.transform("s", lambda p: F.struct((C("a0") * p["x"] - C("b0") * p["y"] + 5).alias("x"), (C("b0") * p["x"] + C("a0") * p["y"] - 1).alias("y")))
+    fit = rows.withColumn("f", geometry.similarity(C("s"), target)).withColumn("back", geometry.inverse(C("f")))
+    near = lambda c: F.round(c, 6) + 0.0  # noqa: E731  minus zero is zero
+    return fit.select("n_nationkey", *[near(C(f"f.{c}")).alias(c) for c in ("a", "b", "tx", "ty")], near(C("back.tx")).alias("back_tx"))
+
+
 # ---- search and pages
 
 
@@ -349,6 +475,112 @@ def photo_nested(t):
     return search.photo_nested(t.photos, t.bibs).select("photo_id", F.array_join(each, " ").alias("bibs"))
 
 
+EV2 = "SELECT *, event_id % 5 <> 2 bibs_enabled FROM ev"
+LOOK = """, own AS (SELECT b.* FROM bb b JOIN ph USING (photo_id) WHERE event_id = {event}), found AS (SELECT photo_id, bib, conf, bib_raw FROM own JOIN live USING (photo_id) WHERE {where} ORDER BY conf DESC, photo_id, bib LIMIT 200),
+hits AS (SELECT *, '{kind}' kind FROM found QUALIFY row_number() OVER (PARTITION BY photo_id ORDER BY conf DESC, bib) = 1)"""
+ANSWER = """ SELECT '{bib}' bib, cast({error} as varchar) error, (SELECT max(kind) FROM hits) matched, (SELECT arg_min(bib_raw, (-conf, photo_id)) FROM hits) bib_read,
+coalesce((SELECT string_agg(bib, ',' ORDER BY bib) FROM (SELECT DISTINCT bib FROM own WHERE {other} ORDER BY 1 LIMIT 10)), '') alternatives, (SELECT count(*) FROM hits) photos, {wider} fuzzy_available"""
+
+
+def _lookup(t: Tables, event_id: int, printed: str, fuzzy: bool = False) -> tuple[DataFrame, DataFrame]:
+    """Number search in one event; every event that leaves 2 over 5 has no numbers."""
+    events = t.events.withColumn("bibs_enabled", C("event_id") % 5 != 2)
+    bibs = t.bibs.join(t.photos.select("photo_id", "event_id"), "photo_id")
+    hits, answer = search.bib_lookup(events, bibs, t.photos, t.sources, event_id, printed, fuzzy)
+    return hits, answer.withColumn("alternatives", F.array_join("alternatives", ","))
+
+
+@query(LOOK.format(event=4, where="bib = 'A-42'", kind="exact") + " SELECT photo_id, bib, conf, bib_raw, kind FROM hits")
+def bib_event_exact(t):
+    return _lookup(t, 4, "a #0042", True)[0]
+
+
+@query(LOOK.format(event=5, where="bib LIKE 'N-%999'", kind="suffix") + ANSWER.format(bib="N-999", error="NULL", other="bib LIKE '%-999' AND bib <> 'N-999'", wider="false"))
+def bib_event_nothing(t):
+    return _lookup(t, 5, "N-999", True)[1]
+
+
+@query(LOOK.format(event=8, where="bib LIKE 'N-%01'", kind="suffix") + " SELECT photo_id, bib, conf, bib_raw, kind FROM hits")
+def bib_event_suffix(t):
+    own = t.bibs.where("bib != 'N-1'")
+    bibs = own.withColumn("bib", F.regexp_replace("bib", "^([A-Z])-1$", "$1-2")).join(t.photos.select("photo_id", "event_id"), "photo_id")
+    events = t.events.withColumn("bibs_enabled", F.lit(True))
+    rows = bibs.where("bib like '%01'")  # 'N-1' ends every number that ends in 1; those that end in 01 are asked for
+    return search.bib_lookup(events, rows, t.photos, t.sources, 8, "N1", True)[0]
+
+
+@query(LOOK.format(event=4, where="bib = 'R-7'", kind="exact") + ANSWER.format(bib="R-7", error="NULL", other="bib LIKE '%-7' AND bib <> 'R-7'", wider="(SELECT count(*) FROM hits) = 0"))
+def bib_event_answer(t):
+    return _lookup(t, 4, "r 7")[1]
+
+
+@query(LOOK.format(event=12, where="false", kind="exact") + ANSWER.format(bib="A-5", error="'no_bibs'", other="bib LIKE '%-5' AND bib <> 'A-5'", wider="false"))
+def bib_event_off(t):
+    return _lookup(t, 12, "A5")[1]
+
+
+PUBLIC = "if(photo_id % 4 = 0, null, concat('thumbs/', photo_id, '.jpg')) thumb_key"
+
+
+@query("SELECT photo_id, if(photo_id % 4 = 0, null, concat('https://cdn.example/thumbs/', photo_id, '.jpg')) thumb_url, concat('https://drive.google.com/file/d/f', photo_id, '/view') original_url, width, height, taken taken_at FROM ph")
+def public_photos(t):
+    photos = t.photos.selectExpr("photo_id", "concat('f', photo_id) file_id", PUBLIC, "width", "height", "taken taken_at", "source_id")
+    return search.public_photos(photos, "https://cdn.example//")
+
+
+@query("SELECT event_id, concat('s', event_id) slug, name, event_date, if(event_id % 2 = 0, concat('/r2/b', event_id), null) banner_url, status, photo_count, photo_count * 2 face_count, event_id % 3 <> 1 bibs_enabled FROM ev")
+def public_events(t):
+    shown = "if(event_id % 3 = 0, null, if(event_id % 3 = 1, 0, 1)) bibs_enabled"
+    return search.public_events(t.events.selectExpr("event_id", "concat('s', event_id) slug", "name", "event_date", "if(event_id % 2 = 0, concat('b', event_id), null) banner_key", "status", "photo_count", "photo_count * 2 face_count", shown))
+
+
+@query("SELECT n page, count(*) returned, if(count(*) = n, max(photo_id), null) cursor FROM (SELECT photo_id, row_number() OVER (ORDER BY photo_id) k FROM ph WHERE photo_id > 100), (VALUES (60), (100000)) v(n) WHERE k <= n GROUP BY n")
+def page_cursor(t):
+    pages = [search.next_cursor(search.photo_page(t.photos, 100, n), n).select(F.lit(n).alias("page"), "returned", "cursor") for n in (60, 100_000)]
+    return pages[0].unionByName(pages[1])
+
+
+@query("SELECT (SELECT count(*) FROM orders) total, least((SELECT count(*) FROM orders), 100) returned, (SELECT string_agg(o_orderkey, ',' ORDER BY o_orderdate DESC, o_orderkey) FROM (SELECT o_orderkey, o_orderdate FROM orders ORDER BY o_orderdate DESC, o_orderkey LIMIT 100)) ids")
+def job_list(t):
+    """The latest hundred jobs, and how many there are."""
+    rows, counts = search.listed(t.raw("orders").select("o_orderkey", "o_orderdate"), 100, F.desc("o_orderdate"), F.asc("o_orderkey"))
+    at = F.struct(-F.unix_date(C("o_orderdate").cast("date")), "o_orderkey")
+    ids = rows.agg(F.array_join(F.transform(F.array_sort(F.collect_list(at)), lambda r: r["o_orderkey"].cast("string")), ",").alias("ids"))
+    return counts.join(F.broadcast(ids))  # a row each
+
+
+@query("SELECT event_id, event_type, value FROM events ORDER BY event_id DESC LIMIT 300")
+def log_list(t):
+    return search.listed(t.raw("events").select("event_id", "event_type", "value"), 300, F.desc("event_id"))[0]
+
+
+@query("SELECT photo_id, ph.event_id, source_id, segment folder_id, if(source_id % 9 = 0, 'thumb', 'original') image_source FROM ph JOIN sr USING (source_id) WHERE photo_id = (SELECT min(o_orderkey) FROM orders)")
+def photo_source(t):
+    least = t.raw("orders").agg(F.min("o_orderkey")).first()[0]
+    sources = t.sources.selectExpr("source_id", "segment folder_id", "if(source_id % 9 = 0, 'thumb', 'original') image_source")
+    return search.photo_source(t.photos, sources, least)
+
+
+@query("SELECT event_id, 'f' || photo_id file_id, photo_id FROM ph WHERE photo_id % 3 = 0 AND event_id % 2 = 0")
+def file_lookup(t):
+    photos = t.photos.selectExpr("event_id", "concat('f', photo_id) file_id", "photo_id")
+    asked = t.photos.where("photo_id % 3 = 0").selectExpr("event_id - event_id % 2 event_id", "concat('f', photo_id) file_id")
+    return search.photo_ids(photos, asked.union(asked))
+
+
+@query("""SELECT photo_id, coalesce(f, 0) faces, coalesce(fx, '') first_face, coalesce(b, '') bibs FROM ph
+LEFT JOIN (SELECT photo_id, count(*) f, arg_min(concat(part, ':', supplier, ':', bib, ':', cast(x * 1000 // width as int)), (part * 1000000 + supplier, x)) fx FROM (SELECT part, supplier, x, photo_id, if(part % 2 = 0, 'x', 'y') bib, width FROM fc JOIN ph USING (photo_id) WHERE width > 0) GROUP BY 1) USING (photo_id)
+LEFT JOIN (SELECT photo_id, string_agg(concat(bib_raw, '=', bib, '/', source), ' ' ORDER BY bib_raw, bib) b FROM bb GROUP BY 1) USING (photo_id)""")
+def photo_details(t):
+    faces = t.faces.selectExpr("photo_id", "cast(part * 1000000 + supplier as bigint) face_id", "if(part % 2 = 0, 'x', 'y') bib", "bbox")
+    out = search.photo_details(t.photos, faces, t.bibs)
+    one = F.get("faces", F.lit(0))
+    # the x of a box may be cut to the frame's edge; boxes here begin inside it
+    first = F.concat_ws(":", F.floor(one["face_id"] / 1000000), F.pmod(one["face_id"], F.lit(1000000)), one["bib"], F.floor(one["x"] * 1000 + 1e-9))
+    shown = F.transform("bibs", lambda b: F.concat(b["bib"], F.lit("="), b["bib_key"], F.lit("/"), b["source"]))
+    return out.select("photo_id", F.size("faces").cast("long").alias("faces"), F.when(F.size("faces") > 0, first).otherwise("").alias("first_face"), F.array_join(shown, " ").alias("bibs"))
+
+
 # ---- reports
 
 
@@ -495,10 +727,12 @@ def read_tokens(t: Tables) -> DataFrame:
     return t.spark.sql(TOKEN.format(s="string", t="tidemark_lines"))
 
 
-REJOINED = f""", tk AS ({TOKEN.format(s="varchar", t="lineitem")}), rj AS (SELECT * FROM tk UNION ALL
-SELECT l.crop_id, concat(l.text, '-', d.text), least(l.conf, d.conf), least(l.x1, d.x1), least(l.y1, d.y1), greatest(l.x2, d.x2), greatest(l.y2, d.y2) FROM tk l JOIN tk d USING (crop_id)
-WHERE l.text IN ('A', 'N') AND regexp_matches(d.text, '^[0-9]+$') AND l.x1 < d.x1 AND d.x1 - l.x2 >= -0.8 * (l.x2 - l.x1) AND d.x1 - l.x2 <= 1.5 * greatest(l.x2 - l.x1, l.y2 - l.y1)
-AND least(l.y2, d.y2) - greatest(l.y1, d.y1) >= 0.5 * least(l.y2 - l.y1, d.y2 - d.y1))"""
+REJOIN = """, rj AS (SELECT * FROM tk UNION ALL
+SELECT l.crop_id, concat(l.letter, '-', d.digits), least(l.conf, d.conf), least(l.x1, d.x1), least(l.y1, d.y1), greatest(l.x2, d.x2), greatest(l.y2, d.y2)
+FROM (SELECT *, rtrim(upper(trim(text, chr(9) || chr(10) || ' ')), '-') letter, greatest(x2 - x1, 1) w, greatest(y2 - y1, 1) h FROM tk) l JOIN (SELECT *, trim(text, chr(9) || chr(10) || ' ') digits, greatest(y2 - y1, 1) h FROM tk) d USING (crop_id)
+WHERE l.letter IN ('A', 'N') AND regexp_matches(d.digits, '^[0-9]+$') AND l.x1 < d.x1 AND l.x2 < d.x2 AND d.x1 - l.x2 >= -0.8 * l.w AND d.x1 - l.x2 <= 1.5 * greatest(l.w, l.h)
+AND least(l.y2, d.y2) - greatest(l.y1, d.y1) >= 0.5 * least(l.h, d.h))"""
+REJOINED = f""", tk AS ({TOKEN.format(s="varchar", t="lineitem")}){REJOIN}"""
 
 
 @query(f"{REJOINED} SELECT * FROM rj")
@@ -506,6 +740,16 @@ def prefix_rejoin(t):
     return tokens.rejoin_prefixes(read_tokens(t), ["A", "n"])
 
 
+# Letters with a dash or a tab, boxes that straddle or are thinner than one unit.
+FORMS = "SELECT l_orderkey crop_id, case when l_linenumber % 2 = 0 then concat({tab}, lower(l_returnflag), if(l_suppkey % 2 = 0, '-', ' ')) else concat(' ', cast(l_partkey % 1000 as {s}), {tab}) end text, 1 - l_discount conf, cast(l_suppkey % 9 as double) x1, cast(0 as double) y1, cast(l_suppkey % 9 + l_quantity / 25 as double) x2, cast(l_partkey % 3 / 2.0 as double) y2 FROM {t}"
+
+
+@query(f""", tk AS ({FORMS.format(s="varchar", t="lineitem", tab="chr(9)")}){REJOIN} SELECT * FROM rj""")
+def rejoin_forms(t):
+    t.raw("lineitem").createOrReplaceTempView("tidemark_lines")
+    return tokens.rejoin_prefixes(t.spark.sql(FORMS.format(s="string", t="tidemark_lines", tab="char(9)")), ["A", "N"])
+
+
 @query(f"{REJOINED}, hit AS (SELECT crop_id, text bib, conf FROM rj WHERE regexp_matches(text, '[0-9]')) SELECT * FROM hit WHERE NOT EXISTS (SELECT 1 FROM hit p WHERE p.crop_id = hit.crop_id AND p.bib LIKE '%-%' AND split_part(p.bib, '-', 2) = hit.bib)")
 def prefer_prefixed(t):
     hits = tokens.rejoin_prefixes(read_tokens(t), ["A", "N"]).where(C("text").rlike("[0-9]")).select("crop_id", C("text").alias("bib"), "conf")
@@ -519,18 +763,53 @@ def best_per_crop(t):
     return tokens.best_by(hits, "crop_id")
 
 
+ACCEPT = "SELECT l_orderkey photo_id, l_linenumber line, concat({tab}, l_partkey % 100, if(l_suppkey % 2 = 0, ' ', ''), l_suppkey % 10, '  ') text, 1 - l_discount / 2 conf, if(l_linenumber % 3 = 0, null, l_quantity) width, 2000 frame_width FROM {t}"
+
+
+@query(f"SELECT photo_id, line FROM ({ACCEPT.format(tab='chr(9)', t='lineitem')}) WHERE (width IS NULL OR width >= 20) AND conf >= 0.7 AND regexp_matches(replace(trim(text, chr(9) || ' '), ' ', ''), '^[0-9]{{2,3}}$')")
+def ocr_accept(t):
+    t.raw("lineitem").createOrReplaceTempView("tidemark_lines")
+    return tokens.accept(t.spark.sql(ACCEPT.format(tab="char(9)", t="tidemark_lines")), text.bib_rule(2, None, 3)[0]).select("photo_id", "line")
+
+
+READS = "SELECT l_orderkey photo_id, l_linenumber crop_id, cast(l_partkey % 9 as {s}) bib, concat('0', l_partkey % 9) bib_raw, cast(1 - l_discount as double) conf, l_linestatus FROM {t}"
+
+
+@query(f""", rd AS ({READS.format(s="varchar", t="lineitem")}) SELECT photo_id, bib, bib_raw, conf FROM (SELECT *, row_number() OVER (PARTITION BY photo_id, crop_id // 3 ORDER BY conf DESC, bib) k FROM rd WHERE l_linestatus = 'F') WHERE k = 1
+UNION ALL SELECT photo_id, bib, any_value(bib_raw), max(conf) FROM rd WHERE l_linestatus = 'O' GROUP BY 1, 2""")
+def photo_reads(t):
+    t.raw("lineitem").createOrReplaceTempView("tidemark_lines")
+    reads = t.spark.sql(READS.format(s="string", t="tidemark_lines"))
+    return tokens.photo_reads(reads.where("l_linestatus = 'F'").withColumn("crop_id", F.floor(C("crop_id") / 3)), reads.where("l_linestatus = 'O'"))
+
+
+BOXES = ", bo AS (SELECT photo_id, part * 1000 + supplier box_id, any_value(x) x1, any_value(y) y1, any_value(x + w) x2, any_value(y + h) y2 FROM fc GROUP BY 1, 2), sb AS (SELECT photo_id, box_id, box_id % 97 / 97.0 score, cast(box_id % 2 + 1 as int) scale, cast(x1 as double) x1, cast(y1 as double) y1, cast(x2 as double) x2, cast(y2 as double) y2 FROM bo)"
+# Boxes in order, one a round; a round keeps the next box unless a kept one overlaps it.
+GREEDY = """, rk AS (SELECT *, row_number() OVER (PARTITION BY photo_id ORDER BY {order}) k FROM sb)
+SELECT photo_id, b.box_id, b.score, b.scale, b.x1, b.y1, b.x2, b.y2 FROM (SELECT photo_id, unnest(kept) b FROM (SELECT photo_id, arg_max(kept, k) kept FROM (
+WITH RECURSIVE walk AS (SELECT photo_id, k, [rk] kept FROM rk WHERE k = 1 UNION ALL
+SELECT w.photo_id, r.k, if({free}len(list_filter(w.kept, lambda o: {both} / greatest((o.x2 - o.x1) * (o.y2 - o.y1) + (r.x2 - r.x1) * (r.y2 - r.y1) - {both}, 1e-6) > 0.4)) = 0, list_append(w.kept, r), w.kept) FROM walk w JOIN rk r ON r.photo_id = w.photo_id AND r.k = w.k + 1)
+SELECT * FROM walk) GROUP BY 1))"""
+BOTH = "(greatest(0, least(o.x2, r.x2) - greatest(o.x1, r.x1)) * greatest(0, least(o.y2, r.y2) - greatest(o.y1, r.y1)))"
+
+
+@query(f"{BOXES} SELECT photo_id, box_id FROM sb QUALIFY row_number() OVER (PARTITION BY photo_id ORDER BY (x2 - x1) * (y2 - y1) DESC, box_id) = 1")
+def largest_face(t):
+    return tokens.largest_box(scored_boxes(t), "photo_id").select("photo_id", "box_id")
+
+
 def scored_boxes(t: Tables) -> DataFrame:
     box = geometry.parse_box(C("bbox"))
     rows = t.faces.select("photo_id", (C("part") * 1000 + C("supplier")).alias("box_id"), box.alias("b")).dropDuplicates(["photo_id", "box_id"])
     return rows.select("photo_id", "box_id", (C("box_id") % 97 / 97.0).alias("score"), (C("box_id") % 2 + 1).cast("int").alias("scale"), C("b.x").alias("x1"), C("b.y").alias("y1"), (C("b.x") + C("b.w")).alias("x2"), (C("b.y") + C("b.h")).alias("y2"))
 
 
-@query()
+@query(BOXES + GREEDY.format(order="score DESC, box_id", free="", both=BOTH))
 def nms(t):
     return tokens.suppress(scored_boxes(t), "photo_id")
 
 
-@query()
+@query(BOXES + GREEDY.format(order="scale, score DESC, box_id", free="r.scale = 1 OR ", both=BOTH))
 def merge_scales(t):
     return tokens.merge_scales(scored_boxes(t), "photo_id")
 
@@ -653,6 +932,148 @@ def event_rules(t):
     return shards.event_rules(rows)
 
 
+@query("SELECT photo_id, part, x, y FROM fc JOIN ph USING (photo_id) WHERE width IS NOT NULL AND NOT (x + w <= width + greatest(width, height) * 0.25 AND y + h <= height + greatest(width, height) * 0.25)")
+def face_misfits(t):
+    delta = t.faces.select("photo_id", "part", "bbox")
+    wrong = mutations.misfits(delta, t.photos.select("photo_id", "width", "height"))
+    box = geometry.parse_box(C("bbox"))
+    return wrong.select("photo_id", "part", box["x"].cast("long").alias("x"), box["y"].cast("long").alias("y"))
+
+
+@query(f"{DIRECTORY} SELECT event_id, shard_key, cast(coalesce(n.b, dir.row_base) as bigint) row_base, cast(coalesce(n.c, dir.row_count) as bigint) row_count FROM dir FULL JOIN (SELECT cast(i % 8 as bigint) event_id, concat('s', lpad(cast(i // 8 + 3 as varchar), 2, '0')) shard_key, i * 100 + 2 b, i + 2 c FROM range(32) r(i)) n USING (event_id, shard_key)")
+def directory_upsert(t):
+    delta = t.spark.range(32).selectExpr("cast(id % 8 as bigint) event_id", "concat('s', lpad(floor(id / 8) + 3, 2, '0')) shard_key", "id", "explode(array(1, 2)) seq").selectExpr("event_id", "shard_key", "id * 100 + seq row_base", "id + seq row_count", "seq")
+    return mutations.write_directory(directory(t), delta)
+
+
+SOURCES = "SELECT min(source_id) source_id, event_id, segment folder_id, min(name) url, if(min(source_id) % 3 = 0, 'thumb', 'original') image_source, if(bool_or(removed), 'gone', null) removed_at, 'old' added_at FROM {t} WHERE source_id % 2 = 0 GROUP BY event_id, segment"
+SOURCE_DELTA = "SELECT cast(source_id as bigint) source_id, event_id, segment folder_id, concat('u', source_id) url, 'new' added_at, case source_id % 3 when 0 then 'thumb' when 1 then 'originl' else 'original' end image_source, source_id % 4 > 0 is_operator, source_id seq FROM {t} WHERE source_id % 5 < 3"
+
+
+@query(f""", b AS ({SOURCES.format(t="sr")}), d AS ({SOURCE_DELTA.format(t="sr")}), ok AS (SELECT * FROM d WHERE NOT EXISTS (SELECT 1 FROM b WHERE b.event_id = d.event_id AND b.folder_id = d.folder_id AND b.removed_at IS NOT NULL)),
+f AS (SELECT event_id, folder_id, arg_max(source_id, seq) source_id, arg_max(url, seq) url, arg_max(case when NOT is_operator then 'thumb' when image_source IN ('thumb', 'original') then image_source end, seq) FILTER (NOT is_operator OR image_source IN ('thumb', 'original')) image_source FROM ok GROUP BY 1, 2)
+SELECT event_id, folder_id, coalesce(b.source_id, f.source_id) source_id, coalesce(f.url, b.url) url, case when f.url IS NULL then b.image_source else coalesce(f.image_source, b.image_source, 'original') end image_source, b.removed_at, coalesce(b.added_at, 'new') added_at FROM b FULL JOIN f USING (event_id, folder_id)""")
+def source_upsert(t):
+    t.sources.createOrReplaceTempView("tidemark_sources")
+    base, delta = (t.spark.sql(q.format(t="tidemark_sources")) for q in (SOURCES, SOURCE_DELTA))
+    return mutations.write_sources(base, delta)[0].select("event_id", "folder_id", "source_id", "url", "image_source", "removed_at", "added_at")
+
+
+@query(f""", b AS ({SOURCES.format(t="sr")}), d AS ({SOURCE_DELTA.format(t="sr")}) SELECT d.source_id FROM d JOIN b USING (event_id, folder_id) WHERE removed_at IS NOT NULL""")
+def source_refused(t):
+    t.sources.createOrReplaceTempView("tidemark_sources")
+    base, delta = (t.spark.sql(q.format(t="tidemark_sources")) for q in (SOURCES, SOURCE_DELTA))
+    return mutations.write_sources(base, delta)[1].select("source_id")
+
+
+@query("SELECT event_id, if(status = 'draft' AND event_id % 3 = 0, 'indexing', status) status FROM ev")
+def index_start(t):
+    return mutations.start_indexing(t.events, t.events.where("event_id % 3 = 0").select("event_id")).select("event_id", "status")
+
+
+PEOPLE = "SELECT concat('owner', s_suppkey, '@example.org') email, cast(s_suppkey as {s}) added_at, 'ops' added_by, if(s_suppkey % 3 = 0, 'day', null) banned_at, if(s_suppkey % 3 = 0, 'why', null) reason FROM {t} WHERE s_suppkey % 2 = 0"
+
+
+def people(t: Tables) -> DataFrame:
+    t.raw("supplier").createOrReplaceTempView("tidemark_people")
+    return t.spark.sql(PEOPLE.format(s="string", t="tidemark_people"))
+
+
+@query(f""", b AS ({PEOPLE.format(s="varchar", t="supplier")}), d AS (SELECT concat('owner', s_suppkey, '@example.org') email, cast(s_suppkey * 2 as varchar) added FROM supplier WHERE s_suppkey % 5 = 0)
+SELECT email, coalesce(added_at, added) added_at, coalesce(added_by, 'me') added_by, if(added IS NULL, banned_at, null) banned_at, if(added IS NULL, reason, null) reason FROM b FULL JOIN d USING (email)""")
+def organizer_add(t):
+    delta = t.raw("supplier").where("s_suppkey % 5 = 0").selectExpr("concat(' Owner', s_suppkey, '@example.org ') email", "cast(s_suppkey * 2 as string) added_at", "'me' added_by", "1 seq")
+    return mutations.add_organizers(people(t), delta)
+
+
+@query(f""", b AS ({PEOPLE.format(s="varchar", t="supplier")}), d AS (SELECT concat('owner', s_suppkey, '@example.org') email, if(s_suppkey % 2 = 0, null, 'spam') r FROM supplier WHERE s_suppkey % 4 < 2 AND s_suppkey <> 4)
+SELECT email, coalesce(added_at, 'today') added_at, coalesce(added_by, 'ops2') added_by, if(d.email IS NULL, banned_at, 'today') banned_at, if(d.email IS NULL, reason, r) reason FROM (SELECT email e, * FROM b) b FULL JOIN d USING (email)""")
+def organizer_ban(t):
+    return mutations.ban(people(t), t.events, bans(t), "owner4@example.org")[0]
+
+
+def bans(t: Tables) -> DataFrame:
+    return t.raw("supplier").where("s_suppkey % 4 < 2").selectExpr("concat('Owner', s_suppkey, '@example.org') email", "'today' banned_at", "'ops2' banned_by", "if(s_suppkey % 2 = 0, '  ', ' spam ') reason", "1 seq")
+
+
+@query("SELECT event_id, if(status = 'ready' AND lower(owner_email) IN (SELECT concat('owner', s_suppkey, '@example.org') FROM supplier WHERE s_suppkey % 4 < 2 AND s_suppkey <> 4), 'draft', status) status FROM ev")
+def ban_unpublish(t):
+    return mutations.ban(people(t), t.events, bans(t), "owner4@example.org")[1].select("event_id", "status")
+
+
+def withdrawn(t: Tables) -> dict[str, DataFrame]:
+    tables = {
+        "sources": t.sources.selectExpr("source_id", "event_id", "if(source_id % 14 = 0, 'before', null) removed_at"),
+        "photos": t.photos.select("photo_id", "source_id", "event_id"),
+        "faces": t.faces.select("photo_id", "part"),
+        "bibs": t.bibs.select("photo_id", "bib"),
+        "rejects": t.bibs.where("photo_id % 5 = 0").select("photo_id", "bib"),
+        "events": t.events.select("event_id", "photo_count", (C("photo_count") * 0 - 1).alias("face_count")),
+    }
+    return mutations.withdraw(tables, t.sources.where("source_id % 7 = 0 and event_id % 2 = 0").select("source_id"), F.lit("now"))
+
+
+@query("SELECT source_id, case when source_id % 14 = 0 then 'before' when source_id % 7 = 0 AND event_id % 2 = 0 then 'now' end removed_at FROM sr")
+def withdraw_source(t):
+    return withdrawn(t)["sources"].select("source_id", "removed_at")
+
+
+@query("""SELECT 'photos' part, count(*) n, cast(sum(photo_id) as bigint) ids FROM ph WHERE NOT (source_id % 7 = 0 AND event_id % 2 = 0) UNION ALL SELECT 'faces', count(*), cast(sum(photo_id) as bigint) FROM fc JOIN ph USING (photo_id) WHERE NOT (source_id % 7 = 0 AND event_id % 2 = 0)
+UNION ALL SELECT 'bibs', count(*), cast(sum(photo_id) as bigint) FROM bb JOIN ph USING (photo_id) WHERE NOT (source_id % 7 = 0 AND event_id % 2 = 0) UNION ALL SELECT 'rejects', count(*), cast(sum(photo_id) as bigint) FROM bb JOIN ph USING (photo_id) WHERE NOT (source_id % 7 = 0 AND event_id % 2 = 0) AND photo_id % 5 = 0""")
+def withdraw_purge(t):
+    after = withdrawn(t)
+    each = [after[n].agg(F.lit(n).alias("part"), F.count("*").alias("n"), F.sum("photo_id").alias("ids")) for n in ("photos", "faces", "bibs", "rejects")]
+    return each[0].unionByName(each[1]).unionByName(each[2]).unionByName(each[3])
+
+
+@query("""SELECT event_id, cast(if(t.event_id IS NULL, photo_count, coalesce(p, 0)) as bigint) photo_count, cast(if(t.event_id IS NULL, -1, coalesce(f, 0)) as bigint) face_count FROM (SELECT event_id e, * FROM ev) ev LEFT JOIN (SELECT DISTINCT event_id FROM sr WHERE source_id % 7 = 0 AND event_id % 2 = 0) t USING (event_id)
+LEFT JOIN (SELECT event_id, count(*) p FROM ph WHERE source_id % 7 > 0 GROUP BY 1) p USING (event_id) LEFT JOIN (SELECT event_id, count(*) f FROM fc JOIN ph USING (photo_id) WHERE source_id % 7 > 0 GROUP BY 1) f USING (event_id)""")
+def withdraw_recount(t):
+    return withdrawn(t)["events"]
+
+
+@query("SELECT (SELECT count(*) FROM fc WHERE photo_id % 6 > 0) faces, (SELECT count(*) FROM bb WHERE photo_id % 6 > 0 OR source = 'manual') bibs")
+def photo_reset(t):
+    faces, bibs = mutations.reset_photos(t.faces, t.bibs, t.photos.where("photo_id % 6 = 0").select("photo_id"))
+    return faces.agg(F.count("*").alias("faces")).join(F.broadcast(bibs.agg(F.count("*").alias("bibs"))))  # a row each
+
+
+@query("SELECT user_id job_id, cast(if(user_id % 3 = 0, 9, 1) as int) done, cast(if(user_id % 4 = 0, 50, null) as int) total, if(user_id % 5 = 0, 'done', 'running') status, case when user_id % 2 = 0 then null when user_id % 7 = 0 then 'late' else 'old' end error, if(user_id % 2 = 0 OR user_id % 7 = 0 OR user_id % 5 = 0, 'now', 'then') updated_at FROM (SELECT DISTINCT user_id FROM events) WHERE user_id % 2 = 0 OR user_id % 7 = 0 OR user_id % 5 = 0 UNION ALL SELECT user_id, 1, null, 'running', 'old', 'then' FROM (SELECT DISTINCT user_id FROM events) WHERE NOT (user_id % 2 = 0 OR user_id % 7 = 0 OR user_id % 5 = 0)")
+def job_progress(t):
+    users = t.raw("events").select(C("user_id").alias("job_id")).distinct()
+    jobs = users.selectExpr("job_id", "1 done", "cast(null as int) total", "'running' status", "'old' error", "'then' updated_at")
+    delta = users.where("job_id % 2 = 0 or job_id % 7 = 0 or job_id % 5 = 0").selectExpr("job_id", "if(job_id % 3 = 0, 9, null) done", "if(job_id % 4 = 0, 50, null) total", "if(job_id % 5 = 0, 'done', null) status", "if(job_id % 2 = 1 and job_id % 7 = 0, 'late', null) error", "job_id % 2 = 0 or job_id % 7 = 0 error_set", "'now' updated_at")
+    return mutations.write_progress(jobs, delta)
+
+
+RULED = "SELECT event_id, name, event_date, status, true bibs_enabled, 3 bib_min_digits, 5 bib_max_digits, if(event_id % 2 = 0, 'F,M', '') bib_prefixes, event_id % 4 = 0 bib_prefix_required FROM {t}"
+
+
+def ruled(t: Tables) -> tuple[DataFrame, DataFrame]:
+    t.events.createOrReplaceTempView("tidemark_events")
+    base = t.spark.sql(RULED.format(t="tidemark_events"))
+    delta = t.events.selectExpr(
+        "event_id", "if(event_id % 5 = 0, 'renamed', null) name", "cast(null as string) event_date", "case event_id % 6 when 1 then 'odd' when 2 then 'ready' end status", "cast(null as boolean) bibs_enabled", "if(event_id % 7 = 3, 6, null) bib_min_digits", "cast(null as int) bib_max_digits",
+        "case event_id % 8 when 0 then ' ' when 3 then '42' when 5 then 'k; f' end bib_prefixes", "if(event_id % 9 = 7, true, null) bib_prefix_required",
+    )
+    return base, delta
+
+
+JUDGED = f""", b AS ({RULED.format(t="ev")}), m AS (SELECT b.event_id, case when b.event_id % 5 = 0 then 'renamed' else name end nm, case b.event_id % 6 when 1 then 'odd' when 2 then 'ready' else status end st, if(b.event_id % 7 = 3, 6, 3) lo,
+case b.event_id % 8 when 0 then '' when 5 then 'K,F' else bib_prefixes end pf, case when b.event_id % 8 = 0 then false when b.event_id % 9 = 7 then true else bib_prefix_required end rq FROM b),
+j AS (SELECT *, case when st NOT IN ('draft', 'indexing', 'ready', 'partial') then 'bad_status' when event_id % 8 = 3 then 'bad_bib_prefixes' when lo > 5 then 'bad_digits' when rq AND pf = '' then 'prefix_needed' end error FROM m)"""
+
+
+@query(f"{JUDGED} SELECT event_id, error FROM j WHERE error IS NOT NULL")
+def patch_refused(t):
+    return mutations.patch_events(*ruled(t))[1]
+
+
+@query(f"{JUDGED} SELECT event_id, if(error IS NULL, nm, name) AS name, if(error IS NULL, st, status) status, if(error IS NULL, pf, bib_prefixes) bib_prefixes, if(error IS NULL, rq, bib_prefix_required) bib_prefix_required FROM j JOIN b USING (event_id)")
+def patch_applied(t):
+    return mutations.patch_events(*ruled(t))[0].select("event_id", "name", "status", "bib_prefixes", "bib_prefix_required")
+
+
 # ---- jobs and streams
 
 JOBS = "SELECT user_id job_id, {cast}(event_id % 5 as int) done, {cast}(event_id % 70 as int) attempts, {cast}(event_id % 11 = 0 as int) stop_requested, event_type FROM {t}"

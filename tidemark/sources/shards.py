@@ -13,6 +13,10 @@ from pyspark.sql import functions as F
 from ..operators.mutations import contiguity
 from ..session import cut
 
+# Fixed values.
+SHORTCUT = "application/vnd.google-apps.shortcut"
+IMAGE_MIMES = ("image/jpeg", "image/jpg", "image/png", "image/webp", "image/heic", "image/heif")
+STRETCH = 8192
 SEGMENT = 4 * 1024 * 1024
 KEY = r"^index/[A-Za-z0-9_.-]+/[A-Za-z0-9_.-]+$"
 
@@ -50,6 +54,14 @@ def explode_shards(files: DataFrame, shards: DataFrame, dim: int) -> DataFrame:
     return joined.mapInArrow(run, "event_id long, row_idx long, codes array<tinyint>")
 
 
+def read_segments(files: DataFrame, plan: DataFrame) -> DataFrame:
+    """event_id, shard_key, offset, length, bytes of the planned reads of ``files``
+    (shard_key, content): a short file gives what it has, a missing one nothing."""
+    part = F.substring(F.col("content"), F.col("offset").cast("int") + 1, F.col("length").cast("int"))
+    read = plan.join(files, "shard_key").withColumn("bytes", part).where(F.length("bytes") > 0)
+    return read.select("event_id", "shard_key", "offset", "length", "bytes")
+
+
 def encode_shard(rows: DataFrame) -> DataFrame:
     """event_id, shard_key, content from (event_id, shard_key, row_idx, packed): a
     file's bytes in row order. A shard is one batch of photos, so a row of it."""
@@ -73,6 +85,48 @@ def compact(vectors: DataFrame, shards: DataFrame, faces: DataFrame | None = Non
     return kept, whole.unionByName(shards.join(sound.select("event_id"), "event_id", "left_anti").select(*whole.columns))
 
 
+def shard_states(vectors: DataFrame, shards: DataFrame) -> DataFrame:
+    """Per event: shards, row_count, state. Beside the states of ``contiguity``:
+    'single' (nothing to merge) and 'bad_shards' (a shard has other than its number
+    of rows in ``vectors``)."""
+    # rows meet shards in stretches of STRETCH rows, so a large event is no one task's work
+    held = vectors.select(F.col("event_id").alias("v_event"), "row_idx", F.floor(F.col("row_idx") / STRETCH).alias("v_at"))
+    spans = shards.withColumn("at", F.explode(F.sequence(F.floor(F.col("row_base") / STRETCH), F.floor((F.col("row_base") + F.greatest(F.col("row_count"), F.lit(1)) - 1) / STRETCH))))
+    place = (F.col("event_id") == F.col("v_event")) & (F.col("at") == F.col("v_at")) & (F.col("row_idx") >= F.col("row_base")) & (F.col("row_idx") < F.col("row_base") + F.col("row_count"))
+    counts = spans.join(held, place, "left").groupBy("event_id", "shard_key", "row_count").agg(F.count("row_idx").alias("held"))
+    bad = counts.where("held != row_count").select("event_id").distinct().withColumn("bad_", F.lit(True))
+    told = contiguity(shards).join(bad, "event_id", "left")
+    state = F.when(F.col("shards") == 1, "single").when(F.col("state") != "ok", F.col("state")).when(F.col("bad_"), "bad_shards").otherwise("ok")
+    return told.select("event_id", "shards", "row_count", state.alias("state"))
+
+
+def compact_checked(vectors: DataFrame, shards: DataFrame, faces: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """As ``compact``, for events whose shards hold all the rows they declare; the
+    others keep their shards and their vectors."""
+    sound = cut(shard_states(vectors, shards).where("state = 'ok'"))
+    some = shards.join(sound.select("event_id"), "event_id", "left_semi")
+    moved, whole = compact(vectors, some, faces)
+    rest = lambda df: df.join(sound.select("event_id"), "event_id", "left_anti")
+    return moved.unionByName(rest(vectors)), whole.unionByName(rest(shards).select(*whole.columns))
+
+
+def images_in(files: DataFrame, folders: DataFrame) -> DataFrame:
+    """file_id, name, folder of the images that lie in ``folders`` (folder). files:
+    parent, file_id, name, mime, target_id, target_mime; a shortcut stands for its target."""
+    short = (F.col("mime") == SHORTCUT) & F.col("target_id").isNotNull()
+    told = files.withColumns({"file_id": F.when(short, F.col("target_id")).otherwise(F.col("file_id")), "mime": F.when(short, F.col("target_mime")).otherwise(F.col("mime"))})
+    return told.where(F.col("mime").isin(*IMAGE_MIMES)).join(folders.select(F.col("folder").alias("parent")), "parent", "left_semi").select("file_id", "name", F.col("parent").alias("folder"))
+
+
+def walk_bounded(edges: DataFrame, root: str, most_folders: int = 500) -> tuple[DataFrame, DataFrame]:
+    """(folders, one row: folders, truncated): the walk, cut after ``most_folders``
+    in order of depth and name, and whether it was."""
+    walked = cut(walk_edges(edges, root))
+    kept = walked.orderBy("depth", "folder").limit(most_folders)
+    total = walked.agg(F.count("*").alias("n"))
+    return kept, total.select(F.least("n", F.lit(most_folders)).alias("folders"), (F.col("n") > most_folders).alias("truncated"))
+
+
 def key_ok(column: str) -> Column:
     return F.coalesce(F.col(column).rlike(KEY), F.lit(False))
 
