@@ -12,8 +12,8 @@ LEFT, RIGHT, TOP, BOTTOM = -0.75, 1.75, 1.2, 6.5
 
 def parse_box(json: Column) -> Column:
     """'[x,y,w,h]' as a struct; null if it has not four numbers."""
-    v = F.from_json(json, "array<double>")
-    return F.when(F.size(v) == 4, F.struct(*[v[i].alias(n) for i, n in enumerate("xywh")]))
+    whole = lambda v: F.when(F.size(v) == 4, F.struct(*[v[i].alias(n) for i, n in enumerate("xywh")]))
+    return F.transform(F.array(F.from_json(json, "array<double>")), whole)[0]  # parsed once
 
 
 def finite(*values: Column) -> Column:

@@ -90,8 +90,8 @@ def totals(sources: DataFrame, photos: DataFrame) -> DataFrame:
 def box_audit(photos: DataFrame, faces: DataFrame) -> DataFrame:
     """Per event, from photos (photo_id, event_id, width, height) and faces
     (photo_id, bbox as JSON): how far boxes reach."""
-    box = geometry.parse_box(F.col("bbox"))
-    reach = faces.select("photo_id", (box["x"] + box["w"]).alias("right"), (box["y"] + box["h"]).alias("bottom"))
+    box = faces.select("photo_id", geometry.parse_box(F.col("bbox")).alias("b"))
+    reach = box.select("photo_id", (F.col("b.x") + F.col("b.w")).alias("right"), (F.col("b.y") + F.col("b.h")).alias("bottom"))
     per = reach.groupBy("photo_id").agg(F.count("*").alias("faces"), F.max("right").alias("right"), F.max("bottom").alias("bottom"))
     known = (F.col("width") > 0) & (F.col("height") > 0)
     edge = F.when(F.col("width").isNotNull() & F.col("height").isNotNull(), F.greatest("width", "height"))

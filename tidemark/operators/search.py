@@ -44,6 +44,26 @@ def score_codes(table: DataFrame, query: list[int], codes: str = "codes") -> Dat
     return table.withColumn("score", vectors.dot(F.col(codes), F.array(*[F.lit(int(c)) for c in query])))
 
 
+def score_vectors(table: DataFrame, query: list[int], least: float, keep: list[str], vector: str = "vector", top: int | None = None) -> DataFrame:
+    """The columns ``keep`` (longs) and the score of the rows that reach ``least``: a
+    batch of float vectors is quantized and scored by one matrix product. With
+    ``top``, of every batch only the rows that score with its best ``top``, ties too."""
+    codes = np.array(query, np.float64)
+    names = [*keep, "score"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            flat = batch.column(len(keep)).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(batch.num_rows, -1)
+            score = (np.clip(np.rint(flat * vectors.UNIT), -vectors.UNIT, vectors.UNIT) @ codes).astype(np.int64)
+            bound = least if top is None or len(score) <= top else max(least, np.partition(score, -top)[-top])
+            hit = np.flatnonzero(score >= bound)
+            rows = pa.array(hit)
+            yield pa.RecordBatch.from_arrays([*[c.take(rows) for c in batch.columns[: len(keep)]], pa.array(score[hit])], names)
+
+    plain = table.select(*[F.col(c).cast("long").alias(c) for c in keep], vector)
+    return plain.mapInArrow(run, ", ".join(f"{c} long" for c in names))
+
+
 def face_search(scored: DataFrame, faces: DataFrame, photos: DataFrame, sources: DataFrame, threshold: float, top_faces: int = 200, top_photos: int = 60, live_first: bool = False) -> DataFrame:
     """photo_id, row_idx, score of the best photos. ``scored`` has row_idx and
     score. By default withdrawn photos count among ``top_faces`` and are dropped

@@ -74,32 +74,35 @@ def largest_box(boxes: DataFrame, group: str) -> DataFrame:
     return boxes.withColumn("rank_", F.row_number().over(order)).where("rank_ = 1").drop("rank_")
 
 
-def _keep(box: np.ndarray, most: float, kept: list[int], rest: list[int]) -> list[int]:
-    """``kept`` and those of ``rest``, in order, that overlap none of them by over ``most``."""
+def _kept(group: np.ndarray, box: np.ndarray, most: float, sure: np.ndarray) -> np.ndarray:
+    """Which boxes stay, in order inside each group: the ``sure`` ones, and those that
+    overlap no box kept before by over ``most``. A round takes the next kept box of
+    all groups at once and drops what it overlaps."""
     area = (box[:, 2] - box[:, 0]) * (box[:, 3] - box[:, 1])
-    out = list(kept)
-    for i in rest:
-        others = box[out]
-        side = np.clip(np.minimum(others[:, 2:], box[i, 2:]) - np.maximum(others[:, :2], box[i, :2]), 0, None)
+    kept, rest = np.zeros(len(group), bool), np.arange(len(group))
+    while len(rest):
+        own = group[rest]
+        new = np.concatenate([[True], own[1:] != own[:-1]])
+        lead = rest[new]
+        kept[lead] = True
+        lead, rest = lead[np.cumsum(new) - 1][~new], rest[~new]
+        side = np.clip(np.minimum(box[lead, 2:], box[rest, 2:]) - np.maximum(box[lead, :2], box[rest, :2]), 0, None)
         both = side[:, 0] * side[:, 1]
-        if not len(out) or (both / np.maximum(area[out] + area[i] - both, 1e-6)).max() <= most:
-            out.append(i)
-    return out
+        rest = rest[sure[rest] | (both / np.maximum(area[lead] + area[rest] - both, 1e-6) <= most)]
+    return kept
 
 
-def _in_groups(boxes: DataFrame, group: str, order: list[Column], choose: Callable[[np.ndarray, np.ndarray | None], list[int]]) -> DataFrame:
-    """The rows of each group that ``choose`` names, given its rows in ``order``.
-    Groups are photos: small, and many of them share a task and a batch."""
+def _in_groups(boxes: DataFrame, group: str, order: list[Column], most: float, sure: Callable[[pa.Table], np.ndarray]) -> DataFrame:
+    """The kept rows of each group, see ``_kept``. Groups are photos: small, and many
+    of them share a task and a batch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rest: pa.Table | None = None
 
         def chosen(table: pa.Table) -> Iterator[pa.RecordBatch]:
             key = table.column(group).to_numpy()
-            edges = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1], [True]]))
-            box, scale = np.stack([table.column(c).to_numpy() for c in ("x1", "y1", "x2", "y2")], axis=1).astype(float), table.column("scale").to_numpy() if "scale" in table.column_names else None
-            rows = [s + i for s, e in zip(edges[:-1], edges[1:], strict=True) for i in ([0] if e - s == 1 else choose(box[s:e], None if scale is None else scale[s:e]))]
-            yield from table.take(pa.array(rows, pa.int64())).combine_chunks().to_batches()
+            box = np.stack([table.column(c).to_numpy() for c in ("x1", "y1", "x2", "y2")], axis=1).astype(float)
+            yield from table.filter(pa.array(_kept(key, box, most, sure(table)))).combine_chunks().to_batches()
 
         for batch in batches:
             table = pa.Table.from_batches([batch]) if rest is None else pa.concat_tables([rest, pa.Table.from_batches([batch])])
@@ -119,15 +122,12 @@ def _in_groups(boxes: DataFrame, group: str, order: list[Column], choose: Callab
 def suppress(boxes: DataFrame, group: str, most: float = SUPPRESS) -> DataFrame:
     """boxes (group, box_id, score, x1, y1, x2, y2) without those that overlap a
     better one, in order of score."""
-    return _in_groups(boxes, group, [F.desc("score"), F.asc("box_id")], lambda box, scale: _keep(box, most, [], list(range(len(box)))))
+    return _in_groups(boxes, group, [F.desc("score"), F.asc("box_id")], most, lambda table: np.zeros(table.num_rows, bool))
 
 
 def merge_scales(boxes: DataFrame, group: str, most: float = SUPPRESS) -> DataFrame:
     """boxes with ``scale`` 1 or 2: all of the first scale, and those of the second
     that no kept box overlaps."""
 
-    def choose(box: np.ndarray, scale: np.ndarray) -> list[int]:
-        first = int((scale == 1).sum())
-        return _keep(box, most, list(range(first)), list(range(first, len(box))))
-
-    return _in_groups(boxes, group, [F.asc("scale"), F.desc("score"), F.asc("box_id")], choose)
+    order = [F.asc("scale"), F.desc("score"), F.asc("box_id")]
+    return _in_groups(boxes, group, order, most, lambda table: table.column("scale").to_numpy() == 1)

@@ -40,6 +40,11 @@ def codes(t: Tables) -> DataFrame:
     return t.vectors.select("vec_id", "label", vectors.quantize_index(C("embedding")).alias("codes"))
 
 
+def scored(t: Tables, keep: list[str], top: int | None = None) -> DataFrame:
+    """Vectors that reach a cosine of 0.2 against the query."""
+    return search.score_vectors(t.vectors, query_codes(t), 0.2 * vectors.SQUARE, keep, "embedding", top)
+
+
 def query_codes(t: Tables, vec_id: int = 0) -> list[int]:
     return t.vectors.where(C("vec_id") == vec_id).select(vectors.quantize_query(C("embedding")).alias("q")).first().q
 
@@ -55,8 +60,7 @@ HITS = f", hits AS (SELECT a.vec_id, a.label, {DOT} score FROM codes a, codes q
 
 @query(f"{HITS} SELECT vec_id, score, round(score / 16129.0, 6) cosine FROM hits WHERE score >= 0.2 * 16129 ORDER BY score DESC, vec_id LIMIT 20")
 def face_topk(t):
-    scored = search.score_codes(codes(t), query_codes(t)).where(C("score") >= 0.2 * vectors.SQUARE)
-    return scored.orderBy(F.desc("score"), "vec_id").limit(20).select("vec_id", "score", F.round(C("score") / vectors.SQUARE, 6).alias("cosine"))
+    return scored(t, ["vec_id"], 20).orderBy(F.desc("score"), "vec_id").limit(20).select("vec_id", "score", F.round(C("score") / vectors.SQUARE, 6).alias("cosine"))
 
 
 FACE_SEARCH = """{hits}, own AS (SELECT vec_id row_idx, cast(vec_id * 3 as bigint) photo_id FROM embeddings),
@@ -66,9 +70,9 @@ SELECT photo_id, row_idx, score FROM best QUALIFY row_number() OVER (PARTITION B
 
 
 def _face_search(t: Tables, live_first: bool) -> DataFrame:
-    scored = search.score_codes(codes(t), query_codes(t)).select(C("vec_id").alias("row_idx"), "score")
+    hits = scored(t, ["vec_id"]).withColumnRenamed("vec_id", "row_idx")
     faces = t.vectors.select(C("vec_id").alias("row_idx"), (C("vec_id") * 3).cast("long").alias("photo_id"))
-    return search.face_search(scored, faces, t.photos, t.sources, 0.2, 25, 10, live_first).select("photo_id", "row_idx", "score")
+    return search.face_search(hits, faces, t.photos, t.sources, 0.2, 25, 10, live_first).select("photo_id", "row_idx", "score")
 
 
 @query(FACE_SEARCH.format(hits=HITS, first="WHERE"))
@@ -83,8 +87,7 @@ def face_live_first(t):
 
 @query(f"{HITS} SELECT label, vec_id, score FROM hits WHERE score >= 0.2 * 16129 QUALIFY row_number() OVER (PARTITION BY label ORDER BY score DESC, vec_id) = 1")
 def face_best_per_label(t):
-    scored = search.score_codes(codes(t), query_codes(t)).where(C("score") >= 0.2 * vectors.SQUARE)
-    return search.best_per(scored, "label", F.desc("score"), F.asc("vec_id")).select("label", "vec_id", "score")
+    return search.best_per(scored(t, ["vec_id", "label"]), "label", F.desc("score"), F.asc("vec_id")).select("label", "vec_id", "score")
 
 
 @query(f"SELECT a.vec_id a, q.vec_id b, {DOT} score FROM codes a JOIN codes q ON a.vec_id < q.vec_id WHERE {DOT} >= 0.38 * 16129")
