@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Callable
 
 import numpy as np
@@ -12,6 +11,7 @@ from pyspark.sql import functions as F
 from ..functions import geometry, text, vectors
 from ..operators import mutations, reports, search, tokens
 from ..sources import shards
+from ..session import shared_folder
 from ..streaming import ingest
 from .tables import VIEWS, Tables
 
@@ -157,8 +157,8 @@ def row_alloc(t):
 
 @query("SELECT cast(label as bigint) event_id, count(*) n, cast(sum(list_sum(c)) as bigint) code_sum FROM codes GROUP BY 1")
 def shard_roundtrip(t):
-    """Vectors packed into shards by label, and read back by their directory."""
-    rows = codes(t).select(C("label").cast("long").alias("event_id"), F.concat(F.lit("L"), "label").alias("shard_key"), C("vec_id").alias("row_idx"), vectors.packed(C("codes")).alias("packed"))
+    """Vectors packed into shards of 256 ids of a label at most, and read back by their directory."""
+    rows = codes(t).select(C("label").cast("long").alias("event_id"), F.concat_ws("-", "label", F.floor(C("vec_id") / 256)).alias("shard_key"), C("vec_id").alias("row_idx"), vectors.packed(C("codes")).alias("packed"))
     files = shards.encode_shard(rows)
     listed = files.select("shard_key", "event_id", F.lit(0).cast("long").alias("row_base"), F.floor(F.length("content") / DIM).alias("row_count"))
     back = shards.explode_shards(files.select("shard_key", "content"), listed, DIM)
@@ -1135,7 +1135,4 @@ def stream_ingest(t):
 
 
 def _scratch(spark: SparkSession) -> str:
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    if shared is None:
-        return tempfile.mkdtemp(prefix="tidemark-stream-")
-    return f"{shared}/stream-{spark.sparkContext.applicationId}-{np.random.default_rng().integers(1 << 60)}"
+    return f"{shared_folder(spark)}/stream-{spark.sparkContext.applicationId}-{np.random.default_rng().integers(1 << 60)}"
