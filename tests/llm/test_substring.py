@@ -67,3 +67,42 @@ def test_repeated_rows_and_empty_table(make_docs):
     got = substring_dedup.remove_repeats(make_docs([(1, text), (1, text), (2, text)])).collect()
     assert sorted((r.doc_id, r.n_removed) for r in got) == [(1, 0), (1, 0), (2, 30)]
     assert substring_dedup.remove_repeats(make_docs([])).count() == 0
+
+
+def test_rows_that_repeat_an_id_stand_for_themselves(make_docs):
+    text, other = " ".join(f"a{i}" for i in range(60)), " ".join(f"b{i}" for i in range(60))
+    got = substring_dedup.remove_repeats(make_docs([(1, text), (2, text), (2, other), (2, other)])).collect()
+    assert sorted((r.doc_id, r.n_removed, r.kept[:2]) for r in got) == [(1, 0, "a0"), (2, 0, "b0"), (2, 0, "b0"), (2, 60, "")]
+
+
+def test_words_with_equal_polynomial_hashes_stay_apart(make_docs):
+    """Two words of 1,024 bytes that any polynomial modulo 2**64 takes for one."""
+    import numpy as np
+    from tidemark.llm import words
+
+    one = "".join("ab"[i.bit_count() & 1] for i in range(1024))
+    two = one.translate(str.maketrans("ab", "ba"))
+    same = [words.polynomial(np.frombuffer(w.encode(), np.uint8).astype(np.uint64), np.array([0]), np.array([1024])) for w in (one, two)]
+    assert same[0] == same[1]
+    around = [f"w{i}" for i in range(19)]
+    rows = [(1, " ".join([*around[:9], one, *around[9:]])), (2, " ".join([*around[:9], two, *around[9:]])), (3, " ".join([one] * 30)), (4, " ".join([two] * 19 + ["x"]))]
+    got = substring_dedup.remove_repeats(make_docs(rows)).collect()
+    assert Counter((r.doc_id, r.n_words, r.n_removed, r.kept) for r in got) == brute(rows)
+
+
+@pytest.mark.parametrize("most", [1, 4])
+def test_common_seeds_go_window_by_window(make_docs, most):
+    rows = corpus(11)
+    got = substring_dedup.remove_repeats(make_docs(rows), most=most).collect()
+    assert Counter((r.doc_id, r.n_words, r.n_removed, r.kept) for r in got) == brute(rows)
+
+
+@pytest.mark.parametrize("window", [2, 3, 20, 31])
+def test_names_tell_windows_apart(window):
+    rng = random.Random(window)
+    own = [rng.choice([b"a", b"b"]) for _ in range(300)]
+    got = substring_dedup.names(own, window)
+    at = range(len(own) - window + 1)
+    real = {}
+    assert [real.setdefault(tuple(own[i : i + window]), int(got[i])) for i in at] == [int(got[i]) for i in at]
+    assert len(set(real.values())) == len(real)

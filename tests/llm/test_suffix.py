@@ -70,8 +70,9 @@ def test_removal_matches_brute_force(make_docs, seed, most):
 
 def test_query_on_the_test_table(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    got = registry.QUERIES["op8_suffix_dedup"](spark, sf_dir)
-    assert Counter(map(tuple, got.collect())) == brute([(r.doc_id, r.text) for r in docs.collect()], 400)
+    rows = registry.QUERIES["op8_suffix_dedup"](spark, sf_dir).collect()
+    assert all(r.removed == (r.n_removed > 0) == bool(r.removed_spans) for r in rows)
+    assert Counter(tuple(r)[:5] for r in rows) == brute([(r.doc_id, r.text) for r in docs.collect()], 400)
 
 
 def test_repeated_rows_and_empty_table(make_docs):
@@ -79,3 +80,33 @@ def test_repeated_rows_and_empty_table(make_docs):
     got = suffix_dedup.remove_repeats(make_docs([(1, text), (1, text), (2, text[:399])])).collect()
     assert sorted((r.doc_id, r.n_removed) for r in got) == [(1, len(text)), (1, len(text)), (2, 0)]
     assert suffix_dedup.remove_repeats(make_docs([])).count() == 0
+
+
+def test_rows_that_repeat_an_id_stand_for_themselves(make_docs):
+    rng = random.Random(3)
+    text, other = (" ".join(str(rng.random()) for _ in range(60)) for _ in range(2))
+    got = suffix_dedup.remove_repeats(make_docs([(1, text), (2, text), (2, other), (3, other[:300])])).collect()
+    assert sorted((r.doc_id, len(r.kept)) for r in got) == [(1, 0), (2, 0), (2, len(other)), (3, 300)]
+
+
+def test_arrays_decide_over_digests(spark):
+    """Regions said to be the same are covered only where their bytes are."""
+    rng = random.Random(6)
+    one, two = ("".join(rng.choice("abcdef") for _ in range(100)).encode() for _ in range(2))
+    rep = suffix_dedup.Repeats(suffix_dedup.byte_units, 40, 8, True)
+    rows = [(5, d, 0, 7, t, [0, 30], [30, 31], [d1, 8], [9, 9]) for d, t, d1 in ((1, one, 3), (2, one[:69] + two[69:], 3))]
+    found = suffix_dedup.run_covers(spark.createDataFrame(rows, suffix_dedup.RUN), rep).collect()
+    assert sorted((r.doc_id, r.start, r.n) for r in found if r.d1 is None) == [(1, 7, 69), (2, 7, 69)]
+    assert [(r.d1, r.d2) for r in found if r.d1 is not None] == [(3, 9), (3, 9)]
+
+
+def test_text_beyond_one_block(make_docs, monkeypatch):
+    """A text of several blocks whose halves repeat each other."""
+    from tidemark.llm import repeats
+
+    monkeypatch.setattr(repeats, "LIMIT", 2000)
+    rng = random.Random(4)
+    half = "".join(rng.choice("abcdefghij ") for _ in range(9000))
+    rows = [(1, half + "#" + half), (2, half[4000:4300]), (3, half[100:600])]
+    got = suffix_dedup.remove_repeats(make_docs(rows)).collect()
+    assert Counter(map(digest, got)) == brute(rows, 400)

@@ -2,34 +2,19 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: A word: a run of anything but ASCII white space.
-WORD = r"[^\x20\x09-\x0D]+"
-
-
-def shared_folder(spark: SparkSession) -> str:
-    """The session's ``spark.checkpoint.dir``; a temporary folder only on a local
-    master without one."""
-    sc = spark.sparkContext
-    known = sc._jsc.sc().getCheckpointDir()
-    folder = spark.conf.get("spark.checkpoint.dir", None) or (known.get() if known.isDefined() else None)
-    if folder is None:
-        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        folder = tempfile.mkdtemp(prefix="tidemark-checkpoint-")
-    if not known.isDefined():
-        sc.setCheckpointDir(folder)
-    return folder
+from ..session import cut, shared_folder
 
+__all__ = ["HOT_SHARE", "MOST_SENT", "WORD", "cut", "documents", "join_hot", "shared_folder", "short", "shuffle_partitions", "text_or_empty"]
 
-def cut(df: DataFrame) -> DataFrame:
-    """``df`` computed once and kept in the shared checkpoint folder."""
-    shared_folder(df.sparkSession)
-    return df.checkpoint()
+#: A word: a run of anything but ASCII white space.
+WORD = r"[^\x20\x09-\x0D]+"
+#: A key that holds over one in so many of all rows is hot; fewer than so many keys can be.
+HOT_SHARE = 10_000
+#: Rows (of a few numbers) up to which a list is broadcast; a longer one is shuffled.
+MOST_SENT = 1 << 18
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -42,3 +27,18 @@ def shuffle_partitions(spark: SparkSession) -> int:
 
 def text_or_empty(name: str = "text") -> Column:
     return F.coalesce(F.col(name).cast("string"), F.lit(""))
+
+
+def short(df: DataFrame) -> DataFrame:
+    """``df``, which has been cut, marked for broadcast if it has at most MOST_SENT rows."""
+    return F.broadcast(df) if df.count() <= MOST_SENT else df
+
+
+def join_hot(rows: DataFrame, table: DataFrame, key: str, n: str, total: int) -> DataFrame:
+    """``rows`` joined with ``table``, which has one row a key and, as ``n``, how many
+    of the ``total`` rows have it. Rows of hot keys meet them by broadcast and are
+    not dealt by key, so that none of them is one task's work. Both have been cut."""
+    is_hot = F.col(n) > total // HOT_SHARE
+    hot = F.broadcast(table.where(is_hot))  # under HOT_SHARE rows
+    cold = rows.join(hot.select(key), key, "left_anti").join(table.where(~is_hot), key)
+    return rows.join(hot, key).unionByName(cold)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import exact_dedup, importance, mixing, secrets, sentencepiece_bpe, simhash, substring_dedup, suffix_dedup, toxicity, weighted_sampling
@@ -34,9 +34,15 @@ def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def span_text(spans: str) -> Column:
+    """The removed runs as start:end, comma-joined."""
+    each = F.transform(spans, lambda s: F.concat_ws(":", s["start"].cast("string"), s["end"].cast("string")))
+    return F.array_join(each, ",").alias("removed_spans")
+
+
 def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.remove_repeats(documents(spark, sf_dir)).select(
-        "doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256")
+        "doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"), (F.col("n_removed") > 0).alias("removed"), span_text("spans")
     )
 
 
@@ -68,6 +74,8 @@ def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
         "n_removed",
         F.size("spans").cast("long").alias("n_spans"),
         F.sha2("kept", 256).alias("kept_sha256"),
+        (F.col("n_removed") > 0).alias("removed"),
+        span_text("spans"),
     )
 
 

@@ -1,62 +1,81 @@
 """Finding repeated windows through winnowed anchors; shared by substring and
 suffix-array dedup.
 
-A text is an array of units (word hashes or bytes). Of every window of W units
-the k-unit gram of least hash is its anchor, so equal windows have equal
-anchors at equal places: joining texts on anchors loses no repeat, at about
-2 / (W - k + 2) rows a unit. The consecutive windows that one anchor leads form
-its region. Within a task equal regions are folded into one row before any
-shuffle, so an anchor that a third of all texts hold sends one row per task and
-distinct region. Anchors are then counted, and only those with a partner join.
-
-Covers are (doc_id, start, n): n units from start are repeated. ``every`` tells
-whether all places of a repeat are covered or all but the earliest.
+A text is an array of units (words or bytes). Of every window of W units the
+k-unit gram of least hash is its anchor, so equal windows have equal anchors at
+equal places: joining texts on anchors loses no repeat, at about 2 / (W - k + 2)
+rows a unit. The consecutive windows that one anchor leads form its region.
+Anchors only bring places together. Regions are the same if a 128-bit
+cryptographic digest of their units is; where an anchor has different regions,
+the units themselves are compared.
+
+A document is a row key: its id and a mark of its text, so that rows that repeat
+an id with other texts stay apart, in order of id, then mark. A cover is
+(doc_id, mark, start, n): n units from start are repeated.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import words
-from .common import cut
+from .common import cut, join_hot
 
 #: Stands for a null id in keys; results carry the id itself.
 NO_ID = -(1 << 63)
 LIMIT = 1 << 20
-_STEP = np.uint64(0x9E3779B97F4A7C15)
 _PLACE = np.uint64((1 << 24) - 1)
-ROW = "anchor long, region long, doc_id long, start int, n int, lead int, cover boolean"
+DOC = ["doc_id", "mark"]
+ROW = "anchor long, d1 long, d2 long, doc_id long, mark long, start int, n int, lead int"
 NAMES = [x.split()[0] for x in ROW.split(", ")]
+COVER = "doc_id long, mark long, start int, n int"
+COVER_NAMES = [x.split()[0] for x in COVER.split(", ")]
+
+
+def byte_units(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    values = np.frombuffer(b"".join(texts), np.uint8).astype(np.uint64)
+    return values, np.concatenate([[0], np.cumsum([len(t) for t in texts], dtype=np.int64)])
 
 
 @dataclass(frozen=True)
 class Repeats:
-    """``units`` turns texts into (values, offsets)."""
+    """``units`` turns texts into (values, offsets). ``every``: all places of a
+    repeat are covered, or all but the earliest."""
 
     units: Callable[[list[bytes]], tuple[np.ndarray, np.ndarray]]
     window: int
     gram: int
     every: bool
 
+    def cutter(self, text: bytes) -> Callable[[int, int], bytes]:
+        """Function of (first unit, end unit) -> the units' bytes, words joined by one space."""
+        if self.units is byte_units:
+            return lambda s, e: text[s:e]
+        plain = b" ".join(text.split())
+        starts, ends = words.bounds(np.frombuffer(plain, np.uint8))
+        return lambda s, e: plain[starts[s] : ends[e - 1]]
 
-def byte_units(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    values = np.frombuffer(b"".join(texts), np.uint8).astype(np.uint64)
-    return values, np.concatenate([[0], np.cumsum([len(t) for t in texts], dtype=np.int64)])
+
+def digests(cut_out: Callable[[int, int], bytes], starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """int64[n, 2]: 128-bit digests of the units of each range."""
+    found = [blake2b(cut_out(s, e), digest_size=16).digest() for s, e in zip(starts.tolist(), ends.tolist(), strict=True)]
+    return np.frombuffer(b"".join(found), np.int64).reshape(-1, 2)
 
 
 def regions(values: np.ndarray, offsets: np.ndarray, window: int, gram: int) -> tuple[np.ndarray, ...]:
-    """(anchor, region, first window, windows, anchor's place in the first
-    window) of all regions; windows do not cross ``offsets``."""
+    """(anchor, first window, windows, anchor's place in the first window) of all
+    regions; windows do not cross ``offsets``."""
     n, reach = len(values), window - gram + 1
     if n < window:
-        return (np.zeros(0, np.uint64),) * 2 + (np.zeros(0, np.int64),) * 3
+        return (np.zeros(0, np.uint64),) + (np.zeros(0, np.int64),) * 3
     up, down = words._POWERS[words.BASES[0]].upto(n + 1)
     sums = np.zeros(n + 1, np.uint64)
     np.cumsum((values + np.uint64(1)) * up[:n], out=sums[1:])
@@ -77,137 +96,112 @@ def regions(values: np.ndarray, offsets: np.ndarray, window: int, gram: int) ->
     real = leader[first] >= 0
     first, stop = first[real], stop[real]
     at = leader[first]
-    content = words.polynomial(values, first, stop - 1 + window, words.BASES[1])
-    region = words.mix(content + (at - first).astype(np.uint64) * _STEP + (stop - first).astype(np.uint64))
-    return grams[at], region, first, stop - first, at - first
+    return grams[at], first, stop - first, at - first
 
 
 def text_regions(rep: Repeats, texts: list[bytes]) -> Iterator[tuple[np.ndarray, ...]]:
-    """As ``regions``, with each row's text index before them; long texts go in
-    overlapping parts of LIMIT units."""
+    """(text index, anchor, digest, first window, windows, lead) of all regions; long
+    texts go in overlapping parts of LIMIT units."""
     for s, e in words.slices(texts, LIMIT):
         values, offsets = rep.units(texts[s:e])
         if len(values) <= 4 * LIMIT:
-            found = regions(values, offsets, rep.window, rep.gram)
-            text = np.searchsorted(offsets, found[2], side="right") - 1
-            yield text + s, *found[:2], found[2] - offsets[text], *found[3:]
+            anchor, first, n, lead = regions(values, offsets, rep.window, rep.gram)
+            text = np.searchsorted(offsets, first, side="right") - 1
+            first = first - offsets[text]
+            edges = np.searchsorted(text, np.arange(e - s + 1))
+            parts = [(a, b, rep.cutter(texts[s + i])) for i, (a, b) in enumerate(zip(edges[:-1], edges[1:], strict=True)) if a < b]
+            digest = [digests(f, first[a:b], first[a:b] + n[a:b] + rep.window - 1) for a, b, f in parts]
+            yield text + s, anchor, np.concatenate(digest) if digest else np.zeros((0, 2), np.int64), first, n, lead
             continue
+        cut_out = rep.cutter(texts[s])
         for at in range(0, len(values), LIMIT):  # one very long text
             part = values[at : at + LIMIT + rep.window - 1]
-            found = regions(part, np.array([0, len(part)]), rep.window, rep.gram)
-            yield np.full(len(found[0]), s), *found[:2], found[2] + at, *found[3:]
-
-
-def fold(keys: list[np.ndarray], doc: np.ndarray, start: np.ndarray, every: bool) -> tuple[np.ndarray, np.ndarray]:
-    """(indexes of the earliest row of each key, indexes of rows known to be covered)."""
-    order = np.lexsort((start, doc, *keys))
-    new = np.ones(len(order), bool)
-    if len(order) > 1:
-        new[1:] = np.any([k[order][1:] != k[order][:-1] for k in keys], axis=0)
-    first = order[new]
-    group = np.cumsum(new) - 1
-    if every:
-        covered = np.bincount(group)[group] > 1 if len(order) else new
-    else:
-        own = first[group]
-        covered = (doc[order] != doc[own]) | (start[order] != start[own])
-    return first, order[covered]
-
-
-def merge(doc: np.ndarray, start: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, ...]:
-    """Overlapping or touching covers of a doc as one."""
+            anchor, first, n, lead = regions(part, np.array([0, len(part)]), rep.window, rep.gram)
+            first = first + at
+            yield np.full(len(first), s), anchor, digests(cut_out, first, first + n + rep.window - 1), first, n, lead
+
+
+def merge(doc: np.ndarray, mark: np.ndarray, start: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Overlapping or touching covers of a document as one."""
     if not len(doc):
-        return doc, start, n
-    order = np.lexsort((start, doc))
-    doc, start, end = doc[order], start[order].astype(np.int64), (start + n)[order].astype(np.int64)
-    shift = np.cumsum(np.concatenate([[0], doc[1:] != doc[:-1]])) << 34
+        return doc, mark, start.astype(np.int64), n.astype(np.int64)
+    order = np.lexsort((start, mark, doc))
+    doc, mark, start, end = doc[order], mark[order], start[order].astype(np.int64), (start + n)[order].astype(np.int64)
+    shift = np.cumsum(np.concatenate([[0], (doc[1:] != doc[:-1]) | (mark[1:] != mark[:-1])])) << 34
     reach = np.maximum.accumulate(end + shift)
     new = np.concatenate([[True], start[1:] + shift[1:] > reach[:-1]])
     at = np.flatnonzero(new)
     stop = np.concatenate([at[1:], [len(doc)]]) - 1
-    return doc[at], start[at], (reach[stop] - shift[stop]) - start[at]
+    return doc[at], mark[at], start[at], (reach[stop] - shift[stop]) - start[at]
 
 
-def ids_of(column: pa.Array) -> np.ndarray:
-    return column.fill_null(NO_ID).to_numpy(zero_copy_only=False).astype(np.int64)
+def cover_rows(doc: np.ndarray, mark: np.ndarray, start: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+    d, m, s, n = merge(doc, mark, start, n)
+    return pa.RecordBatch.from_arrays([pa.array(d), pa.array(m), pa.array(s.astype(np.int32)), pa.array(n.astype(np.int32))], COVER_NAMES)
 
 
-def _rows(columns: list[np.ndarray]) -> pa.RecordBatch:
-    kinds = [np.int64, np.int64, np.int64, np.int32, np.int32, np.int32, bool]
-    cast = [c.view(np.int64) if c.dtype == np.uint64 else c.astype(k) for c, k in zip(columns, kinds, strict=True)]
-    return pa.RecordBatch.from_arrays([pa.array(c) for c in cast], NAMES)
+def row_mark(text: Column) -> Column:
+    return F.xxhash64(F.coalesce(text, F.lit("")))
 
 
-def _cover_rows(doc: np.ndarray, start: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
-    doc, start, n = merge(doc, start, n)
-    scatter = words.mix(doc.view(np.uint64) * _STEP + start.astype(np.uint64))  # joins nothing, goes anywhere
-    zero = np.zeros(len(doc), np.int64)
-    return _rows([scatter, zero, doc, start, n, zero, np.ones(len(doc), bool)])
+def narrow(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """own_id, doc_id (NO_ID for null), mark, text."""
+    text = F.col(text_col).cast("string")
+    key = F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID))
+    return docs.select(F.col(id_col).cast("long").alias("own_id"), key.alias("doc_id"), row_mark(text).alias("mark"), text.alias("text"))
 
 
-def anchors(docs: DataFrame, rep: Repeats) -> DataFrame:
-    """ROW: a row for each distinct region of a task's batch, and the covers that
-    the batch shows by itself. ``docs`` has doc_id and text."""
+def anchors(rows: DataFrame, rep: Repeats) -> DataFrame:
+    """ROW: a row for each region of each text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, parts = ids_of(batch.column(0)), list(text_regions(rep, words.as_bytes(batch.column(1))))
-            if not parts:
-                continue
-            text, anchor, region, start, n, lead = map(np.concatenate, zip(*parts, strict=True))
-            doc = ids[text]
-            first, covered = fold([region, anchor], doc, start, rep.every)
-            kept = [x[first] for x in (anchor, region, doc, start, n, lead)]
-            yield _rows([*kept, np.zeros(len(first), bool)])
-            yield _cover_rows(doc[covered], start[covered], n[covered] + rep.window - 1)
+            doc, mark = (batch.column(i).to_numpy() for i in range(2))
+            for text, anchor, digest, start, n, lead in text_regions(rep, words.as_bytes(batch.column(2))):
+                whole = (anchor.view(np.int64), digest[:, 0], digest[:, 1], doc[text], mark[text])
+                yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(x)) for x in whole] + [pa.array(x.astype(np.int32)) for x in (start, n, lead)], NAMES)
 
-    return docs.mapInArrow(run, ROW)
+    return rows.select(*DOC, "text").mapInArrow(run, ROW)
 
 
-def paired(docs: DataFrame, rep: Repeats) -> DataFrame:
-    """The rows of ``anchors`` whose anchor has another row, and the covers."""
-    found = anchors(docs, rep)
-    shared = found.where("not cover").groupBy("anchor").count().where("count > 1").select(F.col("anchor").alias("s_anchor"))
-    joined = anchors(docs, rep).join(shared, F.col("anchor") == F.col("s_anchor"), "left")
-    return joined.where("cover or s_anchor is not null").select(*NAMES)
+def paired(rows: DataFrame, rep: Repeats, keep: bool) -> DataFrame:
+    """The regions whose anchor has another place. Regions are found twice, or once
+    and stored with ``keep``, which takes about 50 bytes for each."""
+    found = cut(anchors(rows, rep)) if keep else anchors(rows, rep)
+    shared = found.groupBy("anchor").count().where("count > 1").select("anchor")
+    return cut(found.join(shared, "anchor"))
 
 
 def grouped(pairs: DataFrame) -> DataFrame:
-    """One row per (anchor, region): its earliest place and number of rows."""
-    place = F.struct("doc_id", "start", "n", "lead")
-    return pairs.where("not cover").groupBy("anchor", "region").agg(F.min(place).alias("first"), F.count("*").alias("rows"))
+    """One row per distinct region: anchor, d1, d2, n, lead, its earliest and last place, and how many."""
+    place = F.struct(*DOC, "start")
+    each = pairs.groupBy("anchor", "d1", "d2").agg(F.min(place).alias("first"), F.max(place).alias("last"), F.min("n").alias("n"), F.min("lead").alias("lead"), F.count("*").alias("rows"))
+    return cut(each)
 
 
-def region_covers(pairs: DataFrame, rep: Repeats) -> DataFrame:
-    """Covers from regions that occur in several rows, and those found before."""
-    known = pairs.where("cover").select("doc_id", "start", "n")
-    groups = grouped(pairs).where("rows > 1").select(F.col("anchor").alias("g_anchor"), F.col("region").alias("g_region"), "first")
-    same = pairs.where("not cover").join(groups, (F.col("anchor") == F.col("g_anchor")) & (F.col("region") == F.col("g_region")))
-    if not rep.every:
-        same = same.where((F.col("doc_id") != F.col("first.doc_id")) | (F.col("start") != F.col("first.start")))
-    return known.unionByName(same.select("doc_id", "start", (F.col("n") + (rep.window - 1)).alias("n")))
+def places_of(pairs: DataFrame, groups: DataFrame) -> DataFrame:
+    """The rows of ``pairs`` in ``groups`` (d1, d2, rows and more), with what those carry."""
+    table = groups.select("d1", F.col("d2").alias("g_d2"), "rows", *[F.col(c).alias(f"g_{c}") for c in groups.columns if c not in NAMES and c != "rows"])
+    return join_hot(pairs, table, "d1", "rows", pairs.count()).where("d2 = g_d2")
 
 
-def open_regions(pairs: DataFrame) -> DataFrame:
-    """The earliest place of each region whose anchor has other regions too:
-    anchor, doc_id, start, n, lead, whole (the region itself repeats), others."""
-    groups = grouped(pairs)
-    many = groups.groupBy(F.col("anchor").alias("m_anchor")).agg(F.count("*").alias("others")).where("others > 1")
-    joined = groups.join(many, F.col("anchor") == F.col("m_anchor"))
-    return joined.select("anchor", "first.*", (F.col("rows") > 1).alias("whole"), "others")
+def open_regions(groups: DataFrame) -> DataFrame:
+    """The earliest place of each region whose anchor has other regions too: anchor,
+    doc_id, mark, start, n, lead, others."""
+    many = cut(groups.groupBy("anchor").agg(F.count("*").alias("others")).where("others > 1"))
+    return join_hot(groups, many, "anchor", "others", groups.count()).select("anchor", "first.*", "n", "lead", "others")
 
 
-def packed(docs: DataFrame) -> DataFrame:
-    """doc_id (NO_ID for null), own_id and the text compressed, dealt by doc_id."""
+def packed(rows: DataFrame) -> DataFrame:
+    """doc_id, mark, own_id and the text compressed."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         squeeze = zstandard.ZstdCompressor(level=1).compress
         for batch in batches:
-            texts = pa.array([squeeze(t) for t in words.as_bytes(batch.column(1))], pa.binary())
-            yield pa.RecordBatch.from_arrays([batch.column(0), texts], ["own_id", "packed"])
+            texts = pa.array([squeeze(t) for t in words.as_bytes(batch.column(3))], pa.binary())
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], texts], [*DOC, "own_id", "packed"])
 
-    squeezed = docs.mapInArrow(run, "own_id long, packed binary")
-    return squeezed.select(F.coalesce("own_id", F.lit(NO_ID)).alias("doc_id"), "own_id", "packed").repartition("doc_id")
+    return rows.select(*DOC, "own_id", "text").mapInArrow(run, "doc_id long, mark long, own_id long, packed binary")
 
 
 def unpack(column: pa.Array) -> list[bytes]:
@@ -215,74 +209,36 @@ def unpack(column: pa.Array) -> list[bytes]:
     return [expand(b) for b in column.to_pylist()]
 
 
-def windows(texts: DataFrame, places: DataFrame, rep: Repeats) -> DataFrame:
-    """ROW with the window's two hashes as anchor and region, one row for every
-    distinct window of ``places`` in a batch."""
-    lists = places.groupBy("doc_id").agg(F.collect_list(F.struct("start", "n")).alias("places"))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ids, texts, where, parts = batch.column(0).to_pylist(), unpack(batch.column(1)), batch.column(2).to_pylist(), []
-            for s, e in words.slices(texts, LIMIT):
-                values, offsets = rep.units(texts[s:e])
-                first = np.concatenate([[p["start"] + offsets[i - s] for p in where[i]] for i in range(s, e)]).astype(np.int64)
-                n = np.concatenate([[p["n"] for p in where[i]] for i in range(s, e)]).astype(np.int64)
-                own = np.repeat(np.array(ids[s:e], np.int64), [len(where[i]) for i in range(s, e)])
-                base = np.repeat(offsets[:-1], [len(where[i]) for i in range(s, e)])
-                inside = first + n + rep.window - 1 <= base + np.repeat(np.diff(offsets), [len(where[i]) for i in range(s, e)])
-                first, n, own, base = first[inside], n[inside], own[inside], base[inside]
-                each = np.repeat(first - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
-                hashes = [words.mix(words.polynomial(values, each, each + rep.window, b)) for b in words.BASES]
-                parts.append((*hashes, np.repeat(own, n), each - np.repeat(base, n)))
-            if not parts:
-                continue
-            a, b, doc, start = map(np.concatenate, zip(*parts, strict=True))
-            first, covered = fold([a, b], doc, start, rep.every)
-            zero = np.zeros(len(first), np.int64)
-            yield _rows([a[first], b[first], doc[first], start[first], zero + rep.window, zero, zero > 0])
-            yield _cover_rows(doc[covered], start[covered], np.full(len(covered), rep.window))
-
-    joined = texts.join(lists, "doc_id").select("doc_id", "packed", "places")
-    return joined.mapInArrow(run, ROW)
-
-
-def window_covers(found: DataFrame, rep: Repeats) -> DataFrame:
-    """Covers from equal windows; each task sent a window once, so a group has no
-    more rows than there were tasks."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rest: pa.Table | None = None
-        for batch in batches:
-            table = pa.Table.from_batches([batch])
-            table = pa.concat_tables([rest, table]) if rest is not None else table
-            anchor = table.column("anchor").to_numpy()
-            done = int(np.searchsorted(anchor, anchor[-1])) if len(anchor) else 0
-            yield from covers(table.slice(0, done))
-            rest = table.slice(done)
-        if rest is not None:
-            yield from covers(rest)
-
-    def covers(table: pa.Table) -> Iterator[pa.RecordBatch]:
-        a, b, doc, start, n = (table.column(c).to_numpy() for c in ("anchor", "region", "doc_id", "start", "n"))
-        cover = table.column("cover").to_numpy()
-        at = np.flatnonzero(~cover)
-        _, covered = fold([b[at], a[at]], doc[at], start[at], rep.every)
-        take = np.concatenate([at[covered], np.flatnonzero(cover)])
-        d, s, m = merge(doc[take], start[take], n[take])
-        yield pa.RecordBatch.from_arrays([pa.array(d), pa.array(s.astype(np.int32)), pa.array(m.astype(np.int32))], ["doc_id", "start", "n"])
-
-    dealt = found.repartition("anchor").sortWithinPartitions("anchor")
-    return dealt.mapInArrow(run, "doc_id long, start int, n int")
-
-
-def narrow(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+def with_lists(texts: DataFrame, lists: DataFrame, how: str = "inner") -> DataFrame:
+    """doc_id, mark, own_id, packed and the document's ``lists``, which has them as ``list``."""
+    return texts.join(lists, DOC, how).select(*DOC, "own_id", "packed", "list")
+
+
+def whole_tables(batches: Iterator[pa.RecordBatch], keys: list[str], most: int) -> Iterator[pa.Table]:
+    """Rows sorted by ``keys`` in tables of ``most`` bytes or little more, each with whole groups."""
+    rest, size = [], 0
+    for batch in batches:
+        for at in range(0, batch.num_rows, 256):
+            part = batch.slice(at, 256)
+            rest.append(part)
+            size += part.nbytes
+            if size > most:
+                table = pa.Table.from_batches(rest).combine_chunks()
+                key = [table.column(k).to_numpy() for k in keys]
+                other = np.any([k != k[-1] for k in key], axis=0)
+                done = int(np.flatnonzero(other)[-1]) + 1 if other.any() else 0
+                if done:
+                    yield table.slice(0, done)
+                rest = table.slice(done).to_batches()
+                size = sum(b.nbytes for b in rest)
+    if rest:
+        yield pa.Table.from_batches(rest).combine_chunks()
 
 
 def with_covers(texts: DataFrame, covers: DataFrame) -> DataFrame:
-    """own_id, packed, covers (array of structs, null if none)."""
-    lists = covers.groupBy("doc_id").agg(F.collect_list(F.struct("start", "n")).alias("covers"))
-    return texts.join(lists, "doc_id", "left").select("own_id", "packed", "covers")
+    """own_id, packed, list (array of structs start, n; null if none)."""
+    lists = covers.groupBy(*DOC).agg(F.collect_list(F.struct("start", "n")).alias("list"))
+    return with_lists(texts, lists, "left").select("own_id", "packed", "list")
 
 
 def covered_mask(size: int, covers: list[dict] | None) -> np.ndarray:
@@ -292,7 +248,3 @@ def covered_mask(size: int, covers: list[dict] | None) -> np.ndarray:
             change[c["start"]] += 1
             change[min(size, c["start"] + c["n"])] -= 1
     return np.cumsum(change[:-1]) > 0
-
-
-def stored_pairs(docs: DataFrame, rep: Repeats) -> DataFrame:
-    return cut(paired(docs, rep))
