@@ -10,8 +10,11 @@ their aggregates, fitted on documents the tagger did not see, turns them into a
 document score, and words over one half are the offending offsets.
 
 Only rows whose crc32(doc_id) mod 4 is not 2 teach, at most ``LABELLED`` of them
-(those of least hashed id), two thirds for the tagger, one for the score. A
-sequence is a stretch of at most ``STRETCH`` words of one document.
+(those of least hashed id), two thirds for the tagger, one for the score. A chain
+runs through a whole document. For speed it is laid out in stretches of ``STRETCH``
+words: a stretch's effect on a message is one two by two matrix, messages are
+carried from stretch to stretch by these, and then spread inside all stretches at
+once, which gives the chain's own marginals.
 
 Defined cases: a null or empty text has no words and gets the regression's
 intercept; without toxic labels every score is the base rate; rows that repeat
@@ -49,11 +52,30 @@ def held_out(doc_id: Column) -> Column:
 
 
 def featurize(texts: list[bytes]) -> tuple[np.ndarray, ...]:
-    """(features words x (1 + prefixes), text of each word, byte starts and ends in its text)."""
-    data = LOWER[np.frombuffer(b" ".join(texts), np.uint8)]
+    """(features words x (1 + prefixes), text of each word, byte starts and ends in its
+    text). Texts go through in blocks, a long one cut at white space."""
+    out: list[tuple[np.ndarray, ...]] = []
+    block: list[tuple[int, int, bytes]] = []
+    size = 0
+    for i, t in enumerate(texts):
+        at = 0
+        for part in words.pieces(t):
+            block.append((i, at, part))
+            at += len(part)
+            size += len(part)
+            if size > words.BLOCK:
+                out.append(_featurize(block))
+                block, size = [], 0
+    out.append(_featurize(block))
+    return tuple(map(np.concatenate, zip(*out, strict=True)))
+
+
+def _featurize(block: list[tuple[int, int, bytes]]) -> tuple[np.ndarray, ...]:
+    """Of parts of texts: (text, the part's place in it, the part)."""
+    data = LOWER[np.frombuffer(b" ".join(b for _, _, b in block), np.uint8)]
     starts, ends = words.bounds(data)
-    edges = np.cumsum([0] + [len(t) + 1 for t in texts])
-    text = np.searchsorted(edges, starts, side="right") - 1
+    edges = np.cumsum([0] + [len(b) + 1 for _, _, b in block])
+    part = np.searchsorted(edges, starts, side="right") - 1
     left, right = starts.copy(), ends.copy()
     for _ in range(2):  # quotes, commas and stops around a word
         right -= ((right - left > 1) & TRIM[data[right - 1]]) if len(right) else 0
@@ -63,7 +85,9 @@ def featurize(texts: list[bytes]) -> tuple[np.ndarray, ...]:
         stop = right if k is None else np.minimum(left + k, right)
         h = words.polynomial(values, left, stop) + np.uint64(k or 0)
         columns.append((words.mix(h) >> np.uint64(46)).astype(np.int32))
-    return np.stack(columns, axis=1), text, starts - edges[text], ends - edges[text]
+    text, base = (np.array([b[i] for b in block], np.int64) for i in range(2))
+    shift = base[part] - edges[part] if len(part) else part
+    return np.stack(columns, axis=1), text[part] if len(part) else part, starts + shift, ends + shift
 
 
 def stretches(text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -83,7 +107,8 @@ class Field:
     pair: np.ndarray
 
     def marginals(self, features: np.ndarray, text: np.ndarray, want_pairs: bool = False):
-        """P(toxic) of each word; with ``want_pairs`` also expected tag pairs."""
+        """P(toxic) of each word; with ``want_pairs`` also expected tag pairs. Words of a
+        text are consecutive."""
         row, col = stretches(text)
         if not len(row):
             return np.zeros(0), np.zeros((2, 2))
@@ -92,32 +117,78 @@ class Field:
         score[col, row] = sum(self.weights[f] for f in features.T) + self.bias
         real = np.zeros((width, rows), bool)
         real[col, row] = True
-        pair = self.pair
-        # forward and backward messages as log odds of toxic over clean, with pairs exponentiated once
-        e = np.exp(pair)
+        first = np.flatnonzero(col == 0)
+        goes_on = np.concatenate([[False], text[first][1:] == text[first][:-1]])  # a stretch that continues the one before it
+        pair, e = self.pair, np.exp(self.pair)
 
         def step(odds: np.ndarray, table: np.ndarray) -> np.ndarray:
+            """Log odds of toxic over clean after one tag pair."""
             q = 1 / (1 + np.exp(-np.clip(odds, -60, 60)))
             return np.log(((1 - q) * table[0, 1] + q * table[1, 1]) / ((1 - q) * table[0, 0] + q * table[1, 0]))
 
         fore, back = np.zeros((width, rows)), np.zeros((width, rows))
-        fore[0] = score[0]
+        into, after = np.zeros(rows), np.zeros(rows)
+        if goes_on.any():
+            into, after = self._carried(score, real, goes_on)
+        fore[0] = score[0] + np.where(goes_on, step(into, e), 0.0)
         for t in range(1, width):
             fore[t] = score[t] + step(fore[t - 1], e)
+        last = np.concatenate([goes_on[1:], [False]])  # a stretch that is continued: whole, so its last word is in the last place
+        back[width - 1] = np.where(last, after, 0.0)
         for t in range(width - 2, -1, -1):
             back[t] = np.where(real[t + 1], step(back[t + 1] + score[t + 1], e.T), 0.0)
         p = 1 / (1 + np.exp(-np.clip(fore + back, -60, 60)))
         expected = np.zeros((2, 2))
         if want_pairs:
-            for t in range(width - 1):
-                both = real[t + 1]
-                a = fore[t][both]
-                b = (back[t + 1] + score[t + 1])[both]
+            links = [(fore[t][real[t + 1]], (back[t + 1] + score[t + 1])[real[t + 1]]) for t in range(width - 1)]
+            links.append((fore[width - 1][last], (back[0] + score[0])[goes_on]))
+            for a, b in links:
                 joint = np.stack([np.full_like(a, pair[0, 0]), pair[0, 1] + b, pair[1, 0] + a, pair[1, 1] + a + b])
-                joint = np.exp(joint - joint.max(axis=0))
+                joint = np.exp(joint - joint.max(axis=0)) if len(a) else joint
                 expected += (joint / joint.sum(axis=0)).sum(axis=1).reshape(2, 2)
         return p[col, row], expected
 
+    def _carried(self, score: np.ndarray, real: np.ndarray, goes_on: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Per stretch, the forward message of the word before it and the backward
+        message at its last word. A stretch takes log odds f to log((a e^f + b) / (c e^f + d));
+        a, b, c, d are kept as logarithms."""
+        pair, (width, rows) = self.pair, score.shape
+        zero, none = np.zeros(rows), np.full(rows, -np.inf)
+        add = np.logaddexp
+
+        def apply(m: tuple[np.ndarray, ...], at: np.ndarray, f: np.ndarray) -> np.ndarray:
+            a, b, c, d = (x[at] for x in m)
+            return add(a + f, b) - add(c + f, d)
+
+        def scaled(m: list[np.ndarray]) -> tuple[np.ndarray, ...]:
+            top = np.maximum.reduce(m)
+            return tuple(x - top for x in m)
+
+        fore = back = (zero, none, none, zero)
+        for t in range(width):
+            s, (a, b, c, d) = score[t], fore
+            m = [s + add(pair[1, 1] + a, pair[0, 1] + c), s + add(pair[1, 1] + b, pair[0, 1] + d), add(pair[1, 0] + a, pair[0, 0] + c), add(pair[1, 0] + b, pair[0, 0] + d)]
+            if t == 0:  # a text's first word follows none
+                m = [np.where(goes_on, x, y) for x, y in zip(m, (none, s, none, zero), strict=True)]
+            fore = scaled([np.where(real[t], x, y) for x, y in zip(m, fore, strict=True)])
+        for t in range(width - 1, -1, -1):
+            s, (a, b, c, d) = score[t], back
+            m = [add(pair[1, 1] + s + a, pair[1, 0] + c), add(pair[1, 1] + s + b, pair[1, 0] + d), add(pair[0, 1] + s + a, pair[0, 0] + c), add(pair[0, 1] + s + b, pair[0, 0] + d)]
+            back = scaled([np.where(real[t], x, y) for x, y in zip(m, back, strict=True)])
+        at = np.arange(rows)
+        depth = at - np.maximum.accumulate(np.where(goes_on, 0, at))  # a stretch's number in its text
+        order = np.argsort(depth, kind="stable")
+        edges = np.searchsorted(depth[order], np.arange(depth.max() + 2))
+        into, out, after = np.zeros(rows), np.zeros(rows), np.zeros(rows)
+        for k in range(depth.max() + 1):
+            now = order[edges[k] : edges[k + 1]]
+            into[now] = out[now - 1] if k else 0.0
+            out[now] = apply(fore, now, into[now])
+        for k in range(depth.max(), 0, -1):
+            now = order[edges[k] : edges[k + 1]]
+            after[now - 1] = apply(back, now, after[now])
+        return into, after
+
 
 @dataclass
 class Chunk:
@@ -165,8 +236,7 @@ def train_field(chunks: list[Chunk], steps: int = STEPS) -> Field:
         return field
     seen = np.zeros((2, 2))
     for c in chunks:
-        row, _ = stretches(c.text)
-        linked = row[1:] == row[:-1]
+        linked = c.text[1:] == c.text[:-1]
         np.add.at(seen, (c.tags[:-1][linked].astype(int), c.tags[1:][linked].astype(int)), 1)
     power_w, power_p, power_b = np.full(FEATURES, 1e-8), np.full((2, 2), 1e-8), 1e-8
     for _ in range(steps):
@@ -218,10 +288,12 @@ class Model:
             x = aggregates(p, text, e - s)
             scores.append(1 / (1 + np.exp(-np.clip(x @ self.beta, -30, 30))))
             found: list[list[dict]] = [[] for _ in range(e - s)]
-            for i in np.flatnonzero(p > 0.5):
-                own = texts[s + text[i]]
-                at = len(own[: starts[i]].decode())
-                found[text[i]].append({"start": at, "end": at + len(own[starts[i] : ends[i]].decode())})
+            hit = np.flatnonzero(p > 0.5)
+            for t in np.unique(text[hit]).tolist():
+                # code points before each byte of the text: bytes that begin one
+                before = np.concatenate([[0], np.cumsum((np.frombuffer(texts[s + t], np.uint8) & 0xC0) != 0x80)])
+                own = hit[slice(*np.searchsorted(text[hit], [t, t + 1]))]
+                found[t] = [{"start": a, "end": b} for a, b in zip(before[starts[own]].tolist(), before[ends[own]].tolist(), strict=True)]
             spans += found
         return (np.concatenate(scores) if scores else np.zeros(0)), spans
 
@@ -258,8 +330,8 @@ def detect(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
     span_type = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            scores, spans = shared.value.score(words.as_bytes(batch.column(1)))
+        for batch, texts in (x for b in batches for x in words.few_texts(b, 1)):
+            scores, spans = shared.value.score(texts)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores), pa.array(spans, span_type)], ["doc_id", "score", "offending"])
 
     plain = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
