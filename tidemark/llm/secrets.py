@@ -45,22 +45,34 @@ def find_spans(text: Column, pattern: str, least: int = 0) -> Column:
     matches; with ``least``, of those whose first group is that long."""
     whole = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     between = F.split(text, pattern, -1)
-    widths = F.transform(
-        whole, lambda m, i: F.struct((F.length(F.get(between, i)) + F.length(m)).alias("step"), F.length(m).alias("n"))
-    )
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int>>").alias("out"))
+    # the piece behind the last match has none; zip_with, unlike an index in a lambda, takes each list once
+    paired = F.zip_with(whole, between, lambda m, gap: F.struct((F.length(gap) + F.length(m)).alias("step"), F.length(m).alias("n")))
+    widths = F.filter(paired, lambda w: w["n"].isNotNull())
+    none = F.array().cast("array<struct<start:int,end:int>>")
+    start = lambda at: F.struct(at.alias("at"), none.alias("out"))
 
     def add(acc: Column, w: Column) -> Column:
         end = acc["at"] + w["step"]
         span = F.struct((end - w["n"]).alias("start"), end.alias("end"))
         return F.struct(end.alias("at"), F.concat(acc["out"], F.array(span)).alias("out"))
 
-    spans = F.aggregate(widths, start, add, lambda acc: acc["out"])
+    def shift(acc: Column, part: Column) -> Column:
+        moved = F.transform(part["out"], lambda s: F.struct((s["start"] + acc["at"]).alias("start"), (s["end"] + acc["at"]).alias("end")))
+        return F.struct((acc["at"] + part["at"]).alias("at"), F.concat(acc["out"], moved).alias("out"))
+
+    def placed(w: Column) -> Column:
+        # in stretches of sqrt(n) matches, since every step of an aggregate copies what it has
+        stretch = F.greatest(F.lit(16), F.ceil(F.sqrt(F.size(w)))).cast("int")
+        cuts = F.transform(F.sequence(F.lit(0), F.floor((F.size(w) - 1) / stretch).cast("int")), lambda k: F.slice(w, k * stretch + 1, stretch))
+        parts = F.transform(cuts, lambda part: F.aggregate(part, start(F.lit(0)), add))
+        return F.aggregate(parts, start(F.lit(0)), shift, lambda acc: acc["out"])
+
+    spans = F.transform(F.array(widths), placed)[0]  # the matches are found once
     if least:
         groups = F.regexp_extract_all(text, F.lit(pattern), F.lit(1))
-        spans = F.filter(spans, lambda s, i: F.length(F.get(groups, i)) >= least)
+        long = F.zip_with(spans, groups, lambda s, g: F.when(F.length(g) >= least, s))
+        spans = F.filter(long, lambda s: s.isNotNull())
     # most texts hold no match: one search then decides
-    none = F.array().cast("array<struct<start:int,end:int>>")
     return F.when(text.rlike(pattern), spans).otherwise(none)
 
 
