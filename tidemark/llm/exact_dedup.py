@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, text_or_empty
+from .common import cut, join_hot, text_or_empty
 
 HOT_SHARE = 10_000
 SALTS = 64
@@ -43,6 +43,15 @@ def _grouped(keyed: DataFrame, hot: DataFrame, local: list[Column], merged: list
     return cold.unionByName(winners)
 
 
+def _by_text(rows: DataFrame, groups: DataFrame, hot: DataFrame) -> DataFrame:
+    """``rows`` with their group, joined on digest and text; hot digests are dealt over salts."""
+    flag = F.broadcast(hot.withColumn("is_hot", F.lit(True)))
+    salts = F.when(F.col("is_hot"), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
+    left = rows.join(flag, "digest", "left").withColumn("salt", F.when(F.col("is_hot"), F.pmod(F.xxhash64("doc_id"), F.lit(SALTS))).otherwise(0).cast("int"))
+    right = groups.join(flag, "digest", "left").withColumn("salt", F.explode(salts)).drop("is_hot")
+    return left.drop("is_hot").join(right, ["digest", "body", "salt"])
+
+
 def _digest(sha: Column, digest_bytes: int) -> Column:
     return F.substring(sha, 1, digest_bytes)
 
@@ -63,12 +72,12 @@ def dedup_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         groups.groupBy("digest").agg(F.count("*").alias("texts"), F.max("keep_id").alias("keep_id"), F.sum("n").alias("n"))
     )
     alone = by_digest.where("texts = 1").select("digest", "keep_id", "n")
-    out = narrow.join(alone, "digest").select("doc_id", "sha", "keep_id", "n")
+    out = join_hot(narrow, alone, "digest", "n", narrow.count()).select("doc_id", "sha", "keep_id", "n")
     shared = by_digest.where("texts > 1").select("digest")
     if not shared.isEmpty():  # different texts under one digest: join on the text itself
         mixed = keyed.join(shared, "digest", "left_semi")
         exact = _grouped(mixed, hot, local, merged)
-        out = out.unionByName(mixed.join(exact, ["digest", "body"]).select("doc_id", "sha", "keep_id", "n"))
+        out = out.unionByName(_by_text(mixed, exact, hot).select("doc_id", "sha", "keep_id", "n"))
     return out.select(
         "doc_id",
         "keep_id",
