@@ -26,11 +26,11 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import words
-from .common import cut
+from .common import cut, join_hot, short
 from .components import components
 
 BITS = 64
@@ -71,16 +71,22 @@ def fingerprint(text: bytes, width: int = 3) -> int:
     return int(np.packbits(2 * votes > len(hashes)).view(np.uint64)[0])
 
 
+def text_mark(text: Column) -> Column:
+    """Tells the texts of rows that repeat an id apart."""
+    return F.xxhash64(F.coalesce(text.cast("string"), F.lit("")))
+
+
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3) -> DataFrame:
-    """doc_id, fp (the fingerprint as a signed long), one row per row of ``docs``."""
+    """doc_id, mark (see ``text_mark``), fp (the fingerprint as a signed long), one row per row of ``docs``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fps = np.fromiter((fingerprint(t, width) for t in words.as_bytes(batch.column(1))), np.uint64, batch.num_rows)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps.view(np.int64))], ["doc_id", "fp"])
+            for part, texts in words.few_texts(batch, 2):
+                fps = np.fromiter((fingerprint(t, width) for t in texts), np.uint64, len(texts))
+                yield pa.RecordBatch.from_arrays([*part.columns[:2], pa.array(fps.view(np.int64))], ["doc_id", "mark", "fp"])
 
-    narrow = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return narrow.mapInArrow(run, "doc_id long, fp long")
+    narrow = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_mark(F.col(text_col)).alias("mark"), F.col(text_col).cast("string").alias("text"))
+    return narrow.mapInArrow(run, "doc_id long, mark long, fp long")
 
 
 def covering_masks(positions: list[int], radius: int = RADIUS) -> list[int]:
@@ -215,28 +221,40 @@ def links(nodes: DataFrame, radius: int = RADIUS, most: int = MOST, join=forest)
         keyed = cut(_next_tables(keyed.join(large, "key", "left_semi").select("key", "free", "fp"), radius))
 
 
-def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, radius: int = RADIUS, most: int = MOST) -> DataFrame:
-    """One row per row of ``docs``: doc_id, fingerprint, component_id (least id reachable)."""
+def grouped(docs: DataFrame, id_col: str, text_col: str, width: int, radius: int, most: int) -> DataFrame:
+    """doc_id, mark, fp, root (a fingerprint of its group, the same for all), component_id of every row."""
     fps = cut(fingerprints(docs, id_col, text_col, width))
-    nodes = cut(fps.groupBy("fp").agg(F.min("doc_id").alias("least")))
+    nodes = cut(fps.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("rows")))
     joined = cut(components(links(nodes.select("fp"), radius, most)))
-    least = joined.join(nodes, F.col("node") == F.col("fp")).groupBy("root").agg(F.min("least").alias("of_root"))
-    linked = joined.join(least, "root").select(F.col("node").alias("l_fp"), "of_root")
-    labels = nodes.join(linked, F.col("fp") == F.col("l_fp"), "left").select(
-        F.col("fp").alias("n_fp"), F.coalesce("of_root", "least").alias("component_id")
-    )
+    ends = joined.join(nodes.select(F.col("fp").alias("node"), "least"), "node")
+    least = cut(ends.groupBy("root").agg(F.min("least").alias("of_root"), F.count("*").alias("nodes")))
+    linked = join_hot(joined, least, "root", "nodes", joined.count()).select(F.col("node").alias("fp"), "root", "of_root")
+    label = [F.coalesce("root", "fp").alias("root"), F.coalesce("of_root", "least").alias("component_id")]
+    labels = cut(nodes.join(linked, "fp", "left").select("fp", "rows", *label))
+    return join_hot(fps, labels, "fp", "rows", fps.count()).select("doc_id", "mark", "fp", "root", "component_id")
+
+
+def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, radius: int = RADIUS, most: int = MOST) -> DataFrame:
+    """One row per row of ``docs``: doc_id, fingerprint, component_id (least id reachable)."""
     hex_fp = F.lower(F.lpad(F.hex("fp"), 16, "0"))
-    return fps.join(labels, F.col("fp") == F.col("n_fp")).select("doc_id", hex_fp.alias("fingerprint"), "component_id")
+    return grouped(docs, id_col, text_col, width, radius, most).select("doc_id", hex_fp.alias("fingerprint"), "component_id")
 
 
 def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, radius: int = RADIUS) -> DataFrame:
     """The rows of ``docs`` whose id is the least of its group: of documents joined
-    by links as in ``near_groups`` and by similar five-word shingles, in any order."""
+    by links as in ``near_groups`` and by similar five-word shingles, in any order.
+    A row goes by its id and text, so another text under the same id is judged apart."""
     from . import near_copies
 
-    groups = cut(near_groups(docs, id_col, text_col, width, radius))
-    labels = groups.where("doc_id is not null").groupBy(F.col("doc_id").alias("id")).agg(F.min("component_id").alias("label"))
-    again = near_copies.join_copies(docs, labels, id_col, text_col).where("node != root").select(F.col("node").alias("dropped_id"))
-    # the least id of a group that hangs on another one's; the other ids are no least ones already
-    dropped = groups.where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("dropped_id")).union(again).distinct()
-    return docs.join(dropped, docs[id_col].eqNullSafe(dropped["dropped_id"]), "left_anti")
+    groups = cut(grouped(docs, id_col, text_col, width, radius, MOST))
+    labels = groups.where("doc_id is not null").select(F.col("doc_id").alias("id"), "mark", F.col("root").alias("label")).distinct()
+    again = near_copies.join_copies(docs, labels, id_col, text_col).select(F.col("node").alias("root"), F.col("root").alias("top"))
+    of_top = F.coalesce("top", "root").alias("top")
+    each = groups.groupBy("root").agg(F.min("component_id").alias("own"), F.count("*").alias("rows")).join(again, "root", "left")
+    each = cut(each.select("root", of_top, "own", "rows"))  # a row for each group of fingerprints
+    tops = cut(each.groupBy("top").agg(F.min("own").alias("least"), F.count("*").alias("groups")))
+    least = cut(join_hot(each, tops, "top", "groups", each.count()).select("root", "rows", "least"))
+    told = join_hot(groups, least, "root", "rows", groups.count())
+    lost = told.where(~F.col("doc_id").eqNullSafe(F.col("least")))
+    lost = short(cut(lost.select(F.col("doc_id").alias("lost_id"), F.col("mark").alias("lost_mark")).distinct()))
+    return docs.join(lost, docs[id_col].eqNullSafe(lost["lost_id"]) & (text_mark(docs[text_col]) == lost["lost_mark"]), "left_anti")

@@ -73,6 +73,14 @@ def as_bytes(column: pa.Array) -> list[bytes]:
     return [b or b"" for b in column.cast(pa.large_binary()).to_pylist()]
 
 
+def few_texts(batch: pa.RecordBatch, column: int, rows: int = 256) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
+    """(part of the batch, its texts as bytes), ``rows`` at a time, so that no second
+    copy of a whole batch is made."""
+    for at in range(0, batch.num_rows, rows):
+        part = batch.slice(at, rows)
+        yield part, as_bytes(part.column(column))
+
+
 def pieces(text: bytes) -> Iterator[bytes]:
     """``text`` cut at white space into parts of little over BLOCK bytes."""
     at = 0
