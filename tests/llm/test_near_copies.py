@@ -124,3 +124,29 @@ def test_copies_of_a_dropped_copy_are_joined(spark, make_docs):
     want, _ = brute_kept(rows)
     assert want == list(range(0, 24, 3))
     assert sorted(r.doc_id for r in simhash.keep_one_of_each(make_docs(rows)).collect()) == want
+
+
+def test_sketches_differ_no_more_than_sets():
+    rng = np.random.default_rng(10)
+    for n in (1, 5, 60, 400, 3000):
+        a = np.unique(rng.integers(0, 1 << 62, n).astype(np.uint64))
+        b = np.unique(np.concatenate([a[rng.random(len(a)) < 0.9], rng.integers(0, 1 << 62, n // 10).astype(np.uint64)]))
+        x, y = near_copies.sketch(a), near_copies.sketch(b)
+        assert int(np.bitwise_count(x ^ y).sum()) <= len(np.setxor1d(a, b)) and len(x) == len(near_copies.BITS)
+
+
+def test_rows_that_repeat_an_id_stand_for_themselves(spark, make_docs):
+    rng = np.random.default_rng(12)
+    one, two = prose(rng, 90), prose(rng, 90)
+    a, b, c = " ".join(one), " ".join(two), " ".join(edited(rng, two, 1))
+    rows = [(1, a), (2, a + " x"), (2, b), (2, b), (3, c), (None, b), (None, "alone " + " ".join(prose(rng, 50)))]
+    kept = sorted((r.doc_id or 0, r.text) for r in simhash.keep_one_of_each(make_docs(rows)).collect())
+    assert kept == sorted([(1, a), (2, b), (2, b), (0, rows[-1][1])])
+
+
+def test_odd_tables(spark, make_docs):
+    assert simhash.keep_one_of_each(make_docs([])).count() == 0
+    rows = [(1, None), (2, ""), (3, "x"), (4, "x"), (5, "long " * 30_000)]
+    docs = make_docs(rows).selectExpr("*", "1 as mark", "2 as label", "3 as component_id", "4 as lost_id")
+    got = simhash.keep_one_of_each(docs)
+    assert got.columns == docs.columns and sorted(r.doc_id for r in got.collect()) == [1, 3, 5]

@@ -6,13 +6,18 @@ of the first n - ceil(SIMILAR * n) + 1 of each. Documents meet in a bucket per
 such shingle. Any order is right; here frequent shingles come last, as far as a
 sample of the documents shows them, and the rest by hash, so that a common line
 makes no bucket unless a text has little else. A pair's common prefix shingles
-bound its overlap, which leaves few pairs for the exact check.
+bound its overlap, and so do their sketches: a set's sketch has the parities of its
+shingles' numbers in ``SKETCH`` hash buckets, and two sketches differ in no more bits
+than the sets do in shingles. That leaves few pairs for the exact check.
 
 Groups that are known already are passed as labels: pairs inside one label are
-not searched. A first round checks each bucket's members against one of them, to
-join large families by a linear number of pairs; only links that pass the exact
-check join labels. The second round checks all pairs of a bucket whose labels
-still differ.
+not searched. The first rounds check each bucket's members against one of them,
+another one every round, to join large families by a linear number of pairs; only
+links that pass the exact check join labels. The last round checks all pairs of a
+bucket whose labels still differ.
+
+Rows go by their shingle sets, one for each distinct set, so texts that repeat an
+id or a set need nothing special; a text without words or id is alike to none.
 """
 
 from __future__ import annotations
@@ -27,15 +32,20 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import words
-from .common import cut
+from .common import cut, join_hot, short
 from .components import components
-from .simhash import COPY_WIDTH, SIMILAR, shingles
+from .simhash import COPY_WIDTH, SIMILAR, shingles, text_mark
 
 #: Shingles in so many of the sampled documents come last; of all sampled shingles one in MOST_HOT at least, so their list has a bound.
 SAMPLE = 16
 HOT = 4
 MOST_HOT = 100_000
 FLUSH = 1 << 16
+#: Bits of a sketch, stored as longs.
+SKETCH = 512
+BITS = [f"b{i}" for i in range(SKETCH // 64)]
+#: Rounds that check a bucket against one member before all its pairs are.
+STARS = 2
 
 
 def prefix_size(n: int) -> int:
@@ -52,20 +62,31 @@ def least_common(na: np.ndarray, nb: np.ndarray) -> np.ndarray:
 
 
 def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).where("id is not null")
+    text = F.col(text_col).cast("string").alias("text")
+    return docs.select(F.col(id_col).cast("long").alias("id"), text_mark(F.col(text_col)).alias("mark"), text).where("id is not null")
+
+
+def _digest(parts: np.ndarray) -> int:
+    return xxhash.xxh64_intdigest(parts.tobytes()) - (1 << 63)
 
 
 def _sets(texts: DataFrame) -> DataFrame:
-    """id, parts: the distinct shingles in ascending order."""
+    """digest, parts: the distinct shingles in ascending order. ``texts`` has text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for k in range(0, batch.num_rows, 64):
-                part = batch.slice(k, 64)
-                sets = [np.unique(shingles(t, COPY_WIDTH)).view(np.int64) for t in words.as_bytes(part.column(1))]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sets, pa.list_(pa.int64()))], ["id", "parts"])
+            for _, own in words.few_texts(batch, 0, 64):
+                sets = [np.unique(shingles(t, COPY_WIDTH)) for t in own]
+                digests = pa.array([_digest(s) for s in sets], pa.int64())
+                yield pa.RecordBatch.from_arrays([digests, pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))], ["digest", "parts"])
 
-    return texts.mapInArrow(run, "id long, parts array<long>")
+    return texts.select("text").mapInArrow(run, "digest long, parts array<long>")
+
+
+def sketch(parts: np.ndarray) -> np.ndarray:
+    """uint64[SKETCH / 64] of a set of shingle hashes."""
+    odd = np.bincount((words.mix(parts) % np.uint64(SKETCH)).astype(np.int64), minlength=SKETCH) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.uint64)
 
 
 def hot_shingles(texts: DataFrame, sample: int = SAMPLE, hot: int = HOT) -> np.ndarray:
@@ -77,38 +98,51 @@ def hot_shingles(texts: DataFrame, sample: int = SAMPLE, hot: int = HOT) -> np.n
     return np.sort(np.array([r.part for r in found.collect()], np.int64).view(np.uint64))
 
 
-def prefixes(texts: DataFrame, hot: np.ndarray) -> DataFrame:
-    """id, digest (of the whole set), n (its size), prefix; texts without words are absent."""
-    shared = texts.sparkSession.sparkContext.broadcast(hot)
+def prefixes(texts: DataFrame, hot: np.ndarray | None = None) -> DataFrame:
+    """id, mark, digest (of the whole set), n (its size), and the prefix in an order
+    that has ``hot`` shingles last, or without such a list the sketch; texts without
+    words are absent. Shingles are made anew for either form, since stored prefixes
+    would take a fifth of the corpus."""
+    shared = None if hot is None else texts.sparkSession.sparkContext.broadcast(hot)
+    more = [("prefix", "array<long>")] if shared else [(b, "long") for b in BITS]
+    schema = ", ".join(f"{k} {v}" for k, v in [("id", "long"), ("mark", "long"), ("digest", "long"), ("n", "long"), *more])
+    names = [x.split()[0] for x in schema.split(", ")]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def prefix(own: np.ndarray) -> np.ndarray:
         late = shared.value
-        for batch in batches:
-            ids, digests, sizes, firsts = [], [], [], []
-            for i, t in zip(batch.column(0).to_pylist(), words.as_bytes(batch.column(1)), strict=True):
+        if len(late):
+            last = late[np.minimum(np.searchsorted(late, own), len(late) - 1)] == own
+            own = np.concatenate([own[~last], own[last]])
+        return own[: prefix_size(len(own))].view(np.int64)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, texts in (x for b in batches for x in words.few_texts(b, 2)):
+            at, digests, sizes, extra = [], [], [], []
+            for i, t in enumerate(texts):
                 own = np.unique(shingles(t, COPY_WIDTH))
                 if len(own):
-                    if len(late):
-                        last = late[np.minimum(np.searchsorted(late, own), len(late) - 1)] == own
-                        order = np.concatenate([own[~last], own[last]])
-                    else:
-                        order = own
-                    ids.append(i)
-                    digests.append(xxhash.xxh64_intdigest(own.tobytes()))
+                    at.append(i)
+                    digests.append(_digest(own))
                     sizes.append(len(own))
-                    firsts.append(order[: prefix_size(len(own))].view(np.int64))
-            digest = pa.array(np.array(digests, np.uint64).view(np.int64))
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), digest, pa.array(sizes, pa.int64()), pa.array(firsts, pa.list_(pa.int64()))], ["id", "digest", "n", "prefix"])
+                    extra.append(prefix(own) if shared else sketch(own))
+            rows = pa.array(at, pa.int64())
+            columns = [batch.column(0).take(rows), batch.column(1).take(rows), pa.array(digests, pa.int64()), pa.array(sizes, pa.int64())]
+            if shared:
+                columns.append(pa.array(extra, pa.list_(pa.int64())))
+            else:
+                columns += [pa.array(x) for x in np.array(extra, np.uint64).reshape(-1, len(BITS)).T.copy().view(np.int64)]
+            yield pa.RecordBatch.from_arrays(columns, names)
 
-    return texts.mapInArrow(run, "id long, digest long, n long, prefix array<long>")
+    return texts.mapInArrow(run, schema)
 
 
 Columns = tuple[np.ndarray, ...]
 
 
 def _by_bucket(rows: DataFrame, search: Callable[[Columns], Iterator[Columns]], schema: str) -> DataFrame:
-    """``search`` over whole buckets of ``rows`` (key, label, id, n), in the order of
-    key, label and id; one call has all buckets that end in a batch."""
+    """``search`` over whole buckets of ``rows`` (key, label, set, n and perhaps BITS,
+    all longs), in the order of key, label and set; one call has all buckets that end
+    in a batch."""
     names = [x.split()[0] for x in schema.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -119,7 +153,7 @@ def _by_bucket(rows: DataFrame, search: Callable[[Columns], Iterator[Columns]],
                 yield pa.RecordBatch.from_arrays([pa.array(x) for x in out], names)
 
         for batch in batches:
-            new = [batch.column(i).to_numpy() for i in range(4)]
+            new = [c.to_numpy() for c in batch.columns]
             if not batch.num_rows:
                 continue
             if held and held[0][0][0] == new[0][-1]:  # all of one bucket, which may go on
@@ -127,13 +161,12 @@ def _by_bucket(rows: DataFrame, search: Callable[[Columns], Iterator[Columns]],
                     h.append(x)
                 continue
             done = int(np.searchsorted(new[0], new[0][-1]))
-            yield from searched(tuple(np.concatenate([*h, x[:done]]) for h, x in zip(held or [[]] * 4, new, strict=True)))
+            yield from searched(tuple(np.concatenate([*h, x[:done]]) for h, x in zip(held or [[]] * len(new), new, strict=True)))
             held = [[x[done:]] for x in new]
         if held:
             yield from searched(tuple(np.concatenate(h) for h in held))
 
-    dealt = rows.select("key", "label", "id", "n").repartition("key").sortWithinPartitions("key", "label", "id")
-    return dealt.mapInArrow(run, schema)
+    return rows.repartition("key").sortWithinPartitions("key", "label", "set").mapInArrow(run, schema)
 
 
 def _mixed(rows: Columns) -> Iterator[Columns]:
@@ -145,72 +178,94 @@ def _mixed(rows: Columns) -> Iterator[Columns]:
     yield tuple(x[keep] for x in rows)
 
 
-def _pairs(star: bool) -> Callable[[Columns], Iterator[Columns]]:
+def _pairs(star: int | None) -> Callable[[Columns], Iterator[Columns]]:
     """(a, b, need) of a bucket's members under different labels whose sizes allow
-    similarity: the first member with the others (``star``), or all pairs, in
-    blocks of about FLUSH."""
+    similarity: one member with the others (another one for every ``star``), or all
+    pairs (None), in blocks of about FLUSH."""
 
     def search(rows: Columns) -> Iterator[Columns]:
-        key, label, ids, n = rows
+        key, label, sets, n, *bits = rows
         new = np.concatenate([[True], key[1:] != key[:-1]])
         starts = np.flatnonzero(new)
         ends = np.concatenate([starts[1:], [len(key)]])
         runs = np.flatnonzero(new | np.concatenate([[True], label[1:] != label[:-1]]))
-        after = np.repeat(np.concatenate([runs[1:], [len(key)]]), np.diff(np.concatenate([runs, [len(key)]])))  # where the next label starts
+        size = np.diff(np.concatenate([runs, [len(key)]]))
+        first, after = np.repeat(runs, size), np.repeat(runs + size, size)  # where a member's label starts, and the next one
+        middle = starts
+        if star:  # the same label in all the buckets that a family shares
+            rank = words.mix(label.view(np.uint64) + np.uint64(star))
+            least = np.flatnonzero(rank == np.repeat(np.minimum.reduceat(rank, starts), ends - starts))
+            middle = least[np.searchsorted(least, starts)]
         left, right, held = [], [], 0
-        for s, e in zip(starts.tolist(), ends.tolist(), strict=True):
-            for i in range(s, s + 1 if star else e):
-                if after[i] >= e:
-                    break
-                left.append(np.full(e - after[i], i))
-                right.append(np.arange(after[i], e))
-                held += e - after[i]
+        for s, e, m in zip(starts.tolist(), ends.tolist(), middle.tolist(), strict=True):
+            for i in range(s, e) if star is None else (m,):  # a bucket's pairs are told in one task, only those that may be alike leave it
+                others = np.arange(after[i], e)
+                if star:
+                    others = np.concatenate([np.arange(s, first[i]), others])
+                if not len(others):
+                    if star is None:
+                        break
+                    continue
+                left.append(np.full(len(others), i))
+                right.append(others)
+                held += len(others)
                 if held >= FLUSH:
-                    yield _told(np.concatenate(left), np.concatenate(right), ids, n)
+                    yield _told(np.concatenate(left), np.concatenate(right), sets, n, bits)
                     left, right, held = [], [], 0
         if left:
-            yield _told(np.concatenate(left), np.concatenate(right), ids, n)
+            yield _told(np.concatenate(left), np.concatenate(right), sets, n, bits)
 
     return search
 
 
-def _told(i: np.ndarray, j: np.ndarray, ids: np.ndarray, n: np.ndarray) -> Columns:
+def _told(i: np.ndarray, j: np.ndarray, sets: np.ndarray, n: np.ndarray, bits: list[np.ndarray]) -> Columns:
     fits = np.minimum(n[i], n[j]) >= np.ceil(SIMILAR * np.maximum(n[i], n[j]) - 1e-9)
     i, j = i[fits], j[fits]
-    return np.minimum(ids[i], ids[j]), np.maximum(ids[i], ids[j]), least_common(n[i], n[j])
+    apart = sum(np.bitwise_count((b[i] ^ b[j]).view(np.uint64)).astype(np.int64) for b in bits)
+    fits = apart * (1 + SIMILAR) <= (n[i] + n[j]) * (1 - SIMILAR) + 1e-6
+    i, j = i[fits], j[fits]
+    return np.minimum(sets[i], sets[j]), np.maximum(sets[i], sets[j]), least_common(n[i], n[j])
 
 
-def _similar(pairs: DataFrame, texts: DataFrame, label: DataFrame) -> DataFrame:
-    """The pairs' labels (a, b) where the texts are similar. ``label``: id, label, digest."""
-    ends = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    sets = _sets(texts.join(ends, "id", "left_semi")).groupBy("id").agg(F.min("parts").alias("parts")).join(label.select("id", "label"), "id")
-    sets = cut(sets)
-    left, right = (sets.select(F.col("id").alias(x), F.col("label").alias(f"{x}_label"), F.col("parts").alias(f"{x}_parts")) for x in "ab")
+def _similar(pairs: DataFrame, texts: DataFrame, first: DataFrame) -> DataFrame:
+    """The pairs' labels (a, b) where the sets are similar. ``first``: digest, label, id, mark of one text for each set."""
+    ends = cut(pairs.select(F.explode(F.array("a", "b")).alias("digest")).distinct())
+    owners = short(cut(first.join(ends, "digest", "left_semi").select("id", "mark")))
+    sets = _sets(texts.join(owners, ["id", "mark"], "left_semi")).groupBy("digest").agg(F.min("parts").alias("parts"))
+    sets = cut(sets.join(first.select("digest", "label"), "digest"))
+    left, right = (sets.select(F.col("digest").alias(x), F.col("label").alias(f"{x}_label"), F.col("parts").alias(f"{x}_parts")) for x in "ab")
     both = F.size(F.array_intersect("a_parts", "b_parts"))
     enough = both >= SIMILAR * (F.size("a_parts") + F.size("b_parts") - both) - 1e-9
     return pairs.join(left, "a").join(right, "b").where(enough).select(F.col("a_label").alias("a"), F.col("b_label").alias("b")).distinct()
 
 
 def _renamed(rows: DataFrame, roots: DataFrame) -> DataFrame:
-    new = roots.select(F.col("node").alias("label"), "root")
-    return rows.join(new, "label", "left").withColumn("label", F.coalesce("root", "label")).drop("root")
+    new = short(roots.select(F.col("node").alias("label"), "root"))
+    return rows.join(new, "label", "left").withColumn("label", F.coalesce("root", "label")).select(*rows.columns)
 
 
 def join_copies(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE, hot: int = HOT) -> DataFrame:
-    """``labels`` (id, label), one row per id -> (node, root): the least label that
-    each label is joined with by similar texts, where it is joined at all."""
+    """``labels`` (id, label and, where ids repeat, mark), one row per document ->
+    (node, root): the least label that each label is joined with by similar texts,
+    where it is joined at all."""
     texts = _texts(docs, id_col, text_col)
-    each = cut(prefixes(texts, hot_shingles(texts, sample, hot)).join(labels, "id"))
-    one = F.min(F.struct("label", "id", "n", "prefix")).alias("one")
-    first = cut(each.groupBy("digest").agg(one).select("digest", "one.*"))
-    links = each.join(first.select("digest", F.col("label").alias("b")), "digest").select(F.col("label").alias("a"), "b").where("a != b").distinct()
+    late = hot_shingles(texts, sample, hot)
+    each = cut(prefixes(texts).join(labels, [c for c in ("id", "mark") if c in labels.columns]))
+    first = F.min(F.struct("label", "id", "mark", "n", *BITS)).alias("one")
+    first = cut(each.groupBy("digest").agg(first, F.count("*").alias("copies")).select("digest", "one.*", "copies"))
+    same = first.select("digest", F.col("label").alias("b"), "copies")
+    links = join_hot(each.select("digest", F.col("label").alias("a")), same, "digest", "copies", each.count()).select("a", "b").where("a != b").distinct()
     roots = cut(components(links))
-    rows = first.select(F.explode("prefix").alias("key"), "label", "id", "n")
-    rows = cut(_by_bucket(rows, _mixed, "key long, label long, id long, n long"))
-    for star in (True, False):
-        rows = _renamed(rows, roots) if not star else rows
+    owners = short(cut(first.select("id", "mark", "label", F.col("digest").alias("set"))))
+    rows = prefixes(texts, late).join(owners, ["id", "mark"]).where("digest = set").select(F.explode("prefix").alias("key"), "label", "set", "n")
+    row = "key long, label long, set long, n long"
+    rows = cut(_by_bucket(rows, _mixed, row))
+    rows = rows.join(short(cut(first.select(F.col("digest").alias("set"), *BITS))), "set").select("key", "label", "set", "n", *BITS)
+    row += "".join(f", {b} long" for b in BITS)
+    for star in (*range(STARS), None):
+        if star != 0:
+            rows = cut(_by_bucket(_renamed(rows, roots), _mixed, row))
         met = _by_bucket(rows, _pairs(star), "a long, b long, need long").groupBy("a", "b").agg(F.count("*").alias("common"), F.min("need").alias("need"))
-        met = cut(met.where("common >= need").select("a", "b"))
-        links = cut(links.union(_similar(met, texts, first)).distinct())
+        links = cut(links.union(_similar(cut(met.where("common >= need").select("a", "b")), texts, first)).distinct())
         roots = cut(components(links))
     return roots
