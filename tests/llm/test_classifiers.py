@@ -7,6 +7,8 @@ from collections import Counter
 import corpus_pipeline
 import numpy as np
 import pytest
+from pyspark.sql import Window
+from pyspark.sql import functions as F
 from tidemark.llm import importance, mixing, registry, toxicity
 
 
@@ -26,9 +28,9 @@ def test_selection_matches_brute_force(spark, sf_dir):
     target, raw = sum(g for i, g in grams.items() if i in good), sum(grams.values())
     smooth = lambda c: (c + 0.5) / (c.sum() + 0.5 * importance.BUCKETS)
     ratio = np.log(smooth(target)) - np.log(smooth(raw))
-    weight = {i: float(g @ ratio) for i, g in grams.items()}
-    least = sorted(weight[i] for i in good if i in weight)[len(good) // importance.SPARED]
-    k = sum(w >= least - 1e-9 for w in weight.values())
+    weight = {i: importance.LENGTH * float(g @ ratio) / max(1, g.sum()) for i, g in grams.items()}
+    level = sorted(weight[i] for i in good if i in weight)[len(good) // importance.SPARED] - math.log(importance.SURE)
+    k = round(sum(1 - math.exp(-math.exp(min(50, w - level))) for w in weight.values()))
     key = {i: weight[i] - math.log(-math.log(u)) for i, u in zip(weight, draws(weight, importance.SEED), strict=True)}
     expect = sorted(key, key=key.get, reverse=True)[:k]
     got = {r.doc_id: r.sample_key for r in importance.select(docs, labels).collect()}
@@ -36,6 +38,31 @@ def test_selection_matches_brute_force(spark, sf_dir):
     assert all(v == pytest.approx(key[i]) for i, v in got.items())
 
 
+def test_sampling_follows_the_weights(spark):
+    """Over many seeds the k largest keys are samples without replacement in proportion to the weights."""
+    weights, k, seeds = [0.0, 1.0, 2.0, 3.0, 4.0, -3.0], 2, 600
+    rows = spark.createDataFrame([(i, w, s) for i, w in enumerate(weights) for s in range(seeds)], "i long, w double, s long")
+    rank = F.row_number().over(Window.partitionBy("s").orderBy(F.desc("key")))
+    keyed = rows.withColumn("key", importance.gumbel_key(F.col("w"), F.concat_ws("/", "i", "s"), 3))
+    got = Counter(r.i for r in keyed.withColumn("rank", rank).where(f"rank <= {k}").collect())
+    p = np.exp(weights) / np.exp(weights).sum()
+    expect = [p[i] + sum(p[j] * p[i] / (1 - p[j]) for j in range(len(p)) if j != i) for i in range(len(p))]
+    for i, e in enumerate(expect):
+        assert abs(got[i] / seeds - e) < 4 * math.sqrt(e * (1 - e) / seeds) + 0.005
+
+
+def test_seeds_and_shares_change_what_is_kept(spark):
+    sf = "/root/testdata/sf0.01"
+    docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), registry.labels(spark, sf)
+    n = docs.count()
+    kept = [{r.doc_id: r.log_weight for r in importance.select(docs, labels, seed=s, share=0.5).collect()} for s in (1, 2)]
+    assert [len(x) for x in kept] == [round(n / 2)] * 2
+    both, one = set(kept[0]) & set(kept[1]), set(kept[0]) ^ set(kept[1])
+    assert len(one) > 20 and len(both) > 20
+    mean = lambda ids: np.mean([{**kept[0], **kept[1]}[i] for i in ids])
+    assert mean(both) > mean(one)
+
+
 def test_bad_documents_go_and_good_ones_stay(spark):
     sf = "/root/testdata/sf0.01"
     kept = {r.doc_id for r in registry.QUERIES["op6_importance"](spark, sf).collect()}
@@ -55,7 +82,7 @@ def test_kth_largest(spark, monkeypatch):
 
 def test_selection_of_odd_tables(spark, make_docs):
     labels = spark.createDataFrame([(1, 1, 0), (2, 0, 1), (1, 1, 0), (None, 1, 1)], "doc_id long, quality int, toxic int")
-    docs = make_docs([(1, "A good text."), (2, None), (3, ""), (None, "x"), (3, "")]).selectExpr("*", "1 as c0", "2 as log_weights")
+    docs = make_docs([(1, "A good text."), (2, None), (3, ""), (None, "x"), (3, "")]).selectExpr("*", "1 as c0", "2 as log_weights", "3 as k_id", "4 as key", "5 as k_mark")
     assert set(importance.select(docs, labels).columns) == {*docs.columns, "log_weight", "sample_key"}
     assert importance.select(make_docs([]), labels).count() == 0
     assert importance.select(docs, labels.limit(0)).count() == 5
@@ -96,6 +123,26 @@ def test_marginals_match_enumeration():
     assert np.allclose(expected, pairs)
 
 
+@pytest.mark.parametrize("stretch", [1, 2, 3, 5])
+def test_chains_run_through_stretches(monkeypatch, stretch):
+    """Marginals and pairs do not depend on how a chain is laid out."""
+    rng = np.random.default_rng(stretch)
+    field = toxicity.Field(rng.normal(size=toxicity.FEATURES), -0.3, 2 * rng.normal(size=(2, 2)))
+    texts = [" ".join(f"w{i}" for i in rng.integers(0, 90, n)).encode() for n in (1, 10, 0, 7, 31, 2, 15)]
+    features, text, _, _ = toxicity.featurize(texts)
+    whole = field.marginals(features, text, want_pairs=True)
+    monkeypatch.setattr(toxicity, "STRETCH", stretch)
+    parts = field.marginals(features, text, want_pairs=True)
+    assert np.allclose(whole[0], parts[0]) and np.allclose(whole[1], parts[1])
+
+
+def test_long_texts_are_featurized_in_parts(monkeypatch):
+    texts = ["é word, (another) " * 40, "", "x", "  two words  " * 9]
+    whole = toxicity.featurize([t.encode() for t in texts])
+    monkeypatch.setattr(toxicity.words, "BLOCK", 50)
+    assert all((a == b).all() for a, b in zip(whole, toxicity.featurize([t.encode() for t in texts]), strict=True))
+
+
 def test_toxicity_of_odd_tables(spark, make_docs):
     labels = spark.createDataFrame([(i, 1, int(i % 2)) for i in range(60)], "doc_id long, quality int, toxic int")
     docs = make_docs([(i, "you vile worm" if i % 2 else "a calm day é") for i in range(60)] + [(None, "x"), (1, None), (2, "")]).selectExpr("*", "1 as l_id", "2 as toxic")
@@ -129,3 +176,14 @@ def test_pipeline_stages(spark, sf_dir):
     assert Counter(r.doc_id for r in final.collect()) == near
     taken = {r.doc_id: r.copies for r in mixing.mix(docs.dropDuplicates(["doc_id"])).collect()}
     assert set(near) == set(taken)
+
+
+def test_pipeline_of_odd_tables(spark, make_docs, tmp_path):
+    rows = [(1, "A good text of some words."), (2, None), (3, ""), (None, "No id has this one."), (4, "A good text of some words."), (5, "No source.", None), (6, "long text " * 20_000), (7, " \t")]
+    labels = spark.createDataFrame([(1, 1, 0), (None, 1, 1)], "doc_id long, quality int, toxic int")
+    for name, docs in (("odd", make_docs(rows).selectExpr("*", "1 as key", "2 as mark", "3 as m_id")), ("none", make_docs([]))):
+        folder = str(tmp_path / name)
+        docs.write.parquet(f"{folder}/documents.parquet")
+        labels.write.parquet(f"{folder}/labels.parquet")
+        got = corpus_pipeline.run(spark, folder).collect()
+        assert {r.doc_id for r in got} <= {4, None, 5, 6} and (name == "none") == (not got)

@@ -2,23 +2,28 @@
 
 Two generative models draw a text's n-grams independently from hashed buckets:
 the target model is counted on labelled good documents, the raw model on all
-documents. A document's log weight is the sum of log p_target / p_raw over its
-n-grams; adding Gumbel noise and taking the k largest samples k documents
-without replacement in proportion to the weights.
-
-The vocabulary is open, so a word enters an n-gram by its shape: classes of its
-first byte, its last byte, which kinds of characters it holds, and whether it
-repeats the word before it. n runs from 1 to 3.
-
-k is the number of documents that weigh at least as much as all but one in
-``SPARED`` of the labelled good ones. The target model and that weight come from
-at most ``LABELLED`` labelled rows (those of least hashed id); the raw model, the
-scores and the threshold cover every document. The k-th key is found by counting
+documents. n-grams are of words (one and two, lower case) and of word shapes (one
+to three): the vocabulary is open, and a shape, which is the classes of a word's
+first and last byte, which kinds of characters it holds, and whether it repeats
+the word before it, tells of words that the target never held.
+
+A document's log weight is its mean of log p_target / p_raw over its n-grams times
+``LENGTH``: documents weigh as if all had so many n-grams, so length alone neither
+saves nor rejects one, and neighbouring weights are within the noise of sampling.
+Gumbel noise is added and the k largest keys are taken: k documents without
+replacement in proportion to their weights.
+
+k is a budget of expected size: with the level t at which all but one in ``SPARED``
+labelled good documents stay with a probability of 0.999, a document's inclusion
+probability is 1 - exp(-weight / exp(t)), and k is their sum. The target model and
+t come from at most ``LABELLED`` labelled rows (those of least hashed id); the raw
+model, the scores and k cover every document. The k-th key is found by counting
 keys in intervals, never by gathering them.
 
-Defined cases: a null or empty text has no n-grams and weight 1; rows that
+Defined cases: a null or empty text has no n-grams and log weight 0; rows that
 repeat an id and a text tie and stay or go together; a null id draws one noise;
-without labelled good rows every document has weight 1 and stays; an empty table gives an empty result; other columns come back unchanged.
+without labelled good rows every document stays; an empty table gives an empty
+result; other columns come back unchanged.
 """
 
 from __future__ import annotations
@@ -27,14 +32,19 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import words
-from .common import cut
+from .common import cut, short
 from .mixing import draw
+from .simhash import text_mark
 
-BUCKETS = 1 << 16
+WORD_BITS, SHAPE_BITS = 17, 16
+BUCKETS = (1 << WORD_BITS) + (1 << SHAPE_BITS)
+LENGTH = 32
+#: -ln(0.001): how far above the level a weight must be to stay with a probability of 0.999.
+SURE = 6.9
 LABELLED = 20_000
 SPARED = 1_000
 BINS = 4096
@@ -44,6 +54,8 @@ SEED = 11
 CLASS = np.zeros(256, np.uint8)
 CLASS[[b for b in range(33, 127) if not chr(b).isalnum()]] = 4
 CLASS[48:58], CLASS[65:91], CLASS[97:123] = 3, 2, 1
+LOWER = np.arange(256, dtype=np.uint8)
+LOWER[65:91] += 32
 
 
 def ngrams(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -65,17 +77,19 @@ def ngrams(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     if len(starts):
         last = np.where(kinds[ends - 1] == 4, data[ends - 1], kinds[ends - 1])
         shape = shape * np.uint64(256) + last.astype(np.uint64)
-        same = words.polynomial(data.astype(np.uint64), starts, ends)
+        same = words.mix(words.polynomial(LOWER[data].astype(np.uint64), starts, ends))
         again = np.concatenate([[False], (same[1:] == same[:-1]) & (text[1:] == text[:-1])])
         shape = shape * np.uint64(2) + again.astype(np.uint64)
-    out, owners, gram = [], [], np.zeros(len(shape), np.uint64)
-    for n in (1, 2, 3):
-        if len(shape) < n:
-            break
-        gram = gram[: len(shape) - n + 1] * np.uint64(words.BASES[1]) + shape[n - 1 :] + np.uint64(1)
-        inside = text[: len(gram)] == text[n - 1 :]
-        out.append((words.mix(gram[inside] + np.uint64(n)) >> np.uint64(48)).astype(np.int64))
-        owners.append(text[: len(gram)][inside])
+    else:
+        same = shape
+    out, owners = [], []
+    for units, orders, bits, base in ((shape, 3, SHAPE_BITS, 1 << WORD_BITS), (same, 2, WORD_BITS, 0)):
+        gram = np.zeros(len(units), np.uint64)
+        for n in range(1, min(orders, len(units)) + 1):
+            gram = gram[: len(units) - n + 1] * np.uint64(words.BASES[1]) + units[n - 1 :] + np.uint64(1)
+            inside = text[: len(gram)] == text[n - 1 :]
+            out.append((words.mix(gram[inside] + np.uint64(n)) >> np.uint64(64 - bits)).astype(np.int64) + base)
+            owners.append(text[: len(gram)][inside])
     return np.concatenate(out) if out else np.zeros(0, np.int64), np.concatenate(owners) if owners else np.zeros(0, np.int64)
 
 
@@ -85,9 +99,9 @@ def _counts(texts: DataFrame) -> np.ndarray:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(BUCKETS, np.int64)
         for batch in batches:
-            own = words.as_bytes(batch.column(0))
-            for s, e in words.slices(own):
-                total += np.bincount(ngrams(own[s:e])[0], minlength=BUCKETS)
+            for _, own in words.few_texts(batch, 0):
+                for s, e in words.slices(own):
+                    total += np.bincount(ngrams(own[s:e])[0], minlength=BUCKETS)
         used = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(total[used])], ["bucket", "n"])
 
@@ -98,7 +112,7 @@ def _counts(texts: DataFrame) -> np.ndarray:
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", labelled: int = LABELLED) -> tuple[np.ndarray, float]:
-    """(log p_target / p_raw by bucket, least log weight of a good document).
+    """(log p_target / p_raw by bucket, the level that good documents are above).
     ``labels`` has doc_id and quality; of a document labelled twice either counts."""
     sample = (
         labels.where("doc_id is not null and quality = 1")
@@ -112,11 +126,11 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     good = plain.join(F.broadcast(cut(sample)), F.col("doc_id") == F.col("l_id"), "left_semi").select("text")
     target, raw = _counts(good), _counts(plain.select("text"))
     if not target.sum():
-        return np.zeros(BUCKETS), 0.0
+        return np.zeros(BUCKETS), -np.inf
     smooth = lambda c: (c + 0.5) / (c.sum() + 0.5 * BUCKETS)
     ratio = np.log(smooth(target)) - np.log(smooth(raw))
     weights = sorted(r.log_weight for r in weigh(good, ratio).select("log_weight").toLocalIterator())
-    return ratio, weights[len(weights) // SPARED]
+    return ratio, weights[len(weights) // SPARED] - float(np.log(SURE))
 
 
 def weigh(docs: DataFrame, ratio: np.ndarray, text_col: str = "text") -> DataFrame:
@@ -126,12 +140,12 @@ def weigh(docs: DataFrame, ratio: np.ndarray, text_col: str = "text") -> DataFra
     plain = docs.select(*[docs[c].alias(f"c{i}") for i, c in enumerate(names)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            own = words.as_bytes(batch.column(at))
+        for batch, own in (x for b in batches for x in words.few_texts(b, at)):
             total = np.zeros(len(own))
             for s, e in words.slices(own):
                 buckets, text = ngrams(own[s:e])
-                total[s:e] = np.bincount(text, shared.value[buckets], e - s)
+                n = np.bincount(text, minlength=e - s)
+                total[s:e] = LENGTH * np.bincount(text, shared.value[buckets], e - s) / np.maximum(n, 1)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(total)], [*batch.schema.names, "log_weight"])
 
     schema = ", ".join([f"c{i} {kind}" for i, (_, kind) in enumerate(docs.dtypes)] + ["log_weight double"])
@@ -157,11 +171,31 @@ def kth_largest(keys: DataFrame, k: int) -> float:
             return sorted((r.key for r in keys.where(F.col("key").between(low, high)).collect()), reverse=True)[k - above - 1]
 
 
-def select(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", seed: int = SEED) -> DataFrame:
-    """The documents that the classifier keeps, with log_weight and sample_key."""
-    ratio, least = fit(docs, labels, id_col, text_col)
-    key = F.col("log_weight") - F.log(-F.log(draw(F.col(id_col), seed)))
-    keys = cut(weigh(docs.select(id_col, text_col), ratio, text_col).select("log_weight", key.alias("key")))
-    k = keys.where(F.col("log_weight") >= least).count()
-    scored = weigh(docs, ratio, text_col).withColumn("sample_key", key)
-    return scored.where(F.col("sample_key") >= kth_largest(keys, k)) if k else scored.limit(0)
+def gumbel_key(log_weight: Column, key: Column, seed: int) -> Column:
+    return log_weight - F.log(-F.log(draw(key, seed)))
+
+
+def inclusion(log_weight: Column, level: float) -> Column:
+    """Probability that Gumbel noise lifts a weight above the level."""
+    return F.lit(1.0) if level == -np.inf else -F.expm1(-F.exp(F.least(F.lit(50.0), log_weight - level)))
+
+
+def top_keys(keys: DataFrame, level: float, share: float | None = None) -> tuple[int, float]:
+    """(k, the k-th largest key) of ``keys`` (log_weight, key): as many as expected
+    above the level, or a ``share`` of all."""
+    n, expected = keys.agg(F.count("*"), F.sum(inclusion(F.col("log_weight"), level))).first()
+    k = min(n, round(n * share if share is not None else expected or 0.0))
+    return k, kth_largest(keys, k) if k else np.inf
+
+
+def select(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", seed: int = SEED, share: float | None = None) -> DataFrame:
+    """The documents that the classifier keeps, with log_weight and sample_key.
+    Documents are scored once; the keys, not the texts, are stored and ranked."""
+    ratio, level = fit(docs, labels, id_col, text_col)
+    plain = docs.select(F.col(id_col).alias("k_id"), text_mark(F.col(text_col)).alias("k_mark"), F.col(text_col).cast("string").alias("text"))
+    scored = weigh(plain, ratio, "text").select("k_id", "k_mark", "log_weight", gumbel_key(F.col("log_weight"), F.col("k_id"), seed).alias("key"))
+    keys = cut(scored)
+    k, least = top_keys(keys, level, share)
+    kept = short(cut(keys.where(F.col("key") >= least).dropDuplicates(["k_id", "k_mark"])) if k else keys.limit(0))
+    at = docs[id_col].eqNullSafe(kept["k_id"]) & (text_mark(docs[text_col]) == kept["k_mark"])
+    return docs.join(kept, at).select(*[docs[c] for c in docs.columns], kept["log_weight"], kept["key"].alias("sample_key"))
