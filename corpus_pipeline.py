@@ -4,6 +4,11 @@ Every stage takes (spark, docs, sf_dir); all but the last return the columns of
 documents. Between stages rows lie as Parquet in the folder that executors share.
 A stage that repeats documents (mixing) repeats their ids too. No SQL stands
 beside it: sampling, SimHash groups and subword ids have none.
+
+Defined cases: a null or empty text is kept by the first stage, is one text for
+exact dedup and near-dedup, and has no words, so the mix does not take it; a null id
+is below all others; a null source is a source of its own; empty tables give an
+empty result; columns beyond those of documents go along up to the last stage.
 """
 
 from __future__ import annotations
