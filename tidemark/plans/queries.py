@@ -121,6 +121,16 @@ def vec_packed(t):
     return codes(t).select("vec_id", F.hex(vectors.packed(C("codes"))).alias("bytes"))
 
 
+@query("SELECT vec_id, round(max(abs(e - c / 127.0)), 6) worst, round(sum(e * c) / 127 / sum(e * e), 5) along FROM (SELECT vec_id, unnest(embedding)::double e, unnest(c) c FROM embeddings JOIN codes USING (vec_id)) GROUP BY 1")
+def quant_error(t):
+    """What quantizing changes: the largest error of a dimension, and the share of the vector's length that its codes keep."""
+    e, c = C("embedding"), vectors.quantize_index(C("embedding"))
+    total = lambda parts: F.aggregate(parts, F.lit(0.0), lambda a, x: a + x)
+    off = F.zip_with(e, c, lambda x, k: F.abs(x.cast("double") - k / 127.0))
+    along = total(F.zip_with(e, c, lambda x, k: x.cast("double") * k)) / 127 / total(F.transform(e, lambda x: x.cast("double") * x.cast("double")))
+    return t.vectors.select("vec_id", F.round(F.array_max(off), 6).alias("worst"), F.round(along, 5).alias("along"))
+
+
 # ---- shards
 
 
@@ -442,6 +452,12 @@ def bib_suffix_prefixed(t):
     return search.bib_hits(live, t.photos, t.sources, "N-7", True).select("photo_id", "bib", "conf", "kind")
 
 
+@query(BIB.format(kind="suffix", where="bib LIKE '%7' AND bib NOT LIKE '%-%' AND bib <> '7'").replace("FROM bb JOIN", "FROM (SELECT * REPLACE (regexp_replace(bib, '^A-', '') AS bib) FROM bb) JOIN"))
+def bib_suffix(t):
+    bare = t.bibs.withColumn("bib", F.regexp_replace("bib", "^A-", "")).where("bib != '7'")
+    return search.bib_hits(bare, t.photos, t.sources, "007", True).select("photo_id", "bib", "conf", "kind")
+
+
 @query("SELECT bib FROM bb WHERE bib LIKE '%-42' AND bib <> 'A-42' GROUP BY 1 ORDER BY 1 LIMIT 10")
 def bib_alternatives(t):
     return search.bib_alternatives(t.bibs, "A42")
@@ -1134,5 +1150,14 @@ def stream_ingest(t):
     return ingest.committed(t.spark, f"{folder}/table").groupBy("event_type").agg(F.count("*").alias("n"), F.round(F.sum("value"), 2).alias("total"))
 
 
+@query("SELECT event_type, 1 n FROM events GROUP BY 1")
+def dedup_watermark(t):
+    """Each event type once within the watermark, from the stream of one closed file."""
+    events, name = t.raw("events"), f"tidemark_first_{np.random.default_rng().integers(1 << 60)}"
+    once = lambda df: ingest.first_seen(df, ["event_type"]).select("event_type")  # noqa: E731  a row per type
+    seen = ingest.replayed(t.spark, f"{t.sf_dir}/events.parquet*", events.schema, once, name, f"{_scratch(t.spark)}/first", "append")
+    return seen.groupBy("event_type").agg(F.count("*").cast("int").alias("n"))
+
+
 def _scratch(spark: SparkSession) -> str:
     return f"{shared_folder(spark)}/stream-{spark.sparkContext.applicationId}-{np.random.default_rng().integers(1 << 60)}"
