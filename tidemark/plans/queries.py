@@ -533,7 +533,7 @@ def bib_event_answer(t):
     return _lookup(t, 4, "r 7")[1]
 
 
-@query(LOOK.format(event=12, where="false", kind="exact") + ANSWER.format(bib="A-5", error="'no_bibs'", other="bib LIKE '%-5' AND bib <> 'A-5'", wider="false"))
+@query(LOOK.format(event=12, where="false", kind="exact") + ANSWER.format(bib="A-5", error="'no_bibs'", other="false", wider="false"))
 def bib_event_off(t):
     return _lookup(t, 12, "A5")[1]
 
@@ -588,7 +588,7 @@ def file_lookup(t):
 
 
 @query("""SELECT photo_id, coalesce(f, 0) faces, coalesce(fx, '') first_face, coalesce(b, '') bibs FROM ph
-LEFT JOIN (SELECT photo_id, count(*) f, arg_min(concat(part, ':', supplier, ':', bib, ':', cast(x * 1000 // width as int)), (part * 1000000 + supplier, x)) fx FROM (SELECT part, supplier, x, photo_id, if(part % 2 = 0, 'x', 'y') bib, width FROM fc JOIN ph USING (photo_id) WHERE width > 0) GROUP BY 1) USING (photo_id)
+LEFT JOIN (SELECT photo_id, count(*) f, arg_min(concat(part, ':', supplier, ':', bib, ':', least(1000, cast(x * 1000 // width as int))), (part * 1000000 + supplier, x)) fx FROM (SELECT part, supplier, x, photo_id, if(part % 2 = 0, 'x', 'y') bib, width FROM fc JOIN ph USING (photo_id) WHERE width > 0) GROUP BY 1) USING (photo_id)
 LEFT JOIN (SELECT photo_id, string_agg(concat(bib_raw, '=', bib, '/', source), ' ' ORDER BY bib_raw, bib) b FROM bb GROUP BY 1) USING (photo_id)""")
 def photo_details(t):
     faces = t.faces.selectExpr("photo_id", "cast(part * 1000000 + supplier as bigint) face_id", "if(part % 2 = 0, 'x', 'y') bib", "bbox")
