@@ -27,11 +27,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import words
-from .common import cut, join_hot
+from .common import HOT_SHARE, cut, join_hot
 
 #: Stands for a null id in keys; results carry the id itself.
 NO_ID = -(1 << 63)
 LIMIT = 1 << 20
+SALTS = 64
 _PLACE = np.uint64((1 << 24) - 1)
 DOC = ["doc_id", "mark"]
 ROW = "anchor long, d1 long, d2 long, doc_id long, mark long, start int, n int, lead int"
@@ -168,8 +169,15 @@ def paired(rows: DataFrame, rep: Repeats, keep: bool) -> DataFrame:
     """The regions whose anchor has another place. Regions are found twice, or once
     and stored with ``keep``, which takes about 50 bytes for each."""
     found = cut(anchors(rows, rep)) if keep else anchors(rows, rep)
-    shared = found.groupBy("anchor").count().where("count > 1").select("anchor")
-    return cut(found.join(shared, "anchor"))
+    shared = cut(found.groupBy("anchor").count().where("count > 1"))
+    total = shared.agg(F.coalesce(F.sum("count"), F.lit(0))).first()[0]
+    # a hot anchor's places are dealt over salts, each of which knows it
+    is_hot = F.col("count") > total // HOT_SHARE
+    hot = F.broadcast(shared.where(is_hot).select("anchor", F.lit(True).alias("is_hot")))  # under HOT_SHARE rows
+    salts = F.when(is_hot, F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
+    known = shared.select("anchor", F.explode(salts).alias("salt"))
+    salt = F.when(F.col("is_hot"), F.pmod(F.xxhash64(*DOC, "start"), F.lit(SALTS))).otherwise(0).cast("int")
+    return cut(found.join(hot, "anchor", "left").withColumn("salt", salt).join(known, ["anchor", "salt"]).select(*NAMES))
 
 
 def grouped(pairs: DataFrame) -> DataFrame:

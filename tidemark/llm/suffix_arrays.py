@@ -11,6 +11,8 @@ a third of the length and over a large alphabet, is a plain scan.
 
 from __future__ import annotations
 
+from array import array
+
 import numpy as np
 
 
@@ -123,7 +125,7 @@ def names_order(t: np.ndarray, sigma: int) -> np.ndarray:
             if c >= 0:
                 tail[c] = h = tail[c] - 1
                 sa[h] = i - 1
-        return np.array(sa, np.int64)
+        return np.frombuffer(array("q", sa), np.int64)
 
     if not len(starts):
         return sweep(starts)

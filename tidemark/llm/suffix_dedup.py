@@ -43,7 +43,7 @@ WINDOW = 400
 GRAM = 16
 MOST = 256
 #: Bytes of one suffix array; a group of equal cores is never cut.
-SHARD = 1 << 19
+SHARD = 1 << 20
 PIECE = "key long, doc_id long, mark long, start int, n int, lead int, low int, high int, bytes binary"
 PIECE_NAMES = [x.split()[0] for x in PIECE.split(", ")]
 RUN = "pair long, doc_id long, mark long, start int, bytes binary, at array<int>, n array<int>, d1 array<long>, d2 array<long>"
@@ -130,20 +130,25 @@ def _piece_rows(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], PIECE_NAMES)
 
 
-def pieces(texts: DataFrame, places: DataFrame, rep: Repeats) -> DataFrame:
-    """PIECE rows of the open regions ``places``."""
+def pieces(texts: DataFrame, places: DataFrame, rep: Repeats, whole: bool = True) -> DataFrame:
+    """PIECE rows of the open regions ``places``, or without ``whole`` only their keys."""
     lists = places.groupBy(*DOC).agg(F.collect_list(F.struct("start", "n", "lead")).alias("list"))
+    wide = rep.window - rep.gram + 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            doc, mark = (batch.column(j).to_pylist() for j in range(2))
             for i in range(batch.num_rows):
-                key = [batch.column(j)[i].as_py() for j in range(2)]
                 text, rows = unpack(batch.column(3).slice(i, 1))[0], []
-                for p in batch.column(4)[i].as_py():
-                    rows += _halves(text, 0, rep, *key, p["start"], p["n"], p["lead"], 0, rep.window - rep.gram + 1)
-                yield _piece_rows(rows)
+                found = (x.to_numpy().tolist() for x in batch.column(4).slice(i, 1).flatten().flatten())
+                for start, n, lead in zip(*found, strict=True):
+                    rows += _halves(text, 0, rep, doc[i], mark[i], start, n, lead, 0, wide)
+                if whole:
+                    yield _piece_rows(rows)
+                else:
+                    yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64())], ["key"])
 
-    return with_lists(texts, lists).mapInArrow(run, PIECE)
+    return with_lists(texts, lists).mapInArrow(run, PIECE if whole else "key long")
 
 
 def repeated(parts: list[bytes], window: int) -> tuple[np.ndarray, ...]:
@@ -211,11 +216,12 @@ def salted_shards(groups: DataFrame, rep: Repeats, most: int) -> DataFrame:
     return dealt.select(*PIECE_NAMES, "salt").mapInArrow(run, PIECE)
 
 
-def piece_covers(found: DataFrame, rep: Repeats, most: int) -> DataFrame:
-    """COVER rows of all windows of the pieces that occur more than once."""
+def piece_covers(found: DataFrame, keys: DataFrame, rep: Repeats, most: int) -> DataFrame:
+    """COVER rows of all windows of the pieces that occur more than once. ``keys`` has
+    the keys of the first pieces."""
     out = None
     while True:
-        counts = found.where("low >= 0").groupBy("key").agg(F.count("*").alias("pieces")).where("pieces > 1")
+        counts = keys.groupBy("key").agg(F.count("*").alias("pieces")).where("pieces > 1")
         shared = cut(found.join(counts, "key"))
         single = shared.where("high - low = 1").withColumn("sha", F.sha2("bytes", 256))  # one window a row, its bytes are the core
         whole = single.join(single.groupBy("sha").count().where("count > 1"), "sha").select(*COVER_NAMES).withColumn("n", F.col("n") + (rep.window - 1))
@@ -226,6 +232,7 @@ def piece_covers(found: DataFrame, rep: Repeats, most: int) -> DataFrame:
             return out
         found = cut(salted_shards(large, rep, most))
         out = out.unionByName(found.where("low < 0").select(*COVER_NAMES))
+        keys = found.where("low >= 0").select("key")
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, gram: int = GRAM, most: int = MOST) -> DataFrame:
@@ -242,7 +249,8 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     other = F.struct(*DOC, "start")
     follow = same.where((other != F.col("g_first")) & (other != F.col("g_last"))).select(*DOC, "start", (F.col("n") + (window - 1)).alias("n"))
     covers = found.where("d1 is null").select(*COVER_NAMES).unionByName(follow)
-    covers = covers.unionByName(piece_covers(pieces(texts, open_regions(groups), rep), rep, most))
+    open_ = cut(open_regions(groups))
+    covers = covers.unionByName(piece_covers(pieces(texts, open_, rep), pieces(texts, open_, rep, False), rep, most))
     schema = "doc_id long, n_bytes long, n_removed long, spans array<struct<start:int,end:int>>, kept binary"
     names = ["doc_id", "n_bytes", "n_removed", "spans", "kept"]
     span_type = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
