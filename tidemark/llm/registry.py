@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, importance, mixing, secrets, sentencepiece_bpe, simhash, substring_dedup, suffix_dedup, tandem_runs, tiered_search, toxicity, weighted_sampling
+from . import exact_dedup, importance, interpolation, mixing, secrets, sentencepiece_bpe, simhash, substring_dedup, suffix_dedup, tandem_runs, tiered_search, toxicity, weighted_sampling
 from .common import documents
 
 TOXIC_FROM = 0.3
@@ -108,6 +108,10 @@ def op11_tiered_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tiered_search.ranked(documents(spark, sf_dir), items).select("item_id", "rank", "doc_id", "score")
 
 
+def op12_interpolation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return interpolation.score(documents(spark, sf_dir))
+
+
 def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = tandem_runs.detect(tandem_runs.plant(documents(spark, sf_dir)))
     line = F.transform("runs", lambda r: F.concat(F.concat_ws(",", *(r[c].cast("string") for c in ("start", "length", "period"))), F.lit("\n")))
@@ -136,5 +140,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_fingerprints": op9_fingerprints,
     "op10_toxicity": op10_toxicity,
     "op11_tiered_search": op11_tiered_search,
+    "op12_interpolation": op12_interpolation,
     "op13_periodic_runs": op13_periodic_runs,
 }
