@@ -116,6 +116,7 @@ def test_small_blocks_segments_and_shards(make_docs, monkeypatch):
     corpus_ = interpolation.Corpus(frame, "doc_id", "text", 3)
     assert corpus_.shards > 20 and corpus_.blocks.count() > 20
     got = corpus_.learn()
+    corpus_.close()
     want, rows = brute(docs)
     np.testing.assert_allclose(got.weights, want, rtol=1e-7, atol=1e-12)
     same(interpolation.score(frame).collect(), rows)
