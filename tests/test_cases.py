@@ -1,4 +1,6 @@
-"""Case tables and invariants of the functions and operators."""
+"""Rules and invariants of the functions and operators, on generated cases."""
+
+import random
 
 import numpy as np
 import pytest
@@ -18,43 +20,82 @@ def column(spark, values, expr, kind="string"):
     return [r.out for r in df.select("i", expr(C("v")).alias("out")).orderBy("i").collect()]
 
 
-NUMBERS = {
-    "7": "7", "0007": "7", "  310": "310", "000": "0", "90210": "90210", "902100": "", " ": "", "ABC": "", "K-0310": "K-310", "k-0310": "K-310", "K 0310": "K-310", "K0310": "K-310",
-    "K-310": "K-310", "QZ-07": "QZ-7", "0310K": "", "10Mi": "", "ABC-310": "", "K31F": "", "3-10": "310", "\t44\n": "44", "Q\u00a0": "",
-}
+BLANKS = "".join(map(chr, [9, 10, 11, 12, 13, 28, 29, 30, 31, 32, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
 
 
-def test_numbers(spark):
-    for lenient in (True, False):
-        assert dict(zip(NUMBERS, column(spark, list(NUMBERS), lambda v, k=lenient: text.normalize_bib(v, k)), strict=True)) == NUMBERS
-    assert column(spark, ["#310", "3\t10", None], lambda v: text.normalize_bib(v, True)) == ["310", "310", ""]
-    assert column(spark, ["#310", "3\t10"], text.normalize_bib) == ["", ""]
-    assert column(spark, ["K-3", "310"], text.bib_prefix) == ["K", ""]
-    assert column(spark, ["K-3", "310"], text.bib_digits) == ["3", "310"]
+def stored_form(printed, lenient):
+    """The rule of a stored number, a character at a time."""
+    inner = (printed or "").strip(BLANKS)
+    plain = "".join(c for c in inner if c not in (BLANKS + "#-" if lenient else " -")).upper()
+    letters = plain.rstrip("0123456789")
+    digits = plain[len(letters) :]
+    if not (len(letters) <= 2 and all("A" <= c <= "Z" for c in letters) and 1 <= len(digits) <= 5):
+        return ""
+    return (letters + "-" if letters else "") + (digits.lstrip("0") or "0")
 
 
-def test_prefix_lists(spark):
-    raw = ["Q, z , q", "K,9,Z,", "K,ABC", "q;Z", "\tk\n,\tz", "", None]
-    assert column(spark, raw, text.parse_prefixes) == [["Q", "Z"], ["K", "Z"], ["K"], ["Q", "Z"], ["K", "Z"], [], []]
-    assert column(spark, ["q;z", "9", " \t"], text.canonical_prefixes) == ["Q,Z", None, ""]
+def printed_numbers(rng, n):
+    """Numbers as they may be printed, right ones and wrong ones about evenly."""
+    some = lambda chars, most: "".join(rng.choices(chars, k=rng.randint(0, most)))
+    out = [None, ""]
+    for _ in range(n):
+        pad = some(BLANKS, 2) if rng.random() < 0.4 else ""
+        lead = some("BHTWbtwé5", 3) if rng.random() < 0.7 else ""
+        join = rng.choice(["", "", "-", " ", "#", "--", "\t", "_"])
+        count = rng.choice([0, 1, 2, 3, 4, 5, 5, 6])
+        body = "0" * rng.randint(0, count) + some("123456789", 6)
+        out.append(pad + lead + join + body[:count] + rng.choice(["", "", "", "x", " ", "\u0664"]) + pad)
+    return out
 
 
-GATES = [
-    ((3,), ["0310", "310", "90210", "\t310\n"], ["31", "3 10"]),
-    ((2,), ["31", "09"], ["3", "902100", "ABC", "10Mi", "3-1", "", "\n", "3O", "\u0663\u0661"]),
-    ((-4,), ["3", "90210"], ["", "902100"]),
-    ((40,), ["90210"], ["9021", "902100"]),
-    ((2, None, 4), ["3101"], ["K-0310", "K0310", "Q31", "90210"]),
-    ((3, ["K", "QZ"]), ["K-0310", "K0310", "K 0310", "QZ-0310", "qz310", "0310"], ["Q-0310", "ABC-310", "0310K", "10Mi", "KQZ-0310"]),
-    ((4, ["K", "Q"], 4, True), ["K-0310", "Q0310", "q 0310"], ["0310"]),
-    ((4, ["K", "Q"], 4, False), ["0310", "K-0310"], ["310"]),
-    ((4, ["42", "abc"], 4, True), ["0310"], ["K-0310"]),
-]
+def test_numbers(spark):
+    given = printed_numbers(random.Random(1), 600)
+    for lenient in (True, False):
+        got = column(spark, given, lambda v, k=lenient: text.normalize_bib(v, k))
+        assert got == [stored_form(v, lenient) for v in given]
+        assert sum(map(bool, got)) > 100 < sum(not v for v in got)
+    kept = sorted({stored_form(v, True) for v in given} - {""})
+    assert column(spark, kept, text.bib_prefix) == [v.partition("-")[0] if "-" in v else "" for v in kept]
+    assert column(spark, kept, text.bib_digits) == [v.rpartition("-")[2] for v in kept]
 
 
-@pytest.mark.parametrize(("rule", "yes", "no"), GATES)
-def test_gate(spark, rule, yes, no):
-    assert column(spark, yes + no, lambda v: text.passes_gate(v, *rule)) == [True] * len(yes) + [False] * len(no)
+def listed(raw):
+    parts = [p.strip(BLANKS).upper() for p in (raw or "").replace(";", ",").split(",")]
+    return list(dict.fromkeys(p for p in parts if p.isascii() and p.isalpha() and len(p) <= 2))
+
+
+def test_prefix_lists(spark):
+    rng = random.Random(2)
+    raw = [None, "", " \t", *("".join(rng.choices(["h", "B", "tw", "HTW", "7", ",", ";", ", ", "\t", "é"], k=rng.randint(1, 9))) for _ in range(300))]
+    assert column(spark, raw, text.parse_prefixes) == [listed(r) for r in raw]
+    told = [",".join(listed(r)) if listed(r) else "" if not (r or "").strip(BLANKS) else None for r in raw]
+    assert column(spark, raw, text.canonical_prefixes) == told
+
+
+def gate_open(read, least, prefixes, most, required):
+    """A rule's answer by splitting the read, without a pattern."""
+    top = min(max(int(most or 5), 1), 5)
+    low = min(max(int(least or 3), 1), top)
+    read = (read or "").strip(BLANKS)
+    letters = [p.upper() for p in prefixes or [] if p.isascii() and p.isalpha() and 1 <= len(p) <= 2]
+    digits = read.lstrip("".join(c for c in read if not c.isdigit() or c > "9"))
+    lead = read[: len(read) - len(digits)]
+    if not (low <= len(digits) <= top and all("0" <= c <= "9" for c in digits)):
+        return False
+    if not lead:
+        return not (required and letters)
+    bare = lead[:-1] if lead[-1] == "-" or lead[-1] in " \t\n\x0b\f\r" else lead
+    return bare.upper() in letters
+
+
+def test_gate(spark):
+    rng = random.Random(3)
+    for _ in range(25):
+        least, most = rng.choice([None, -3, 0, 1, 2, 4, 5, 9]), rng.choice([None, -1, 1, 3, 5, 8])
+        prefixes, required = rng.choice([None, [], ["H"], ["tw", "H"], ["HTW", "7"], ["B", "TW"]]), rng.random() < 0.4
+        reads = [lead + join + "7204615"[:n] + tail for lead in ("", "H", "h", "TW", "B", "X") for join in ("", "-", " ", "--") for n in range(7) for tail in ("", "k") if rng.random() < 0.5]
+        got = column(spark, reads, lambda v, r=(least, prefixes, most, required): text.passes_gate(v, *r))
+        assert got == [gate_open(r, least, prefixes, most, required) for r in reads], (least, prefixes, most, required)
 
 
 def test_small_text_functions(spark):
@@ -67,8 +108,12 @@ def test_small_text_functions(spark):
     assert column(spark, ["a/b", ""], lambda v: text.asset_url("", v)) == ["/r2/a/b", None]
     assert column(spark, ["2024-05-01", "soon", None], text.long_date) == ["1 May 2024", None, None]
     assert column(spark, ["<a href=\"x\">&'</a>"], text.html_escape) == ["&lt;a href=&quot;x&quot;&gt;&amp;&#39;&lt;/a&gt;"]
-    assert column(spark, ["image/PNG; q=1", "text/html", None], text.image_extension) == ["png", None, None]
-    assert column(spark, [" A@B.co ", "a b@c.de", "x"], text.clean_email) == ["a@b.co", None, None]
+    kinds = {"image/webp": "webp", "image/jpeg": "jpg", "image/jpg": "jpg", "image/png": "png", "image/avif": "avif", "image/gif": None, "": None}
+    for pad in ("", " ", "\t", "\u00a0\n"):
+        given = [f"{pad}{k.upper()}{pad}; q=1" for k in kinds]
+        assert column(spark, [*given, None], text.image_extension) == [*kinds.values(), None]
+        mails = [f"{pad}Run.Ner@Club.Example{pad}", f"{pad}two words@club.example", "no-at.example", "a@nodot", f"{'x' * 187}@club.example{pad}", f"{'x' * 188}@club.example"]
+        assert column(spark, [*mails, None], text.clean_email) == ["run.ner@club.example", None, None, None, f"{'x' * 187}@club.example", None, None]
     assert column(spark, ["short", "a" * 10, None], text.file_id_ok) == [False, True, False]
 
 
@@ -81,18 +126,32 @@ def box(spark, b, frame, expr):
 NAN = float("nan")
 
 
-@pytest.mark.parametrize(("b", "frame", "out"), [((250, 100, 500, 200), (1000, 500), (0.25, 0.2, 0.5, 0.4)), ((990, 495, 20, 20), (1000, 500), (0.99, 0.99, 0.02, 0.04)), ((-4, -2, 100, 50), (1000, 500), (0, 0, 0.1, 0.1)), ((10, 10, 20, 20), (None, None), None), ((10, 10, 20, 20), (0, 500), None), ((NAN, 0, 10, 10), (1000, 500), None)])
-def test_box_fraction(spark, b, frame, out):
-    got = box(spark, b, frame, geometry.box_fraction)
-    assert (got is None) if out is None else tuple(got) == pytest.approx(out)
-
+INF = float("inf")
 
-FITS = [((100, 100, 200, 200), (1000, 500), True), ((900, 1280, 180, 220), (2048, 1365), True), ((0, 0, 1125, 500), (1000, 500), True), ((4000, 200, 300, 300), (3200, 2133), False), ((10, 4000, 50, 200), (3200, 2133), False), ((-1200, 10, 50, 50), (3200, 2133), False), ((10, 10, 0, 50), (3200, 2133), False), ((10, 10, NAN, 50), (3200, 2133), False), ((10, 10, 50, 50), (None, None), True)]
 
-
-@pytest.mark.parametrize(("b", "frame", "out"), FITS)
-def test_box_fits(spark, b, frame, out):
-    assert box(spark, b, frame, geometry.box_fits) is out
+def test_boxes_at_every_edge(spark):
+    """Fractions are clamped, fits allow a quarter of the long edge: boxes at, just inside and just over each bound."""
+    rows = []
+    for width, height in ((640, 1200), (1600, 900), (None, 900), (640, 0), (640, None)):
+        w, h = width or 640, height or 900
+        slack = max(w, h) / 4
+        for x in (-slack - 1, -slack, 0.0, w / 3, w + slack - 40, w + slack - 39):
+            for y in (-slack - 1, -slack, 7.0, h + slack - 30, h + slack - 29):
+                rows.append((x, y, 40.0, 30.0, width, height))
+        rows += [(5.0, 5.0, 0.0, 9.0, width, height), (5.0, 5.0, 9.0, -1.0, width, height), (NAN, 5.0, 9.0, 9.0, width, height), (5.0, INF, 9.0, 9.0, width, height), (5.0, 5.0, None, 9.0, width, height)]
+    df = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "i int, x double, y double, w double, h double, width int, height int")
+    b = F.struct("x", "y", "w", "h")
+    got = df.select("i", geometry.box_fraction(b, C("width"), C("height")).alias("part"), geometry.box_fits(b, C("width"), C("height")).alias("fits")).orderBy("i").collect()
+    for (x, y, w, h, width, height), r in zip(rows, got, strict=True):
+        known = bool(width and height)
+        sound = all(v is not None and abs(v) < INF for v in (x, y, w, h))
+        if not known or not sound:
+            assert r.part is None and r.fits is (not known)
+            continue
+        clamp = lambda v: max(0.0, min(1.0, v))
+        assert tuple(r.part) == pytest.approx((clamp(x / width), clamp(y / height), clamp(w / width), clamp(h / height)))
+        slack = max(width, height) / 4
+        assert r.fits is (w > 0 and h > 0 and x >= -slack and y >= -slack and x + w <= width + slack and y + h <= height + slack)
 
 
 def test_similarity_recovers_a_turn(spark):
@@ -142,22 +201,38 @@ def test_vectors_are_written_in_order(spark, tmp_path):
     assert sorted(tuple(r) for r in back.select("event_id", "row_idx", "codes").collect()) == sorted(tuple(r) for r in rows.collect())
 
 
-REJOIN = [(("F", 24, 0, 188, 100), ("0001", 142, 0, 484, 100), True), (("F", 24, 0, 188, 100), ("0001", 435, 0, 700, 100), False), (("F", 24, 0, 188, 100), ("0001", 142, 60, 484, 160), False), (("F", 300, 0, 464, 100), ("0001", 142, 0, 484, 100), False), (("K", 24, 0, 188, 100), ("0001", 142, 0, 484, 100), False), (("f- ", 24, 0, 188, 100), ("\t0001", 142, 0, 484, 100), True), (("F", 24, 0, 500, 100), ("0001", 142, 0, 484, 100), False), (("F", 24, 0, 24.2, 0.2), ("0001", 25.5, 0, 40, 0.4), False), (("F", 24, 0, 24.2, 0.6), ("0001", 25.5, 0, 40, 0.6), True)]
+def follows(letter, digits):
+    """Whether the number stands after the letter on its line (x1, y1, x2, y2 of each)."""
+    w, h, dh = max(letter[2] - letter[0], 1), max(letter[3] - letter[1], 1), max(digits[3] - digits[1], 1)
+    gap, row = digits[0] - letter[2], min(letter[3], digits[3]) - max(letter[1], digits[1])
+    return letter[0] < digits[0] and letter[2] < digits[2] and -0.8 * w <= gap <= 1.5 * max(w, h) and row >= 0.5 * min(h, dh)
 
 
-@pytest.mark.parametrize(("letter", "digits", "merged"), REJOIN)
-def test_rejoin(spark, letter, digits, merged):
-    rows = [("c", t, conf, *map(float, b)) for (t, *b), conf in ((letter, 0.9), (digits, 0.8))]
+def test_rejoin(spark):
+    rng = random.Random(5)
+    rows, expect = [], []
+    for k in range(400):
+        x, y, w, h = rng.randint(0, 200), rng.randint(0, 60), rng.choice([0.5, 20, 90]), rng.choice([0.5, 40, 80])
+        near = x + w + rng.choice([-0.8 * w, -0.8 * w - 1, 0, 1.5 * max(w, h, 1), 1.5 * max(w, h, 1) + 1, -w - 5])
+        top = y + rng.choice([0, h / 2, h / 2 + 1, h])
+        letter, digits = (x, y, x + w, y + h), (near, top, near + rng.choice([3, 120]), top + rng.choice([0.5, h]))
+        shown, number = rng.choice(["H", "h- ", "TW", "X", "\tB-"]), rng.choice(["0815", " 77\n", "7a"])
+        rows += [(str(k), shown, 0.9, *map(float, letter)), (str(k), number, 0.6, *map(float, digits))]
+        name = shown.strip().upper().rstrip("-")
+        if name in ("H", "TW", "B") and number.strip().isdigit() and follows(letter, digits):
+            expect.append((str(k), f"{name}-{number.strip()}", 0.6))
     df = spark.createDataFrame(rows, "crop_id string, text string, conf double, x1 double, y1 double, x2 double, y2 double")
-    out = tokens.rejoin_prefixes(df, ["F", "M"]).collect()
-    extra = [r for r in out if r.text not in (letter[0], digits[0])]
-    assert len(out) == 2 + merged and [(r.text, r.conf) for r in extra] == ([("F-0001", 0.8)] if merged else [])
+    out = [(r.crop_id, r.text, r.conf) for r in tokens.rejoin_prefixes(df, ["h", "TW", "B"]).collect()]
+    assert sorted(out) == sorted([r[:3] for r in rows] + expect) and len(expect) > 40
 
 
 def test_prefer_prefixed(spark):
-    for have, left in ((["F-92", "92"], {"F-92"}), (["F-92", "7"], {"F-92", "7"}), (["92"], {"92"})):
-        df = spark.createDataFrame([("c", b, 1.0) for b in have], "crop_id string, bib string, conf double")
-        assert {r.bib for r in tokens.prefer_prefixed(df).collect()} == left
+    """A bare number goes if and only if its crop shows the same digits under a prefix."""
+    rng = random.Random(6)
+    rows = [(str(c), rng.choice(["", "H-", "TW-"]) + str(rng.randint(1, 4)), rng.random()) for c in range(60) for _ in range(rng.randint(1, 4))]
+    full = {(c, b.rpartition("-")[2]) for c, b, _ in rows if "-" in b}
+    df = spark.createDataFrame(rows, "crop_id string, bib string, conf double")
+    assert sorted(map(tuple, tokens.prefer_prefixed(df).collect())) == sorted(r for r in rows if "-" in r[1] or r[:2] not in full)
 
 
 def overlap(a, b):
@@ -207,6 +282,20 @@ def test_ties_keep_the_first_row(spark):
     assert [r.photo_id for r in first.collect()] == [1, 2, 4, 5, 7]
 
 
+def test_rows_without_a_whole_vector_have_no_score(spark):
+    rows = [(1, [1.0, 0.0]), (2, None), (3, [1.0]), (4, [0.5, None]), (5, [0.0, 1.0]), (6, [1.0, 0.0, 0.0]), (7, [])]
+    table = spark.createDataFrame(rows, "id long, vector array<double>").coalesce(1)
+    got = search.score_vectors(table, [127, 0], 0, ["id"]).collect()
+    assert sorted((r.id, r.score) for r in got) == [(1, 16129), (5, 0)]
+    whole = table.select("id", vectors.quantize_index(C("vector")).alias("codes"))
+    some = search.scores_of(whole, np.array([[127, 0]]), [9], 1)
+    assert sorted(map(tuple, some.collect())) == [(9, 1, 16129)]
+    two = whole.where("size(codes) = 2 or codes is null")
+    assert sorted((r.query, r.id) for r in search.scores_of_many(two, two, 1).collect()) == [(1, 1), (5, 5)]
+    assert search.similar_pairs(two, 0.1, 4).count() == 0
+    assert search.score_vectors(table.where("vector is null"), [127, 0], 0, ["id"]).count() == 0
+
+
 def test_a_replayed_write_changes_nothing(spark):
     bibs = spark.createDataFrame([(1, 1, "7", 0.5, "7", "ocr"), (1, 2, "8", 0.4, "8", "manual")], "event_id long, photo_id long, bib string, conf double, bib_raw string, source string")
     delta = spark.createDataFrame([(1, 1, "7", 0.9, "007", 1), (1, 1, "7", 0.8, "07", 2), (1, 2, "8", 0.9, "x", 3), (1, 3, "9", None, "9", 4)], "event_id long, photo_id long, bib string, conf double, bib_raw string, seq int")

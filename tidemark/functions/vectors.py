@@ -14,7 +14,7 @@ DEFAULT_THRESHOLD, LEAST_THRESHOLD, MOST_THRESHOLD = 0.38, 0.2, 1.0
 
 
 def _bounded(v: Column) -> Column:
-    return F.greatest(F.lit(-127.0), F.least(F.lit(127.0), v)).cast("int")
+    return F.when(v.isNotNull(), F.greatest(F.lit(-127.0), F.least(F.lit(127.0), v)).cast("int"))
 
 
 def quantize_index(vector: Column) -> Column:

@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import geometry, text, vectors
+from ..session import cut
 
 PUBLIC = ("ready", "partial")
 
@@ -39,6 +40,21 @@ def in_roster(people: DataFrame, roster: DataFrame) -> DataFrame:
     return people.join(roster.where("banned_at is null").select("email"), "email", "left_semi")
 
 
+def matrix(cells: pa.Array, dim: int) -> tuple[np.ndarray, np.ndarray]:
+    """(places, one row a place) of the vectors in a list column that have ``dim``
+    numbers; a vector that is null, of another length or holds a null is left out."""
+    lengths = np.diff(cells.offsets.to_numpy())
+    whole = cells.is_valid().to_numpy(zero_copy_only=False) & (lengths == dim)
+    inner = cells.values
+    if inner.null_count:
+        missing = np.concatenate([[0], np.cumsum(inner.is_null().to_numpy(zero_copy_only=False))])
+        ends = cells.offsets.to_numpy()
+        whole &= missing[ends[1:]] == missing[ends[:-1]]
+    at = np.flatnonzero(whole)
+    kept = cells.take(pa.array(at)).flatten()
+    return at, kept.to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(at), dim)
+
+
 def score_codes(table: DataFrame, query: list[int], codes: str = "codes") -> DataFrame:
     """``table`` with its score against one query, in the JVM."""
     return table.withColumn("score", vectors.dot(F.col(codes), F.array(*[F.lit(int(c)) for c in query])))
@@ -47,17 +63,18 @@ def score_codes(table: DataFrame, query: list[int], codes: str = "codes") -> Dat
 def score_vectors(table: DataFrame, query: list[int], least: float, keep: list[str], vector: str = "vector", top: int | None = None) -> DataFrame:
     """The columns ``keep`` (longs) and the score of the rows that reach ``least``: a
     batch of float vectors is quantized and scored by one matrix product. With
-    ``top``, of every batch only the rows that score with its best ``top``, ties too."""
+    ``top``, of every batch only the rows that score with its best ``top``, ties too.
+    Rows without a whole vector of the query's length have no score."""
     codes = np.array(query, np.float64)
     names = [*keep, "score"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            flat = batch.column(len(keep)).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(batch.num_rows, -1)
+            at, flat = matrix(batch.column(len(keep)), len(codes))
             score = (np.clip(np.rint(flat * vectors.UNIT), -vectors.UNIT, vectors.UNIT) @ codes).astype(np.int64)
             bound = least if top is None or len(score) <= top else max(least, np.partition(score, -top)[-top])
             hit = np.flatnonzero(score >= bound)
-            rows = pa.array(hit)
+            rows = pa.array(at[hit])
             yield pa.RecordBatch.from_arrays([*[c.take(rows) for c in batch.columns[: len(keep)]], pa.array(score[hit])], names)
 
     plain = table.select(*[F.col(c).cast("long").alias(c) for c in keep], vector)
@@ -69,13 +86,48 @@ def face_search(scored: DataFrame, faces: DataFrame, photos: DataFrame, sources:
     score. By default withdrawn photos count among ``top_faces`` and are dropped
     afterwards; ``live_first`` drops them before the cut."""
     hits = scored.where(F.col("score") >= threshold * vectors.SQUARE)
-    owned = faces.join(live_only(photos, sources).select("photo_id"), "photo_id", "left_semi").select("row_idx", "photo_id")
     if live_first:
-        hits = hits.join(owned.select("row_idx"), "row_idx", "left_semi")
+        owned = faces.join(live_only(photos, sources).select("photo_id"), "photo_id", "left_semi").select("row_idx")
+        hits = hits.join(owned, "row_idx", "left_semi")
+    best = best_faces(hits, faces, photos, sources, top_faces, ["row_idx"]).select("photo_id", "row_idx", "score")
+    return best.orderBy(F.desc("score"), "row_idx").limit(top_photos)
+
+
+def best_faces(hits: DataFrame, faces: DataFrame, photos: DataFrame, sources: DataFrame, top_faces: int, columns: list[str]) -> DataFrame:
+    """The best face of each live photo among the ``top_faces`` best hits: photo_id, score
+    and ``columns`` of faces and photos. The hits, which are few, go to the faces, and the
+    faces found to the photos and sources, so that no large table is shuffled."""
     top = hits.orderBy(F.desc("score"), "row_idx").limit(top_faces).select("row_idx", "score")
-    # `top_faces` rows at most
-    joined = owned.join(F.broadcast(top), "row_idx")
-    return best_per(joined, "photo_id", F.desc("score"), F.asc("row_idx")).orderBy(F.desc("score"), "row_idx").limit(top_photos)
+    found = faces.join(F.broadcast(top), "row_idx")
+    ids = F.broadcast(found.select("photo_id").distinct())  # rows of `top_faces` row numbers
+    there = photos.join(ids, "photo_id")
+    theirs = F.broadcast(there.select("source_id").distinct())
+    gone = sources.where("removed").join(theirs, "source_id").select("source_id")
+    live = there.join(F.broadcast(gone), "source_id", "left_anti").withColumnRenamed("photo_id", "p_id")
+    joined = found.join(F.broadcast(live), F.col("photo_id") == F.col("p_id"))
+    return best_per(joined.select("photo_id", "score", *columns), "photo_id", F.desc("score"), F.asc("row_idx"))
+
+
+def face_answer(scored: DataFrame, faces: DataFrame, photos: DataFrame, sources: DataFrame, threshold: float, base: str = "", top_faces: int = 200, top_photos: int = 60) -> DataFrame:
+    """What a search shows, the best first: score (a cosine), the photo's public columns and
+    the face's box in fractions of the frame (null where the frame is not known). faces has
+    bbox, photos file_id, thumb_key, width, height, taken_at."""
+    hits = scored.where(F.col("score") >= threshold * vectors.SQUARE)
+    shown = ["row_idx", "bbox", "file_id", "thumb_key", "width", "height", "taken_at"]
+    best = best_faces(hits, faces, photos, sources, top_faces, shown).orderBy(F.desc("score"), "row_idx").limit(top_photos)
+    box = geometry.box_fraction(geometry.parse_box(F.col("bbox")), F.col("width"), F.col("height"))
+    seen = public_photos(best, base).columns
+    return best.select(
+        "photo_id",
+        "row_idx",
+        (F.col("score") / vectors.SQUARE).alias("score"),
+        text.asset_url(base, F.col("thumb_key")).alias("thumb_url"),
+        text.original_url(F.col("file_id")).alias("original_url"),
+        "width",
+        "height",
+        "taken_at",
+        box.alias("box"),
+    ).select("row_idx", "score", *seen, "box")
 
 
 def best_per(df: DataFrame, key: str, *order: Column) -> DataFrame:
@@ -84,6 +136,11 @@ def best_per(df: DataFrame, key: str, *order: Column) -> DataFrame:
     return ranked.where("rank_ = 1").drop("rank_")
 
 
+def whole_only(table: DataFrame) -> DataFrame:
+    """Without the rows whose codes are null or hold a null."""
+    return table.where(F.col("codes").isNotNull() & ~F.exists("codes", lambda c: c.isNull()))
+
+
 def similar_pairs(table: DataFrame, threshold: float, rows: int, block: int = 2048) -> DataFrame:
     """(a, b, score) of all pairs a < b at or above the threshold. ``table`` has id
     and codes, ``rows`` is its size: it is cut into blocks of about ``block`` rows
@@ -91,7 +148,7 @@ def similar_pairs(table: DataFrame, threshold: float, rows: int, block: int = 20
     two blocks whatever the size. All pairs are compared; this is for sets of
     queries, not for a whole corpus."""
     blocks = max(1, -(-rows // block))
-    own = table.select("id", F.col("codes").cast("array<tinyint>").alias("codes"), F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int").alias("own"))
+    own = whole_only(table).select("id", F.col("codes").cast("array<tinyint>").alias("codes"), F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int").alias("own"))
     others = F.sequence(F.lit(0), F.lit(blocks - 1))
     dealt = own.withColumn("other", F.explode(others)).select("id", "codes", "own", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"))
     least = threshold * vectors.SQUARE
@@ -118,10 +175,10 @@ def scores_of(table: DataFrame, queries: np.ndarray, ids: list[int], least: int)
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codes, names = shared.value
         for batch in batches:
-            flat = batch.column(1).flatten().to_numpy().astype(np.float32).reshape(batch.num_rows, -1)
-            score = np.rint(flat @ codes.T).astype(np.int64)
+            at, flat = matrix(batch.column(1), codes.shape[1])
+            score = np.rint(flat.astype(np.float32) @ codes.T).astype(np.int64)
             i, j = np.nonzero(score >= least)
-            yield pa.RecordBatch.from_arrays([pa.array(names[j]), batch.column(0).take(pa.array(i)), pa.array(score[i, j])], ["query", "id", "score"])
+            yield pa.RecordBatch.from_arrays([pa.array(names[j]), batch.column(0).take(pa.array(at[i])), pa.array(score[i, j])], ["query", "id", "score"])
 
     return table.select("id", "codes").mapInArrow(run, "query long, id long, score long")
 
@@ -133,7 +190,7 @@ def scores_of_many(table: DataFrame, asked: DataFrame, least: int, block: int =
     sides = []
     for rows in (table, asked):
         blocks = max(1, -(-rows.count() // block))
-        sides.append((rows.select("id", F.col("codes").cast("array<tinyint>").alias("codes"), F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int").alias("own")), blocks))
+        sides.append((whole_only(rows).select("id", F.col("codes").cast("array<tinyint>").alias("codes"), F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int").alias("own")), blocks))
     (rows, row_blocks), (queries, query_blocks) = sides
     left = rows.select("id", "codes", F.lit(False).alias("asks"), F.col("own").alias("low"), F.explode(F.sequence(F.lit(0), F.lit(query_blocks - 1))).alias("high"))
     right = queries.select("id", "codes", F.lit(True).alias("asks"), F.explode(F.sequence(F.lit(0), F.lit(row_blocks - 1))).alias("low"), F.col("own").alias("high"))
@@ -154,18 +211,25 @@ def bib_hits(bibs: DataFrame, photos: DataFrame, sources: DataFrame, printed: st
     """photo_id, bib, conf, kind ('exact' or 'suffix'): exact hits, or with
     ``fuzzy`` and without exact ones those whose digits end in the number; one per
     photo, the surest first."""
-    spark = bibs.sparkSession
-    wanted = spark.range(1).select(text.normalize_bib(F.lit(printed), lenient=True).alias("wanted"))
-    live = bibs.join(live_only(photos, sources).select("photo_id"), "photo_id", "left_semi")
-    told = live.join(F.broadcast(wanted))
-    same = F.col("bib") == F.col("wanted")
-    prefix, digits = text.bib_prefix(F.col("wanted")), text.bib_digits(F.col("wanted"))
-    suffix = F.lit(fuzzy) & (text.bib_prefix(F.col("bib")) == prefix) & F.endswith(text.bib_digits(F.col("bib")), digits) & ~same
-    kind = F.when(same, "exact").when(suffix, "suffix")
-    found = told.where(F.col("wanted") != "").withColumn("kind", kind).where("kind is not null")
-    first = found.agg(F.min("kind").alias("first_kind"))
-    hits = found.join(F.broadcast(first), F.col("kind") == F.col("first_kind")).select("photo_id", "bib", "conf", "kind")
-    return best_per(hits, "photo_id", F.desc("conf"), F.asc("bib"))
+    wanted = text.normalize_bib(F.lit(printed), lenient=True)  # a constant, so the filter reaches the scan
+    found = matching(bibs, wanted, fuzzy)
+    live = found.join(live_only(photos, sources).select("photo_id"), "photo_id", "left_semi")
+    hits = best_per(live.select("photo_id", "bib", "conf", "kind"), "photo_id", F.asc("kind"), F.desc("conf"), F.asc("bib"))
+    if not fuzzy:
+        return hits
+    hits = cut(hits)  # found once, then asked whether an exact one is among them
+    return hits.where(F.col("kind") == ("suffix" if hits.where("kind = 'exact'").isEmpty() else "exact"))
+
+
+def matching(bibs: DataFrame, wanted: Column, fuzzy: bool) -> DataFrame:
+    """The numbers that are ``wanted`` (a constant), or with ``fuzzy`` end in its digits under the same prefix, with their kind."""
+    same = F.col("bib") == wanted
+    prefix, digits = text.bib_prefix(wanted), text.bib_digits(wanted)
+    head = F.when(prefix == "", "").otherwise(F.concat(prefix, F.lit("-")))
+    bare = F.col("bib").contains("-") == (prefix != "")
+    alike = F.startswith(F.col("bib"), head) & bare & F.endswith(text.bib_digits(F.col("bib")), digits)
+    found = bibs.where((wanted != "") & ((same | alike) if fuzzy else same))
+    return found.withColumn("kind", F.when(same, "exact").otherwise("suffix"))
 
 
 def bib_alternatives(bibs: DataFrame, printed: str, most: int = 10) -> DataFrame:
@@ -181,21 +245,20 @@ def bib_lookup(events: DataFrame, bibs: DataFrame, photos: DataFrame, sources: D
     the ``most`` surest reads. Answer, one row: bib, error ('no_bibs' where the event
     has none), matched, bib_read (the surest hit's print), alternatives, photos,
     fuzzy_available."""
-    number = text.normalize_bib(F.lit(printed), lenient=True)
-    event = visible(events).where(F.col("event_id") == event_id).select("event_id", "bibs_enabled", number.alias("wanted"))
-    asked = F.broadcast(event.where("bibs_enabled and wanted != ''"))  # one event
-    own = bibs.where(F.col("event_id") == event_id).join(asked, "event_id")
-    live = own.join(live_only(photos, sources).select("photo_id"), "photo_id", "left_semi")
-    same = F.col("bib") == F.col("wanted")
-    alike = (text.bib_prefix(F.col("bib")) == text.bib_prefix(F.col("wanted"))) & F.endswith(text.bib_digits(F.col("bib")), text.bib_digits(F.col("wanted")))
-    found = live.withColumn("kind", F.when(same, "exact").when(F.lit(fuzzy) & alike, "suffix")).where("kind is not null")
-    first = found.agg(F.min("kind").alias("first_kind"))
-    rows = found.join(F.broadcast(first), F.col("kind") == F.col("first_kind")).orderBy(F.desc("conf"), "photo_id", "bib").limit(most)
+    wanted = text.normalize_bib(F.lit(printed), lenient=True)  # a constant, so the filter reaches the scan
+    event = visible(events).where(F.col("event_id") == event_id).select("event_id", "bibs_enabled", wanted.alias("wanted"))
+    asked = F.broadcast(event.where("bibs_enabled").select("event_id"))  # one event
+    own = bibs.where(F.col("event_id") == event_id)
+    live = matching(own, wanted, fuzzy).join(asked, "event_id").join(live_only(photos, sources).select("photo_id"), "photo_id", "left_semi")
+    # `most` rows; exact ones come first, so if there are any no other one is the first
+    rows = live.orderBy("kind", F.desc("conf"), "photo_id", "bib").limit(most)
+    rows = rows.withColumn("first_", F.min("kind").over(Window.partitionBy("event_id"))).where("kind = first_")
     hits = best_per(rows.select("photo_id", "bib", "conf", "bib_raw", "kind"), "photo_id", F.desc("conf"), F.asc("bib"))
-    surest = F.min_by("bib_raw", F.struct(-F.col("conf"), "photo_id"))
+    unsure_last = F.coalesce(-F.col("conf").cast("double"), F.lit(float("inf")))
+    surest = F.min_by("bib_raw", F.struct(unsure_last, "photo_id"))
     told = hits.agg(F.count("*").alias("photos"), F.max("kind").alias("matched"), surest.alias("bib_read"))
-    digits = (text.bib_digits(F.col("bib")) == text.bib_digits(F.col("wanted"))) & ~same
-    others = own.where(digits).select("bib").distinct().orderBy("bib").limit(10).agg(F.array_sort(F.collect_list("bib")).alias("alternatives"))
+    digits = (wanted != "") & (text.bib_digits(F.col("bib")) == text.bib_digits(wanted)) & (F.col("bib") != wanted)
+    others = own.join(asked, "event_id").where(digits).select("bib").distinct().orderBy("bib").limit(10).agg(F.array_sort(F.collect_list("bib")).alias("alternatives"))
     open_ = F.col("bibs_enabled") & (F.col("wanted") != "") & (F.col("photos") == 0)
     answer = event.join(F.broadcast(told)).join(F.broadcast(others)).select(  # a row each
         F.nullif("wanted", F.lit("")).alias("bib"),
