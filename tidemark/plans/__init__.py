@@ -1,0 +1,3 @@
+"""Importing any module of this package registers the queries of all."""
+
+from . import queries, searches, storage, streams  # noqa: F401

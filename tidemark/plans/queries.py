@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -13,21 +11,8 @@ from ..operators import mutations, reports, search, tokens
 from ..sources import shards
 from ..session import shared_folder
 from ..streaming import ingest
-from .tables import VIEWS, Tables
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
-
-
-def query(sql: str | None = None) -> Callable:
-    def add(f: Callable[[Tables], DataFrame]) -> Callable[[Tables], DataFrame]:
-        QUERIES[f.__name__] = lambda spark, sf_dir: f(Tables(spark, sf_dir))
-        if sql is not None:
-            ORACLE_SQL[f.__name__] = VIEWS + sql
-        return f
-
-    return add
-
+from .registered import ORACLE_SQL, QUERIES, query  # noqa: F401
+from .tables import Tables
 
 C = F.col
 DIM = 64
