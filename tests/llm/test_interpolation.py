@@ -148,8 +148,13 @@ def test_probabilities_of_all_words_add_to_one():
         assert abs(weights.mixed(terms_, len(words))[-1][2].sum() - 1) < 1e-9
 
 
-def test_packing():
+def test_packing_and_grouping():
     rng = np.random.default_rng(2)
+    for top in (1 << 63, 1 << 12, 3):  # with keys that only differ in low bits, too
+        for n in (0, 1, 2, 5000):
+            keys = rng.integers(0, top, n).astype(np.uint64)
+            distinct, group = interpolation.grouped(keys)
+            assert np.array_equal(distinct, np.unique(keys)) and np.array_equal(distinct[group], keys)
     for n in (1, 7, 1000):
         keys = np.unique(rng.integers(0, 1 << 63, n).astype(np.uint64) * np.uint64(2))
         assert np.array_equal(interpolation.unpacked_keys(*interpolation.packed_keys(keys)), keys)
