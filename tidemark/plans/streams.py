@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import shared_folder
-from ..streaming import jobs
+from ..streaming import ingest, jobs
 from .registered import query
 from .tables import Tables
 
@@ -56,3 +56,14 @@ def job_rounds(t):
     log = log.withColumn("seq", F.col("seq").cast("long"))
     twice = log.unionByName(log.where("seq % 7 = 3")).withColumn("part", F.pmod(F.xxhash64("job_id", "seq"), F.lit(3)))
     return replayed(t, twice.repartition(3, "part").drop("part"), jobs.rounds, "rounds")
+
+
+@query("SELECT event_type, count(*) n, count(\"value\") valued, (SELECT count(*) FROM events e WHERE e.event_type = events.event_type AND e.event_id % 3 = 0) thirds FROM events GROUP BY event_type")
+def ordered_commit(t):
+    """The events taken into three tables at once, batch by batch, and what is committed of each."""
+    folder, events = scratch(t, "ordered"), t.raw("events").repartitionByRange(3, "ts")
+    events.write.parquet(f"{folder}/in")
+    sinks = [("all", lambda df: df.select("event_type", "event_id")), ("valued", lambda df: df.where("value is not null").select("event_type", "value")), ("thirds", lambda df: df.where("event_id % 3 = 0").select("event_type"))]
+    ingest.run_ordered(t.spark, f"{folder}/in", events.schema, f"{folder}/out", f"{folder}/state", sinks)
+    counts = [ingest.committed(t.spark, f"{folder}/out", name).groupBy("event_type").agg(F.count("*").alias(n)) for name, n in (("all", "n"), ("valued", "valued"), ("thirds", "thirds"))]
+    return counts[0].join(counts[1], "event_type", "left").join(counts[2], "event_type", "left").na.fill(0)

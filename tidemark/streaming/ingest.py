@@ -26,8 +26,7 @@ def run_stream(spark: SparkSession, source: str, schema: StructType | str, targe
 
     def write(df: DataFrame, batch: int) -> None:
         nonlocal batches
-        transform(df).write.mode("overwrite").parquet(f"{target}/data/batch={batch}")
-        spark.range(1).select(F.lit(batch).cast("long").alias("batch")).write.mode("overwrite").parquet(f"{target}/committed/batch_{batch}")
+        write_in_order(df, batch, target, [("data", transform)])
         batches += 1
 
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(source)
@@ -48,10 +47,36 @@ def run_stream(spark: SparkSession, source: str, schema: StructType | str, targe
     return outcome
 
 
-def committed(spark: SparkSession, target: str) -> DataFrame:
-    """The rows of committed batches, and nothing else."""
-    known = spark.read.option("recursiveFileLookup", "true").parquet(f"{target}/committed")
-    return spark.read.parquet(f"{target}/data").join(F.broadcast(known.distinct()), "batch", "left_semi")
+def write_in_order(df: DataFrame, batch: int, target: str, sinks: list[tuple[str, Callable[[DataFrame], DataFrame]]]) -> None:
+    """One batch into several tables, in their order, and its mark last. A batch has a folder
+    of its own in each table, so writing it again replaces what an attempt before has left."""
+    for name, transform in sinks:
+        transform(df).write.mode("overwrite").parquet(f"{target}/{name}/batch={batch}")
+    spark = df.sparkSession
+    spark.range(1).select(F.lit(batch).cast("long").alias("batch")).write.mode("overwrite").parquet(f"{target}/committed/batch_{batch}")
+    # batches come in order, so the last marks tell for all before them
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    fs = hadoop.Path(target).getFileSystem(spark._jsc.hadoopConfiguration())
+    old = hadoop.Path(f"{target}/committed/batch_{batch - 2}")
+    if fs.exists(old):
+        fs.delete(old, True)
+
+
+def run_ordered(spark: SparkSession, source: str, schema: StructType | str, target: str, checkpoint: str, sinks: list[tuple[str, Callable[[DataFrame], DataFrame]]], files_per_batch: int = 1) -> None:
+    """Takes the Parquet files of ``source`` in batches and each batch into all ``sinks``
+    (name, transform). Whatever ends a run, between two tables too, the next one takes the
+    batch without a mark again, and readers of ``committed`` see it in all tables or in none."""
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(source)
+    query = stream.writeStream.foreachBatch(lambda df, batch: write_in_order(df, batch, target, sinks)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    query.awaitTermination()
+
+
+def committed(spark: SparkSession, target: str, name: str = "data") -> DataFrame:
+    """The rows of a table's committed batches, and nothing else."""
+    marks = spark.read.schema("batch long").option("recursiveFileLookup", "true").parquet(f"{target}/committed")
+    last = marks.agg(F.max("batch").alias("last_"))  # a row
+    rows = spark.read.parquet(f"{target}/{name}")
+    return rows.join(F.broadcast(last), F.col("batch") <= F.col("last_")).select("batch", *[c for c in rows.columns if c != "batch"])
 
 
 def event_time(df: DataFrame, column: str = "ts") -> DataFrame:
