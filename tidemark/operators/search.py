@@ -228,7 +228,7 @@ def matching(bibs: DataFrame, wanted: Column, fuzzy: bool) -> DataFrame:
     head = F.when(prefix == "", "").otherwise(F.concat(prefix, F.lit("-")))
     bare = F.col("bib").contains("-") == (prefix != "")
     alike = F.startswith(F.col("bib"), head) & bare & F.endswith(text.bib_digits(F.col("bib")), digits)
-    found = bibs.where((wanted != "") & ((same | alike) if fuzzy else same))
+    found = bibs.where((wanted != "") & (alike if fuzzy else same))  # what is the same is alike
     return found.withColumn("kind", F.when(same, "exact").otherwise("suffix"))
 
 
