@@ -4,9 +4,10 @@ import hashlib
 import re
 from collections import Counter, defaultdict
 
+import duckdb
 import pytest
 
-from tidemark.llm import exact_dedup, mixing, registry, secrets
+from tidemark.llm import exact_dedup, mixing, oracle, registry, secrets
 
 
 def sha(text):
@@ -229,3 +230,14 @@ def test_weak_parts_count_only_together(make_docs):
 def test_registered_queries_run(spark, sf_dir):
     for name in ("op1_mixing", "op5_secrets", "op7_exact_dedup"):
         assert registry.QUERIES[name](spark, sf_dir).count() == 200
+
+
+def test_exact_report_equals_its_sql_with_null_and_repeated_ids(spark, make_docs, tmp_path):
+    rows = [(None, "a"), (None, "a"), (None, "b"), (3, "b"), (3, "b"), (5, None), (None, ""), (7, "c"), (None, "c"), (None, None)]
+    make_docs(rows).write.parquet(f"{tmp_path}/documents.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    found = con.execute(oracle.ORACLE_SQL["op7_exact_dedup"])
+    names = [d[0] for d in found.description]
+    got = registry.op7_exact_dedup(spark, str(tmp_path)).select(*names).collect()
+    assert sorted(map(str, map(tuple, got))) == sorted(map(str, found.fetchall()))

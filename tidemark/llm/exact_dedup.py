@@ -8,8 +8,9 @@ over 1/10,000 of all rows, so there are fewer than 10,000 of them and their
 list can be broadcast whatever the size of the corpus.
 
 Defined cases: a null text is the empty text; a null id is below every other
-id; rows that repeat an id and a text get the same verdict in ``dedup_report``
-and are one row in ``keep_one``; an empty table gives an empty result; extra
+id, so it stays only where all ids of a text are null; rows that repeat an id and a
+text get the same verdict in ``dedup_report`` (all of the largest id are kept there,
+null ones too) and are one row in ``keep_one``; an empty table gives an empty result; extra
 columns are ignored by ``dedup_report`` and come back unchanged, whatever their
 names, from ``keep_one``.
 """
