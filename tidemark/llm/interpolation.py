@@ -73,16 +73,17 @@ def unpacked(data: bytes) -> np.ndarray:
 
 
 def packed_keys(keys: np.ndarray) -> tuple[bytes, int]:
-    """Ascending keys as differences of as few bytes as the largest needs."""
-    steps = np.diff(keys, prepend=np.uint64(0))
-    width = max(1, (int(steps.max()).bit_length() + 7) // 8)
-    return steps.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].tobytes(), width
+    """Ascending keys as the first one and differences of as few bytes as the largest needs."""
+    steps = np.diff(keys)
+    width = max(1, (int(steps.max()).bit_length() + 7) // 8) if len(steps) else 1
+    return keys[:1].astype("<u8").tobytes() + steps.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].tobytes(), width
 
 
 def unpacked_keys(data: bytes, width: int) -> np.ndarray:
-    full = np.zeros((len(data) // width, 8), np.uint8)
-    full[:, :width] = np.frombuffer(data, np.uint8).reshape(-1, width)
-    return np.cumsum(full.view("<u8").ravel(), dtype=np.uint64)
+    first, rest = np.frombuffer(data, "<u8", 1), np.frombuffer(data, np.uint8, offset=8).reshape(-1, width)
+    full = np.zeros((len(rest), 8), np.uint8)
+    full[:, :width] = rest
+    return np.cumsum(np.concatenate([first, full.view("<u8").ravel()]), dtype=np.uint64)
 
 
 def blocks(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
