@@ -60,6 +60,22 @@ def upsert(base: DataFrame, delta: DataFrame, keys: list[str], rules: dict[str,
     return joined.select(*out)
 
 
+def insert_ignore(base: DataFrame, rows: DataFrame, keys: list[str]) -> DataFrame:
+    """``base`` and, of ``rows``, those whose keys it has not, one each (the first by ``seq`` if
+    there is one); known rows stay as they are. Null keys are like no other."""
+    fresh = rows.join(base.select(*keys).distinct(), keys, "left_anti")
+    if "seq" in rows.columns:
+        known = [F.col(k).isNotNull() for k in keys]
+        whole = known[0]
+        for k in known[1:]:
+            whole = whole & k
+        place = F.row_number().over(Window.partitionBy(*keys).orderBy("seq"))
+        fresh = fresh.withColumn("place_", F.when(whole, place).otherwise(1)).where("place_ = 1").drop("place_")
+    else:
+        fresh = fresh.dropDuplicates(keys)
+    return base.unionByName(fresh.select(*[c for c in base.columns if c in fresh.columns]), allowMissingColumns=True)
+
+
 def write_photos(photos: DataFrame, delta: DataFrame, pending: bool = True) -> DataFrame:
     """delta: event_id, file_id, source_id, thumb_key, width, height, seq. Known
     sizes are kept where none is given; faces are due again only if ``pending``."""

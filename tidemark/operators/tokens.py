@@ -53,6 +53,24 @@ def prefer_prefixed(hits: DataFrame) -> DataFrame:
     return hits.join(full, (F.col("crop_id") == F.col("p_crop")) & (F.col("bib") == F.col("p_digits")), "left_anti")
 
 
+def read_crops(tokens: DataFrame, least: object, prefixes: list[str], most: object = None, required: bool = False) -> DataFrame:
+    """crop_id, bib (as stored), conf, raw of the numbers that crops show, by an event's rule.
+    tokens: crop_id, text, conf, x1, y1, x2, y2, frame_width (of the crop's photo). A prefix is
+    rejoined first, since alone it is too narrow to be a number; what passes is brought to its
+    stored form, and only then a bare number gives way to the same digits under a prefix."""
+    whole = rejoin_prefixes(tokens, prefixes) if prefixes else tokens.select("crop_id", "text", "conf", "x1", "y1", "x2", "y2")
+    frames = tokens.groupBy("crop_id").agg(F.max("frame_width").alias("frame_width"))
+    sized = whole.join(frames, "crop_id").withColumn("width", F.col("x2") - F.col("x1"))
+    taken = accept(sized, text.bib_rule(least, prefixes, most, required)[0]).withColumn("raw", text.read_token(F.col("text")))
+    named = taken.withColumn("bib", text.normalize_bib(F.col("raw"))).where("bib != ''")
+    return prefer_prefixed(named.select("crop_id", "bib", "conf", "raw"))
+
+
+def surest_read(reads: DataFrame) -> DataFrame:
+    """One number a crop: the surest, the first number on a tie."""
+    return best_by(reads, "crop_id")
+
+
 def best_by(hits: DataFrame, *keys: str) -> DataFrame:
     """The surest row of each key, the first number on a tie."""
     order = Window.partitionBy(*keys).orderBy(F.desc("conf"), "bib")

@@ -1,3 +1,3 @@
 """Importing any module of this package registers the queries of all."""
 
-from . import directories, queries, searches, storage, streams  # noqa: F401
+from . import directories, layouts, queries, searches, storage, streams  # noqa: F401
