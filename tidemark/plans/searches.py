@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from ..functions import vectors
-from ..operators import search
-from .queries import HITS, scored
+from ..operators import blocks, search
+from .queries import DIM, DOT, HITS, codes, scored
 from .registered import query
+from .streams import scratch
 
 C = F.col
 
@@ -46,3 +48,11 @@ def face_answer(t):
     found = search.face_answer(hits, faces, photos, t.sources, 0.2, "https://cdn.example/")
     part = lambda c: F.round(C("box")[c], 6).alias(f"box_{c}")
     return found.select("row_idx", F.round("score", 6).alias("score"), *search.public_photos(photos).columns, part("x"), part("y"), part("w"))
+
+
+@query(f"SELECT q.vec_id AS query, a.vec_id id, {DOT} score FROM codes a JOIN codes q ON q.vec_id % 100 = 0 WHERE {DOT} >= 0.2 * 16129")
+def face_block_search(t):
+    """The search of every hundredth id over blocks that bounds allow; the same rows as ``face_due_queries``."""
+    table = codes(t).select(C("vec_id").cast("long").alias("id"), "codes")
+    index = blocks.build(table, scratch(t, "blocks"), DIM, 32)
+    return blocks.search(index, table.where("id % 100 = 0"), int(np.ceil(0.2 * vectors.SQUARE)))
