@@ -74,6 +74,35 @@ def test_hot_shingles_and_sizes(spark, make_docs, monkeypatch, flush):
     assert dict(got.collect()) == root
 
 
+@pytest.mark.parametrize("large", [3, 40])
+def test_large_buckets_in_blocks(spark, make_docs, monkeypatch, large):
+    """Texts that share all their first shingles, of many sizes, in blocks of a few members."""
+    monkeypatch.setattr(near_copies, "LARGE", large)
+    monkeypatch.setattr(near_copies, "STARS", 1)
+    line = prose(np.random.default_rng(1), 20)
+    rows = [(k, " ".join(line + prose(np.random.default_rng(k // 6), 6 + k // 6) + [f"own{k}"] * (k % 3))) for k in range(200)]
+    labels = spark.createDataFrame([(i, i) for i, _ in rows], "id long, label long")
+    got = dict(near_copies.join_copies(make_docs(rows), labels, sample=1, hot=1000).collect())
+    pairs = brute_kept(rows)[1]
+    root = {x: x for a, b, _ in pairs for x in (a, b)}
+    for _ in root:
+        for a, b, _ in pairs:
+            root[a] = root[b] = min(root[a], root[b])
+    assert got == root and len(pairs) > 200
+
+
+def test_every_pair_of_a_large_bucket_is_told_once(spark, monkeypatch):
+    monkeypatch.setattr(near_copies, "LARGE", 20)
+    rng = np.random.default_rng(15)
+    rows = [(1 if k % 3 else 2, int(rng.integers(0, 150)), k, int(rng.integers(1, 60)), *([0] * len(near_copies.BITS))) for k in range(400)] + [(3, k, 1000 + k, 9, *([0] * len(near_copies.BITS))) for k in range(5)]
+    names = ["key", "label", "set", "n", *near_copies.BITS]
+    small, large = near_copies._split(spark.createDataFrame(rows, ", ".join(f"{c} long" for c in names)), names)
+    assert {r.key for r in small.select("key").distinct().collect()} == {3}
+    got = [(r.a, r.b) for r in near_copies._by_bucket(large, near_copies._block_pairs, "a long, b long, need long").collect()]
+    want = {(min(a[2], b[2]), max(a[2], b[2])) for a in rows for b in rows if a[0] == b[0] < 3 and a[1] != b[1] and a[2] != b[2] and 5 * min(a[3], b[3]) >= 4 * max(a[3], b[3])}
+    assert len(got) == len(set(got)) and set(got) == want
+
+
 def test_least_common_is_never_above_the_shared_prefix():
     rng = np.random.default_rng(6)
     for _ in range(3000):

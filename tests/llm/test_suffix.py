@@ -110,3 +110,23 @@ def test_text_beyond_one_block(make_docs, monkeypatch):
     rows = [(1, half + "#" + half), (2, half[4000:4300]), (3, half[100:600])]
     got = suffix_dedup.remove_repeats(make_docs(rows)).collect()
     assert Counter(map(digest, got)) == brute(rows, 400)
+
+
+def test_two_long_texts_that_share_a_passage_are_many_arrays(spark, make_docs, monkeypatch):
+    """A copied text goes to arrays in stretches; the result is that of one array."""
+    from tidemark.llm import repeats
+
+    rng = random.Random(5)
+    long = " ".join(f"{rng.choice('abcdefgh')}{rng.randrange(5000)}" for _ in range(9000))
+    rows = [(1, long), (2, "before " + long), (3, long[20_000:30_000] + " after"), (4, "z" * 900)]
+    monkeypatch.setattr(suffix_dedup, "STRETCH", 4096)
+    rep = repeats.Repeats(repeats.byte_units, 400, 16, every=True)
+    narrow_ = repeats.narrow(make_docs(rows), "doc_id", "text")
+    groups = repeats.grouped(repeats.paired(narrow_, rep, keep=True)).where("rows > 1")
+    sizes = [(r.pair, len(r.bytes)) for r in suffix_dedup.runs(repeats.packed(narrow_), groups, rep).select("pair", "bytes").collect()]
+    per = Counter()
+    for pair, n in sizes:
+        per[pair] += n
+    assert len(per) > 10 and max(per.values()) < 4 * 4096
+    got = suffix_dedup.remove_repeats(make_docs(rows)).collect()
+    assert Counter(map(digest, got)) == brute(rows, 400)

@@ -14,7 +14,10 @@ Groups that are known already are passed as labels: pairs inside one label are
 not searched. The first rounds check each bucket's members against one of them,
 another one every round, to join large families by a linear number of pairs; only
 links that pass the exact check join labels. The last round checks all pairs of a
-bucket whose labels still differ.
+bucket whose labels still differ and whose sizes allow similarity. A bucket of over
+``LARGE`` members is split for it: by bands of size, of which only neighbours can be
+alike, and each band into blocks, of which any two are one task's work. So what a
+task holds has a bound, and the pairs of a large bucket are told by many tasks.
 
 Rows go by their shingle sets, one for each distinct set, so texts that repeat an
 id or a set need nothing special; a text without words or id is alike to none.
@@ -46,6 +49,8 @@ SKETCH = 512
 BITS = [f"b{i}" for i in range(SKETCH // 64)]
 #: Rounds that check a bucket against one member before all its pairs are.
 STARS = 2
+#: Members of a bucket, and of a block of one, that the last round takes whole.
+LARGE = 4096
 
 
 def prefix_size(n: int) -> int:
@@ -218,6 +223,53 @@ def _pairs(star: int | None) -> Callable[[Columns], Iterator[Columns]]:
     return search
 
 
+def _split(rows: DataFrame, names: list[str]) -> tuple[DataFrame, DataFrame | None]:
+    """(rows of small buckets, rows of the blocks of large ones): the latter with a key for any two
+    blocks of a band and ``tag``, which tells the block and whether the row is of the band itself."""
+    sizes = cut(rows.groupBy("key").agg(F.count("*").alias("m")).where(F.col("m") > LARGE))  # one in LARGE rows at most
+    if sizes.isEmpty():
+        return rows, None
+    large = short(sizes.select("key"))
+    cold, hot = rows.join(large, "key", "left_anti"), rows.join(large, "key")
+    band = F.floor(F.log("n") / math.log(1 / SIMILAR)).cast("long")
+    places = F.array(F.struct(band.alias("band"), F.lit(1).alias("own")), F.struct((band + 1).alias("band"), F.lit(0).alias("own")))
+    hot = hot.withColumn("p", F.explode(places)).select(*names, "p.band", "p.own")
+    # a band without rows of its own has no pairs that are not told in the one below
+    blocks = cut(hot.groupBy("key", "band").agg(F.ceil(F.count("*") / LARGE).alias("blocks"), F.max("own").alias("own")).where("own = 1").drop("own"))
+    hot = hot.join(short(blocks), ["key", "band"]).withColumn("g", F.pmod(F.xxhash64("set"), F.col("blocks")))
+    hot = hot.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    key = F.xxhash64("key", "band", F.least("g", "other"), F.greatest("g", "other"))
+    return cold, hot.withColumn("key", key).select(*names, (F.col("g") * 2 + F.col("own")).alias("tag"))
+
+
+def _block_pairs(rows: Columns) -> Iterator[Columns]:
+    """(a, b, need) of two blocks' members, as ``_pairs`` tells them of a whole bucket: between the
+    blocks, or inside where both are the same, and not between two of the band below."""
+    key, label, sets, n, *bits, tag = rows
+    starts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+    block, own = tag >> 1, (tag & 1).astype(bool)
+    for s, e in zip(starts.tolist(), [*starts[1:].tolist(), len(key)], strict=True):
+        order = s + np.argsort(n[s:e], kind="stable")  # by size, so that those which may be alike stand together
+        size, two = n[order], block[s:e].min() != block[s:e].max()
+        last = np.searchsorted(size, np.floor(size / SIMILAR + 1e-9), side="right")
+        left, right, held = [], [], 0
+        for i in range(e - s - 1):
+            j = order[i + 1 : last[i]]
+            a = order[i]
+            fits = (label[j] != label[a]) & (own[j] | own[a])
+            if two:
+                fits &= block[j] != block[a]
+            j = j[fits]
+            left.append(np.full(len(j), a))
+            right.append(j)
+            held += len(j)
+            if held >= FLUSH:
+                yield _told(np.concatenate(left), np.concatenate(right), sets, n, bits)
+                left, right, held = [], [], 0
+        if held:
+            yield _told(np.concatenate(left), np.concatenate(right), sets, n, bits)
+
+
 def _told(i: np.ndarray, j: np.ndarray, sets: np.ndarray, n: np.ndarray, bits: list[np.ndarray]) -> Columns:
     fits = np.minimum(n[i], n[j]) >= np.ceil(SIMILAR * np.maximum(n[i], n[j]) - 1e-9)
     i, j = i[fits], j[fits]
@@ -265,7 +317,11 @@ def join_copies(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text
     for star in (*range(STARS), None):
         if star != 0:
             rows = cut(_by_bucket(_renamed(rows, roots), _mixed, row))
-        met = _by_bucket(rows, _pairs(star), "a long, b long, need long").groupBy("a", "b").agg(F.count("*").alias("common"), F.min("need").alias("need"))
+        small, large = (rows, None) if star is not None else _split(rows, [x.split()[0] for x in row.split(", ")])
+        told = _by_bucket(small, _pairs(star), "a long, b long, need long")
+        if large is not None:
+            told = told.unionByName(_by_bucket(large, _block_pairs, "a long, b long, need long"))
+        met = told.groupBy("a", "b").agg(F.count("*").alias("common"), F.min("need").alias("need"))
         links = cut(links.union(_similar(cut(met.where("common >= need").select("a", "b")), texts, first)).distinct())
         roots = cut(components(links))
     return roots

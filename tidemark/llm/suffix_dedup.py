@@ -6,8 +6,8 @@ decide which windows occur more than once.
 
 A region that occurs at several places (by its digest) goes to a shard from two of
 them, the earliest and the last. All regions that two documents share in this way
-go together, those that touch as one run, so a copied text is sent about once for
-each of the two and not once a region. Other places of the region follow: they
+go together, those that touch as one run (long ones in stretches), so a copied text is
+sent about once for each of the two and not once a region. Other places of the region follow: they
 hold the bytes that the array has found twice.
 
 A region that differs from others of its anchor is cut into pieces: the windows
@@ -44,6 +44,8 @@ GRAM = 16
 MOST = 256
 #: Bytes of one suffix array; a group of equal cores is never cut.
 SHARD = 1 << 20
+#: Bytes of what two documents share that go to one array, of each of them.
+STRETCH = 1 << 19
 PIECE = "key long, doc_id long, mark long, start int, n int, lead int, low int, high int, bytes binary"
 PIECE_NAMES = [x.split()[0] for x in PIECE.split(", ")]
 RUN = "pair long, doc_id long, mark long, start int, bytes binary, at array<int>, n array<int>, d1 array<long>, d2 array<long>"
@@ -54,8 +56,10 @@ FOUND_NAMES = [x.split()[0] for x in FOUND.split(", ")]
 
 def runs(texts: DataFrame, groups: DataFrame, rep: Repeats) -> DataFrame:
     """RUN: for each two documents that are the earliest and the last to hold some
-    regions, each one's runs of them. ``groups``: d1, d2, n, first, last."""
-    pair = F.xxhash64("first.doc_id", "first.mark", "last.doc_id", "last.mark")
+    regions, each one's runs of them, in stretches of STRETCH bytes of the earliest, so that
+    two long texts are many shards. A run holds its last window whole, so stretches share
+    a window less one byte. ``groups``: d1, d2, n, first, last."""
+    pair = F.xxhash64("first.doc_id", "first.mark", "last.doc_id", "last.mark", F.floor(F.col("first.start") / STRETCH))
     region = lambda end: F.struct(pair.alias("pair"), F.col(f"{end}.start").alias("start"), "n", "d1", "d2")
     ends = [groups.select(*[F.col(f"{end}.{c}").alias(c) for c in DOC], region(end).alias("at")) for end in ("first", "last")]
     lists = ends[0].unionByName(ends[1]).groupBy(*DOC).agg(F.array_sort(F.collect_list("at")).alias("list"))
