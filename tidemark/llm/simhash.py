@@ -36,10 +36,7 @@ from .components import components
 BITS = 64
 RADIUS = 3
 MOST = 2048
-# Near copies: five-word shingles with a Jaccard similarity of at least SIMILAR. Their three-word fingerprints differ in at most WIDE bits (measured; see README).
-WIDE = 11
-WIDE_MOST = 8192
-PER_MEMBER = 4
+# Near copies: five-word shingles with a Jaccard similarity of at least SIMILAR.
 COPY_WIDTH = 5
 SIMILAR = 0.8
 SEED = 42
@@ -96,20 +93,13 @@ def covering_masks(positions: list[int], radius: int = RADIUS) -> list[int]:
     return [sum(1 << p for p, m in zip(positions, vectors, strict=True) if (m & v).bit_count() & 1) for v in range(1, top + 1)]
 
 
-def split_masks(positions: list[int], radius: int = RADIUS) -> list[int]:
-    """Covering masks for a wide radius: of ``parts`` slices of the positions one
-    has at most ``RADIUS`` of the differing bits, so each slice is covered alone."""
-    parts = -(-(radius + 1) // (RADIUS + 1))
-    return [m for k in range(parts) for m in covering_masks(positions[k::parts], min(radius, RADIUS))]
-
-
 def _signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
 def _first_tables(nodes: DataFrame, radius: int) -> DataFrame:
     """key, free (bits that the key leaves open), fp."""
-    masks = split_masks(list(range(BITS)), radius)
+    masks = covering_masks(list(range(BITS)), radius)
     rows = [F.struct(F.lit(_signed(~m & (1 << 64) - 1)).alias("free"), F.col("fp").bitwiseAND(F.lit(_signed(m))).alias("part")) for m in masks]
     return nodes.select("fp", F.explode(F.array(*rows)).alias("t")).select(F.xxhash64("t.free", "t.part").alias("key"), "t.free", "fp")
 
@@ -123,7 +113,7 @@ def _next_tables(keyed: DataFrame, radius: int) -> DataFrame:
             key, free, fp = (batch.column(i).to_numpy().view(np.uint64) for i in range(3))
             for f in np.unique(free).tolist():
                 if f not in known:
-                    known[f] = split_masks([i for i in range(BITS) if f >> i & 1], radius)
+                    known[f] = covering_masks([i for i in range(BITS) if f >> i & 1], radius)
                 at = free == np.uint64(f)
                 for mask in known[f]:
                     sub = words.mix(key[at] ^ words.mix((fp[at] & np.uint64(mask)) + words.mix(np.full(at.sum(), mask, np.uint64))))
@@ -147,28 +137,6 @@ def forest(fps: np.ndarray, radius: int) -> list[tuple[int, int]]:
     return out
 
 
-def close_pairs(fps: np.ndarray, radius: int) -> list[tuple[int, int]]:
-    """Index pairs within the radius: all of them while they are few, else each
-    member's link to the nearest one before it in a least spanning tree."""
-    n = len(fps)
-    if n <= 512:
-        i, j = np.nonzero(np.triu(np.bitwise_count(fps[:, None] ^ fps[None, :]) <= radius, 1))
-        if len(i) <= PER_MEMBER * n:
-            return list(zip(i.tolist(), j.tolist(), strict=True))
-    gap, parent, open_, out = np.full(n, 255, np.uint8), np.zeros(n, np.int64), np.ones(n, bool), []
-    for _ in range(n):
-        at = int(np.where(open_, gap, 255).argmin())
-        if not open_[at]:
-            at = int(open_.argmax())
-        if gap[at] <= radius:
-            out.append((int(parent[at]), at))
-        open_[at] = False
-        d = np.bitwise_count(fps ^ fps[at])
-        nearer = d < gap
-        gap[nearer], parent[nearer] = d[nearer], at
-    return out
-
-
 def _links(keyed: DataFrame, radius: int, join=forest) -> DataFrame:
     """Links (a, b) that ``join`` gives for every bucket; buckets have at most MOST members."""
 
