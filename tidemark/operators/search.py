@@ -239,10 +239,10 @@ def bib_alternatives(bibs: DataFrame, printed: str, most: int = 10) -> DataFrame
     return bibs.join(F.broadcast(wanted)).where(other).select("bib").distinct().orderBy("bib").limit(most)
 
 
-def bib_lookup(events: DataFrame, bibs: DataFrame, photos: DataFrame, sources: DataFrame, event_id: int, printed: str, fuzzy: bool = False, most: int = 200) -> tuple[DataFrame, DataFrame]:
+def bib_lookup(events: DataFrame, bibs: DataFrame, photos: DataFrame, sources: DataFrame, event_id: int, printed: str, fuzzy: bool = False, most: int | None = 200) -> tuple[DataFrame, DataFrame]:
     """(hits, answer) inside one public event (events has bibs_enabled, bibs has
     event_id and bib_raw). Hits: photo_id, bib, conf, bib_raw, kind, one per photo of
-    the ``most`` surest reads. Answer, one row: bib, error ('no_bibs' where the event
+    the ``most`` surest reads (None: of all). Answer, one row: bib, error ('no_bibs' where the event
     has none), matched, bib_read (the surest hit's print), alternatives, photos,
     fuzzy_available."""
     wanted = text.normalize_bib(F.lit(printed), lenient=True)  # a constant, so the filter reaches the scan
@@ -251,8 +251,12 @@ def bib_lookup(events: DataFrame, bibs: DataFrame, photos: DataFrame, sources: D
     own = bibs.where(F.col("event_id") == event_id)
     live = matching(own, wanted, fuzzy).join(asked, "event_id").join(live_only(photos, sources).select("photo_id"), "photo_id", "left_semi")
     # `most` rows; exact ones come first, so if there are any no other one is the first
-    rows = live.orderBy("kind", F.desc("conf"), "photo_id", "bib").limit(most)
-    rows = rows.withColumn("first_", F.min("kind").over(Window.partitionBy("event_id"))).where("kind = first_")
+    if most is None:  # of any number, so no task holds them all
+        first = F.broadcast(live.agg(F.min("kind").alias("first_")))  # a row
+        rows = live.join(first, F.col("kind") == F.col("first_")) if fuzzy else live
+    else:
+        rows = live.orderBy("kind", F.desc("conf"), "photo_id", "bib").limit(most)
+        rows = rows.withColumn("first_", F.min("kind").over(Window.partitionBy("event_id"))).where("kind = first_")
     hits = best_per(rows.select("photo_id", "bib", "conf", "bib_raw", "kind"), "photo_id", F.desc("conf"), F.asc("bib"))
     unsure_last = F.coalesce(-F.col("conf").cast("double"), F.lit(float("inf")))
     surest = F.min_by("bib_raw", F.struct(unsure_last, "photo_id"))
