@@ -46,3 +46,10 @@ def test_unsure_read_counts_all_photos(spark, tables):
     )
     got, expect = both(spark, folder, "bib_unsure_read")
     assert got == expect and expect[0][1] > 200
+
+
+def test_box_fits_by_the_known_side(spark, tables):
+    """Photos without a width whose boxes end far below the frame."""
+    folder = tables(lineitem="SELECT * REPLACE (l_orderkey // 50 * 50 AS l_orderkey, 200 + l_suppkey % 30 AS l_suppkey) FROM lineitem WHERE l_orderkey >= 50")
+    got, expect = both(spark, folder, "box_fits")
+    assert got == expect and {r[3] for r in got} == {True, False}

@@ -37,14 +37,16 @@ def box_fraction(box: Column, width: Column, height: Column) -> Column:
     return F.when(_frame_known(width, height) & finite(box["x"], box["y"], box["w"], box["h"]), inside)
 
 
-def box_fits(box: Column, width: Column, height: Column) -> Column:
-    """Whether the box lies in its frame, give or take a quarter of the long edge. Unknown frames pass."""
-    slack = F.greatest(width, height) * SLACK
+def box_fits(box: Column, width: Column, height: Column, by_side: bool = False) -> Column:
+    """Whether the box lies in its frame, give or take a quarter of the long edge. Unknown frames pass;
+    ``by_side`` holds the box to the one side that is known."""
+    slack = F.greatest(width, height) * SLACK  # of what is known
     inside = (
         (box["x"] >= -slack) & (box["y"] >= -slack) & (box["x"] + box["w"] <= width + slack) & (box["y"] + box["h"] <= height + slack)
     )
     sound = finite(box["x"], box["y"], box["w"], box["h"]) & (box["w"] > 0) & (box["h"] > 0)
-    return F.when(~_frame_known(width, height), F.lit(True)).otherwise(sound & inside)
+    unknown = F.coalesce(inside, F.lit(True)) if by_side else F.lit(True)
+    return F.when(~_frame_known(width, height), unknown).otherwise(sound & inside)
 
 
 def iou(a: Column, b: Column) -> Column:
