@@ -18,13 +18,14 @@ def scratch(t: Tables, name: str) -> str:
     return f"{shared_folder(t.spark)}/{name}-{np.random.default_rng().integers(1 << 60)}"
 
 
-def replayed(t: Tables, rows: DataFrame, work, name: str) -> DataFrame:
-    """What the stream ``work`` tells of ``rows``, which lie in several files, one a batch."""
+def replayed(t: Tables, parts: list[DataFrame], work, name: str) -> DataFrame:
+    """What the stream ``work`` tells of ``parts``, which come one after the other; the
+    stream stops in between and goes on from its state. A part is as many files as its tasks make."""
     folder = scratch(t, name)
-    rows.write.parquet(f"{folder}/in")
-    stream = t.spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/in")
-    found = work(stream)
-    jobs.drained(found, f"{folder}/out", f"{folder}/state")
+    for part in parts:
+        part.write.mode("append").parquet(f"{folder}/in")
+        found = work(t.spark.readStream.schema(part.schema).parquet(f"{folder}/in"))
+        jobs.drained(found, f"{folder}/out", f"{folder}/state")
     return t.spark.read.schema(found.schema).parquet(f"{folder}/out")
 
 
@@ -35,8 +36,10 @@ NEWS = "SELECT user_id job_id, epoch_ms(ts) ms, max(ts) ts, arg_max((['queued',
 SELECT job_id, status, ts quiet_since FROM q WHERE status <> 'done' AND coalesce(later > ms + 1200000, true) AND ms + 1200000 < mark""")
 def stall_alerts(t):
     """Every stretch of over 20 minutes without news of an active job, told by the stream as its watermark passes it."""
-    news = t.raw("events").selectExpr("user_id job_id", f"{STATUS} status", "cast(ts as timestamp) updated_at").repartitionByRange(2, "updated_at")
-    found = replayed(t, news, jobs.stalls, "stalls")
+    news = t.raw("events").selectExpr("user_id job_id", f"{STATUS} status", "cast(ts as timestamp) updated_at")
+    ends = news.agg(F.min("updated_at").alias("a"), F.max("updated_at").alias("b")).first()  # a row
+    half = F.lit(ends.a + (ends.b - ends.a) / 2) if ends.a else F.lit(None).cast("timestamp")
+    found = replayed(t, [news.where(F.col("updated_at") <= half), news.where(F.col("updated_at") > half)], jobs.stalls, "stalls")
     return found.withColumn("quiet_since", F.col("quiet_since").cast("timestamp_ntz"))
 
 
@@ -55,7 +58,7 @@ def job_rounds(t):
     log = t.raw("events").selectExpr("user_id job_id", "row_number() over (partition by user_id order by ts, event_id) - 1 seq", f"{KIND} kind", f"{DONE} value")
     log = log.withColumn("seq", F.col("seq").cast("long"))
     twice = log.unionByName(log.where("seq % 7 = 3")).withColumn("part", F.pmod(F.xxhash64("job_id", "seq"), F.lit(3)))
-    return replayed(t, twice.repartition(3, "part").drop("part"), jobs.rounds, "rounds")
+    return replayed(t, [twice.where(F.col("part") == k).drop("part") for k in range(3)], jobs.rounds, "rounds")
 
 
 @query("SELECT event_type, count(*) n, count(\"value\") valued, (SELECT count(*) FROM events e WHERE e.event_type = events.event_type AND e.event_id % 3 = 0) thirds FROM events GROUP BY event_type")
