@@ -19,3 +19,8 @@ def state_rows(spark, tmp_path, rows, schema, work):
 def test_stalls_hold_a_session_not_its_news(spark, tmp_path):
     rows = [(1, "running", NOON + datetime.timedelta(seconds=s)) for s in range(400)]
     assert state_rows(spark, tmp_path, rows, "job_id long, status string, updated_at timestamp", jobs.stalls) <= 2
+
+
+def test_rounds_hold_early_rows_by_stretches(spark, tmp_path):
+    rows = [(1, s, "progress", s) for s in range(1, 400)]  # the first row is missing
+    assert state_rows(spark, tmp_path, rows, "job_id long, seq long, kind string, value long", jobs.rounds) <= 4
