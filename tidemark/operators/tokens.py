@@ -48,9 +48,12 @@ def rejoin_prefixes(tokens: DataFrame, prefixes: list[str]) -> DataFrame:
 
 
 def prefer_prefixed(hits: DataFrame) -> DataFrame:
-    """hits (crop_id, bib, ...) without bare numbers that the crop also shows with a prefix."""
-    full = hits.where(text.bib_prefix(F.col("bib")) != "").select(F.col("crop_id").alias("p_crop"), text.bib_digits(F.col("bib")).alias("p_digits"))
-    return hits.join(full, (F.col("crop_id") == F.col("p_crop")) & (F.col("bib") == F.col("p_digits")), "left_anti")
+    """hits (crop_id, bib as stored, ...) without bare numbers that the crop also shows with a prefix."""
+    same = Window.partitionBy("crop_id", text.bib_digits(F.col("bib")))
+    full = text.bib_prefix(F.col("bib")) != ""
+    # one pass: hits may be the end of a long plan
+    shown = hits.withColumn("full_", full).withColumn("any_full_", F.max("full_").over(same) & F.col("crop_id").isNotNull())
+    return shown.where(F.col("full_") | ~F.col("any_full_")).drop("full_", "any_full_")
 
 
 def read_crops(tokens: DataFrame, least: object, prefixes: list[str], most: object = None, required: bool = False) -> DataFrame:
