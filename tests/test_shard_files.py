@@ -192,3 +192,15 @@ def test_an_empty_table(spark, tmp_path):
     path = f"{tmp_path}/store"
     shard_files.write_store(table(spark, [(1, 0)]).where("false"), path, DIM)
     assert stored(spark, path) == [] and shard_files.compact_store(spark, path, DIM).count() == 0
+
+
+def test_small_ranges_share_tasks(spark, tmp_path):
+    """Many shards of ten rows, read five rows at a time: few tasks, the same rows and ranges."""
+    path = f"{tmp_path}/store"
+    places = [(e, i) for e in (1, 2) for i in range(400)]
+    shard_files.write_store(table(spark, places), path, DIM, per_shard=10)
+    found = shard_files.read_store(spark, path, DIM, 5 * DIM)
+    assert found.rdd.getNumPartitions() == 1 and stored(spark, path, segment=5 * DIM) == rows_of(places)
+    reader = shard_files.ShardReader({"path": path, "dim": str(DIM), "segment": str(7 * DIM), "together": str(3 * (7 * DIM + shard_files.OPENING))})
+    parts = reader.partitions()
+    assert len(parts) < 80 and sorted(r for p in parts for b in reader.read(p) for r in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True)) == rows_of(places)

@@ -4,8 +4,9 @@ A store is a folder with ``index/<event>/<name>.bin`` (rows of ``dim`` signed by
 ``directory.parquet``, which lists the shards that exist: event_id, shard_key, row_base,
 row_count. Only what the directory lists is there; files beside it are leftovers.
 
-Reading: one partition a planned range of at most ``segment`` bytes (whole rows), each
-task opens its file, seeks and reads that range and no more. A filter on event_id or
+Reading: planned ranges of at most ``segment`` bytes (whole rows); a task opens their files,
+seeks and reads those ranges and no more. A partition is one range, or with ``together``
+neighbours in the directory up to so many bytes, so that small shards share tasks. A filter on event_id or
 shard_key prunes the plan. A missing file gives no rows, a short one the whole rows it has.
 
 Writing: rows are dealt by event and stretch of ``rows`` row numbers, so a shard is one
@@ -22,6 +23,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -37,6 +39,8 @@ from ..session import cut
 from .shards import SEGMENT, shard_states
 
 ROWS = 8192
+#: What opening a file or a range is worth in bytes when ranges share a task, and rows of a batch of theirs.
+OPENING, BATCH = 4096, 8192
 DIRECTORY = pa.schema([("event_id", pa.int64()), ("shard_key", pa.string()), ("row_base", pa.int64()), ("row_count", pa.int64())])
 SCHEMA = "event_id long, row_idx long, codes binary"
 
@@ -90,10 +94,21 @@ class Range(InputPartition):
         super().__init__((self.event_id, self.shard_key, self.first))
 
 
+@dataclass
+class Ranges(InputPartition):
+    """Ranges of several shards: (event_id, shard_key, row_base, first, rows) of each stretch, read range by range."""
+
+    of: list[tuple[int, str, int, int, int]]
+
+    def __post_init__(self) -> None:
+        super().__init__(tuple(self.of[0]))
+
+
 class ShardReader(DataSourceReader):
     def __init__(self, options: dict[str, str]) -> None:
         self.path, self.dim = options["path"], int(options["dim"])
         self.rows = max(1, int(options.get("segment", SEGMENT)) // self.dim)
+        self.together = int(options.get("together", 0))
         self.wanted: dict[str, set] = {}
 
     def pushFilters(self, filters: list[Filter]) -> Iterator[Filter]:
@@ -105,29 +120,59 @@ class ShardReader(DataSourceReader):
             else:
                 yield f
 
-    def partitions(self) -> list[Range]:
-        plan = []
+    def partitions(self) -> list[Range] | list[Ranges]:
+        plan, held, size = [], [], 0
         for s in directory(self.path).to_pylist():
-            if all(s[c] in values for c, values in self.wanted.items()):
-                plan += [Range(s["event_id"], s["shard_key"], s["row_base"], at, min(self.rows, s["row_count"] - at)) for at in range(0, s["row_count"], self.rows)]
-        return plan
-
-    def read(self, partition: Range | None) -> Iterator[pa.RecordBatch]:
+            if not all(s[c] in values for c, values in self.wanted.items()):
+                continue
+            place = (s["event_id"], s["shard_key"], s["row_base"])
+            for at in range(0, s["row_count"], self.rows):
+                rows = min(self.rows, s["row_count"] - at)
+                if not self.together:
+                    plan.append(Range(*place, at, rows))
+                    continue
+                if held and size + rows * self.dim + OPENING > self.together:
+                    plan.append(Ranges(held))
+                    held, size = [], 0
+                if held and held[-1][:3] == place:  # goes on
+                    held[-1] = (*place, held[-1][3], held[-1][4] + rows)
+                else:
+                    held.append((*place, at, rows))
+                size += rows * self.dim + OPENING
+        return plan + [Ranges(held)] if held else plan
+
+    def read(self, partition: Range | Ranges | None) -> Iterator[pa.RecordBatch]:
         if partition is None:  # an empty plan
             return
+        if isinstance(partition, Range):
+            yield from self._stretch(partition.event_id, partition.shard_key, partition.row_base, partition.first, partition.rows)
+            return
+        held: list[pa.RecordBatch] = []
+        for stretch in partition.of:
+            for batch in self._stretch(*stretch):
+                held.append(batch)
+                if batch.num_rows >= BATCH or len(held) >= BATCH // 8:
+                    yield pa.concat_batches(held)
+                    held = []
+        if held:
+            yield pa.concat_batches(held)
+
+    def _stretch(self, event_id: int, shard_key: str, row_base: int, first: int, rows: int) -> Iterator[pa.RecordBatch]:
+        """A batch of every range of ``self.rows`` rows from row ``first`` of a shard."""
         fs, root = filesystem(self.path)
-        at = shard_path(root, {"event_id": partition.event_id, "shard_key": partition.shard_key})
+        at = shard_path(root, {"event_id": event_id, "shard_key": shard_key})
         if not exists(fs, at):
             return
         with fs.open_input_file(at) as file:
             size = file.size()
-            begin = partition.first * self.dim
-            data = file.read_at(min(partition.rows * self.dim, max(0, size - begin)), begin)
-        n = len(data) // self.dim
-        if n:
-            codes = pa.FixedSizeBinaryArray.from_buffers(pa.binary(self.dim), n, [None, pa.py_buffer(data[: n * self.dim])]).cast(pa.binary())
-            idx = partition.row_base + partition.first + np.arange(n)
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(n, partition.event_id)), pa.array(idx), codes], ["event_id", "row_idx", "codes"])
+            for begin in range(first, first + rows, self.rows):
+                wanted = min(self.rows, first + rows - begin) * self.dim
+                data = file.read_at(min(wanted, max(0, size - begin * self.dim)), begin * self.dim)
+                n = len(data) // self.dim
+                if n:
+                    codes = pa.FixedSizeBinaryArray.from_buffers(pa.binary(self.dim), n, [None, pa.py_buffer(data[: n * self.dim])]).cast(pa.binary())
+                    idx = row_base + begin + np.arange(n)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(n, event_id)), pa.array(idx), codes], ["event_id", "row_idx", "codes"])
 
 
 @dataclass
@@ -193,10 +238,17 @@ class ShardWriter(DataSourceArrowWriter):
         for s in new:
             of_event.setdefault(s["event_id"], []).append(s)
         end = lambda s: s["row_base"] + s["row_count"]
+        for shards in of_event.values():
+            shards.sort(key=lambda n: n["row_base"])  # no two share a place
+        ends = {event: [end(n) for n in shards] for event, shards in of_event.items()}
         kept = []
         for s in [] if self.overwrite else directory(self.path).to_pylist():
             # rows that are written again replace the shards that held them
-            again = sum(max(0, min(end(s), end(n)) - max(s["row_base"], n["row_base"])) for n in of_event.get(s["event_id"], ()))
+            again, of = 0, of_event.get(s["event_id"], [])
+            for i in range(bisect_right(ends.get(s["event_id"], []), s["row_base"]), len(of)):
+                if of[i]["row_base"] >= end(s):
+                    break
+                again += min(end(s), end(of[i])) - max(s["row_base"], of[i]["row_base"])
             if 0 < again < s["row_count"]:
                 raise ValueError(f"shard {s['shard_key']} of event {s['event_id']} would be replaced in part")
             kept += [] if again else [s]
@@ -214,7 +266,7 @@ class ShardWriter(DataSourceArrowWriter):
 
 
 class ShardStore(DataSource):
-    """Options: path, dim; to read: segment (bytes of a range); to write: rows (of a shard), name."""
+    """Options: path, dim; to read: segment (bytes of a range), together (bytes of the ranges of a task); to write: rows (of a shard), name."""
 
     @classmethod
     def name(cls) -> str:
@@ -237,8 +289,9 @@ def registered(spark: SparkSession) -> SparkSession:
 
 
 def read_store(spark: SparkSession, path: str, dim: int, segment: int = SEGMENT) -> DataFrame:
-    """event_id, row_idx, codes (binary) of all rows that the store's directory lists."""
-    return registered(spark).read.format("tidemark_shards").option("dim", dim).option("segment", segment).load(path)
+    """event_id, row_idx, codes (binary) of all rows that the store's directory lists; a task
+    reads ranges of ``segment`` bytes at most, as many as come to ``SEGMENT`` bytes."""
+    return registered(spark).read.format("tidemark_shards").option("dim", dim).option("segment", segment).option("together", SEGMENT).load(path)
 
 
 def write_store(rows: DataFrame, path: str, dim: int, per_shard: int = ROWS, mode: str = "append", name: str = "s") -> None:
@@ -270,7 +323,8 @@ def compact_store(spark: SparkSession, path: str, dim: int, per_shard: int = 1 <
     write_store(rows.join(sound, "event_id", "left_semi"), path, dim, per_shard, name="compact-")
     if delete_old:
         now = {(s["event_id"], s["shard_key"]) for s in directory(path).to_pylist()}
-        for s in before.to_pylist():
-            if (s["event_id"], s["shard_key"]) not in now:
-                delete_shard(path, s)
+        old = [s for s in before.to_pylist() if (s["event_id"], s["shard_key"]) not in now]
+        if old:
+            gone = spark.createDataFrame(pa.Table.from_pylist(old, DIRECTORY).to_pandas()).repartition("shard_key")
+            gone.foreachPartition(lambda rows: [delete_shard(path, s.asDict()) for s in rows] and None)
     return told
