@@ -6,7 +6,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import cut
-from .tokens import SUPPRESS
+from .tokens import SUPPRESS, suppress
+
+#: Boxes of a photo that one task may hold, and photos in a list that is broadcast.
+FEW, LISTED = 1024, 262_144
 
 
 def conflicts(boxes: DataFrame, group: str, most: float) -> DataFrame:
@@ -41,11 +44,33 @@ def conflicts(boxes: DataFrame, group: str, most: float) -> DataFrame:
     return pairs.select(F.col("a_n_").alias("kept"), F.col("b_n_").alias("dropped"))
 
 
-def suppress_wide(boxes: DataFrame, group: str, most: float = SUPPRESS) -> DataFrame:
+def suppress_wide(boxes: DataFrame, group: str, most: float = SUPPRESS, few: int = FEW) -> DataFrame:
     """As ``tokens.suppress`` (boxes in the order of score, each kept unless it overlaps one that
-    was kept by over ``most``), with no photo held by one task. Rounds: a box that no open box
-    outranks is kept and drops those it overlaps, until none is open; as many as the longest
-    chain of boxes that outrank each other. Boxes without an area overlap nothing and stay."""
+    was kept by over ``most``), with no photo of over ``few`` boxes held by one task: those go by
+    rounds over a grid. Boxes without an area, a score, an id or a photo overlap nothing and stay."""
+    large = cut(boxes.groupBy(group).count().where(F.col(group).isNotNull() & (F.col("count") > few)).select(group))
+    n = large.count()
+    if n == 0:
+        return _few(boxes, group, most)
+    listed = F.broadcast(large) if n <= LISTED else large
+    small = _few(boxes.join(listed, group, "left_anti"), group, most)
+    return small.unionByName(by_rounds(boxes.join(listed, group, "left_semi"), group, most))
+
+
+def _few(boxes: DataFrame, group: str, most: float) -> DataFrame:
+    """Photos of few boxes, many of them in a task; what has no area or order is put beside."""
+    numbers = [F.col(c).cast("double") for c in ("score", "x1", "y1", "x2", "y2")]
+    whole = F.col(group).isNotNull() & F.col("box_id").isNotNull() & (F.col("x2") > F.col("x1")) & (F.col("y2") > F.col("y1"))
+    for v in numbers:
+        whole = whole & v.isNotNull() & ~F.isnan(v)
+    told = F.coalesce(whole, F.lit(False))
+    return suppress(boxes.where(told), group, most).unionByName(boxes.where(~told))
+
+
+def by_rounds(boxes: DataFrame, group: str, most: float = SUPPRESS) -> DataFrame:
+    """As ``suppress_wide``, without a photo in one task. Rounds: a box that no open box outranks
+    is kept and drops those it overlaps, until none is open; as many as the longest chain of boxes
+    that outrank each other."""
     numbered = cut(boxes.withColumn("n_", F.monotonically_increasing_id()))
     open_ = cut(conflicts(numbered, group, most))
     dropped = None
