@@ -130,3 +130,28 @@ def test_two_long_texts_that_share_a_passage_are_many_arrays(spark, make_docs, m
     assert len(per) > 10 and max(per.values()) < 4 * 4096
     got = suffix_dedup.remove_repeats(make_docs(rows)).collect()
     assert Counter(map(digest, got)) == brute(rows, 400)
+
+
+def test_long_repeats_are_sorted_by_their_first_bytes_only(monkeypatch):
+    """Copies of one text differ nowhere within a window, so no name of a suffix needs more rounds than a window has."""
+    from tidemark.llm import suffix_arrays
+
+    rng = random.Random(8)
+    one = bytes(rng.choice(b"abcd") for _ in range(30_000))
+    text = Text(one + b"\xff" + one)
+    sorts, sort = [], np.sort
+    monkeypatch.setattr(suffix_arrays.np, "sort", lambda x: sorts.append(len(x)) or sort(x))
+    order = suffix_array(text, 400)
+    assert len(sorts) <= 11
+    ends = [text.padded[i : i + 400] if i + 400 <= text.n else text.padded[i : text.n] for i in order.tolist()]
+    assert ends == sorted(ends) and sorted(order.tolist()) == list(range(text.n))
+
+
+def test_suffixes_by_a_few_bytes():
+    rng = random.Random(9)
+    for _ in range(400):
+        data = bytes(rng.choice(b"ab\xff") for _ in range(rng.randint(1, 60))) * rng.randint(1, 3)
+        depth = rng.randint(1, 12)
+        order = suffix_array(Text(data), depth).tolist()
+        heads = [data[i : i + depth] for i in order]
+        assert heads == sorted(heads) and sorted(order) == list(range(len(data)))
