@@ -183,3 +183,22 @@ def test_odd_tables(spark, make_docs):
     docs = make_docs(rows).selectExpr("*", "1 as mark", "2 as label", "3 as component_id", "4 as lost_id")
     got = simhash.keep_one_of_each(docs)
     assert got.columns == docs.columns and sorted(r.doc_id for r in got.collect()) == [1, 3, 5]
+
+
+def test_few_links_take_few_partitions(spark):
+    """A small link table is not dealt over all shuffle partitions, each of which writes files in every shuffle."""
+    from tidemark.llm.common import fitted
+    from tidemark.llm.components import components
+
+    known = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+    spark.conf.set("spark.sql.shuffle.partitions", 64)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        chain = spark.range(40).selectExpr("id a", "id + 1 b")
+        roots = components(chain)
+        assert roots.rdd.getNumPartitions() <= 64 + 1  # the links' own, and those of their distinct ends
+        assert {tuple(r) for r in roots.collect()} == {(i, 0) for i in range(41)}
+        assert fitted(spark.range(0, 100, 1, 64), 30).rdd.getNumPartitions() == 4
+    finally:
+        for k, v in known.items():
+            spark.conf.set(k, v)

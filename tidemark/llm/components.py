@@ -5,28 +5,28 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import ROWS_A_TASK, cut
 
 
-def _star(edges: DataFrame, large: bool) -> DataFrame:
+def _star(edges: DataFrame, large: bool, parts: int) -> DataFrame:
     """Hangs every node's larger (or smaller) neighbours on its least neighbour.
     Minima are combined before the shuffle and the join can be split by AQE, so a
-    node of very many links is no one task's work."""
+    node of very many links is no one task's work. At most ``parts`` partitions."""
     if large:
-        both = edges.union(edges.select("b", "a")).toDF("u", "v")
+        both = edges.union(edges.select("b", "a")).toDF("u", "v").coalesce(parts)
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         out = both.where("v > u").join(least, "u").select(F.col("v").alias("x"), F.col("m").alias("y"))
     else:
-        down = edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
+        down = edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).coalesce(parts)
         least = down.groupBy("u").agg(F.min("v").alias("m"))
         out = down.join(least, "u").select(F.col("v").alias("x"), F.col("m").alias("y")).union(least.select("u", "m"))
-    return out.where("x != y").select(F.col("x").alias("a"), F.col("y").alias("b")).distinct()
+    return out.where("x != y").select(F.col("x").alias("a"), F.col("y").alias("b")).coalesce(parts).distinct().coalesce(parts)
 
 
 def components(edges: DataFrame) -> DataFrame:
     """``edges`` (a long, b long) -> (node, root), root the least node reachable;
     only nodes that have a link. Every round is cut, so a lost executor costs a
-    round at most."""
+    round at most, and takes no more partitions than its links need."""
     edges = cut(edges.where("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
 
     def state(df: DataFrame) -> tuple:
@@ -34,7 +34,8 @@ def components(edges: DataFrame) -> DataFrame:
 
     before = state(edges)
     while before[0]:
-        edges = cut(_star(_star(edges, True), False))
+        parts = -(-before[0] // ROWS_A_TASK)
+        edges = cut(_star(_star(edges, True, parts), False, parts))
         now = state(edges)
         if now == before:
             break

@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import words
-from .common import cut, join_hot, short
+from .common import cut, fitted, join_hot, short
 from .components import components
 from .simhash import COPY_WIDTH, SIMILAR, shingles, text_mark
 
@@ -281,10 +281,10 @@ def _told(i: np.ndarray, j: np.ndarray, sets: np.ndarray, n: np.ndarray, bits: l
 
 def _similar(pairs: DataFrame, texts: DataFrame, first: DataFrame) -> DataFrame:
     """The pairs' labels (a, b) where the sets are similar. ``first``: digest, label, id, mark of one text for each set."""
-    ends = cut(pairs.select(F.explode(F.array("a", "b")).alias("digest")).distinct())
-    owners = short(cut(first.join(ends, "digest", "left_semi").select("id", "mark")))
-    sets = _sets(texts.join(owners, ["id", "mark"], "left_semi")).groupBy("digest").agg(F.min("parts").alias("parts"))
-    sets = cut(sets.join(first.select("digest", "label"), "digest"))
+    ends = fitted(cut(pairs.select(F.explode(F.array("a", "b")).alias("digest")).distinct()))
+    owners = short(fitted(cut(first.join(short(ends), "digest", "left_semi").select("digest", "label", "id", "mark"))))
+    sets = _sets(texts.join(owners.select("id", "mark"), ["id", "mark"], "left_semi")).groupBy("digest").agg(F.min("parts").alias("parts"))
+    sets = fitted(cut(sets.join(owners.select("digest", "label"), "digest")), FLUSH >> 5)
     left, right = (sets.select(F.col("digest").alias(x), F.col("label").alias(f"{x}_label"), F.col("parts").alias(f"{x}_parts")) for x in "ab")
     both = F.size(F.array_intersect("a_parts", "b_parts"))
     enough = both >= SIMILAR * (F.size("a_parts") + F.size("b_parts") - both) - 1e-9
@@ -322,6 +322,6 @@ def join_copies(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text
         if large is not None:
             told = told.unionByName(_by_bucket(large, _block_pairs, "a long, b long, need long"))
         met = told.groupBy("a", "b").agg(F.count("*").alias("common"), F.min("need").alias("need"))
-        links = cut(links.union(_similar(cut(met.where("common >= need").select("a", "b")), texts, first)).distinct())
+        links = fitted(cut(links.union(_similar(fitted(cut(met.where("common >= need").select("a", "b"))), texts, first)).distinct()))
         roots = cut(components(links))
     return roots
