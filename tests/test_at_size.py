@@ -1,11 +1,13 @@
 """Queries against their SQL on tables that hold what the small ones do not."""
 
+import re
 from pathlib import Path
 
 import duckdb
 import pytest
 
 from tidemark.plans import queries
+from tidemark.plans import tables as tables_module
 from tidemark.plans.queries import ORACLE_SQL, QUERIES
 
 SMALL = "/root/testdata/sf0.001"
@@ -58,3 +60,18 @@ def test_box_fits_by_the_known_side(spark, tables):
 
 def test_partitions_grow_with_rows(spark):
     assert queries.parts_for(spark.range(1000), 10) == 100 and queries.parts_for(spark.range(1000)) == 4
+
+
+def test_number_tables_are_dealt_by_their_rows(spark, tables, monkeypatch):
+    """The full join of an upsert takes more partitions than the session's when the lines need them."""
+    monkeypatch.setattr(tables_module, "parts_for", lambda df: 37)
+    folder = tables()
+    for name in ("bib_upsert", "bib_replace", "manual_bib"):
+        plan = QUERIES[name](spark, folder)._jdf.queryExecution().executedPlan().toString()
+        join = plan[plan.index("FullOuter") :]
+        assert not re.search(r"hashpartitioning\(.*bib.*, 4\)", join) and re.search(r"hashpartitioning\(.*bib.*, 37\)", join)
+        got, expect = both(spark, folder, name)
+        assert len(got) == len(expect) > 0
+        for g, e in zip(got, expect, strict=True):
+            assert [x for x in g if not isinstance(x, float)] == [x for x in e if not isinstance(x, float)]
+            assert [x for x in g if isinstance(x, float)] == pytest.approx([x for x in e if isinstance(x, float)])

@@ -38,13 +38,17 @@ def fold(delta: DataFrame, keys: list[str], rules: dict[str, str]) -> DataFrame:
     return delta.groupBy(*keys).agg(*[how[kind](c).alias(c) for c, kind in rules.items()])
 
 
-def upsert(base: DataFrame, delta: DataFrame, keys: list[str], rules: dict[str, Rule], when: Callable[[Callable[[str], Column]], Column] | None = None) -> DataFrame:
+def upsert(base: DataFrame, delta: DataFrame, keys: list[str], rules: dict[str, Rule], when: Callable[[Callable[[str], Column]], Column] | None = None, parts: int | None = None) -> DataFrame:
     """``base`` with ``delta`` (one row a key) put in: a new row as it is, a known
     one column by column by ``rules`` (old, new); other columns stay. ``when``
-    tells, from the old row's columns, whether it may change at all."""
+    tells, from the old row's columns, whether it may change at all. ``parts``: how
+    many partitions the tables take, if not the session's number."""
     names = base.columns
     old = base.select(F.struct(*names).alias("o"), *[F.col(k).alias(f"k_{k}") for k in keys])
     new = delta.select(F.struct(*delta.columns).alias("n"), *[F.col(k).alias(f"j_{k}") for k in keys])
+    if parts is not None:
+        own = [k for k in keys if k != "event_id"]  # a constant event is no key of the join; others come to one more shuffle
+        old, new = old.repartition(parts, *[f"k_{k}" for k in own]), new.repartition(parts, *[f"j_{k}" for k in own])
     on = F.lit(True)
     for k in keys:
         on = on & (F.col(f"k_{k}") == F.col(f"j_{k}"))
@@ -87,30 +91,36 @@ def write_photos(photos: DataFrame, delta: DataFrame, pending: bool = True) -> D
     return upsert(photos, folded, keys, rules)
 
 
-def write_bibs(bibs: DataFrame, delta: DataFrame, rejects: DataFrame, replaced: DataFrame | None = None) -> DataFrame:
+def write_bibs(bibs: DataFrame, delta: DataFrame, rejects: DataFrame, replaced: DataFrame | None = None, parts: int | None = None) -> DataFrame:
     """Read numbers (event_id, photo_id, bib, conf, bib_raw, seq): those rejected
     before are left out, read ones of ``replaced`` photos (event_id, photo_id) go
     first, the larger confidence and the last print stay, and what a person
-    entered is never changed."""
+    entered is never changed. ``parts`` as in ``upsert``."""
     keys = ["event_id", "photo_id", "bib"]
-    kept = delta.join(rejects.select("photo_id", "bib"), ["photo_id", "bib"], "left_anti")
+    pair = ["photo_id", "bib"]
+    listed = rejects.select(*pair)
+    if parts is not None:
+        delta, listed = delta.repartition(parts, *pair), listed.repartition(parts, *pair)
+    kept = delta.join(listed, pair, "left_anti")
     folded = fold(kept, keys, {"conf": "max", "bib_raw": "last"}).withColumn("source", F.lit("ocr"))
-    return upsert(drop_read(bibs, replaced), folded, keys, {"conf": larger, "bib_raw": take_new}, lambda old: old("source") == "ocr")
+    return upsert(drop_read(bibs, replaced, parts), folded, keys, {"conf": larger, "bib_raw": take_new}, lambda old: old("source") == "ocr", parts)
 
 
-def drop_read(bibs: DataFrame, photos: DataFrame | None) -> DataFrame:
+def drop_read(bibs: DataFrame, photos: DataFrame | None, parts: int | None = None) -> DataFrame:
     """Without the read numbers of ``photos``; entered ones stay."""
     if photos is None:
         return bibs
     listed = photos.select(F.col("photo_id").alias("r_photo"))
+    if parts is not None:
+        bibs, listed = bibs.repartition(parts, "photo_id"), listed.repartition(parts, "r_photo")
     return bibs.join(listed, (F.col("photo_id") == F.col("r_photo")) & (F.col("source") == "ocr"), "left_anti")
 
 
-def enter_bibs(bibs: DataFrame, delta: DataFrame) -> DataFrame:
+def enter_bibs(bibs: DataFrame, delta: DataFrame, parts: int | None = None) -> DataFrame:
     """Numbers that a person entered: event_id, photo_id, bib, bib_raw, seq."""
     keys = ["event_id", "photo_id", "bib"]
     folded = fold(delta, keys, {"bib_raw": "last"}).withColumns({"conf": F.lit(1.0), "source": F.lit("manual")})
-    return upsert(bibs, folded, keys, {"conf": take_new, "bib_raw": take_new, "source": take_new})
+    return upsert(bibs, folded, keys, {"conf": take_new, "bib_raw": take_new, "source": take_new}, parts=parts)
 
 
 def reject(rejects: DataFrame, pairs: DataFrame) -> DataFrame:

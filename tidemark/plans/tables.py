@@ -7,6 +7,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+def parts_for(df: DataFrame, rows: int = 1 << 18) -> int:
+    """Partitions of at most about ``rows`` rows, so that a task's memory does not grow with the table."""
+    return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-df.count() // rows))
+
+
 class Tables:
     def __init__(self, spark: SparkSession, sf_dir: str) -> None:
         self.spark, self.sf_dir = spark, sf_dir
@@ -44,11 +49,16 @@ class Tables:
         )
         return own.join(self.raw("customer").selectExpr("c_custkey source_id", "cast(c_nationkey as bigint) event_id"), "source_id")
 
+    @property
+    def bib_parts(self) -> int:
+        return parts_for(self.raw("lineitem"))
+
     @property
     def bibs(self) -> DataFrame:
         return (
             self.raw("lineitem")
             .selectExpr("l_orderkey photo_id", "concat(l_returnflag, '-', l_partkey % 400) bib", "1 - l_discount conf", "concat(l_returnflag, ' ', lpad(l_partkey % 400, 4, '0')) bib_raw", "case when l_linestatus = 'F' then 'ocr' else 'manual' end source")
+            .repartition(self.bib_parts, "photo_id", "bib")
             .groupBy("photo_id", "bib")
             .agg(F.max("conf").alias("conf"), F.min("bib_raw").alias("bib_raw"), F.min("source").alias("source"))
         )
