@@ -202,3 +202,41 @@ def test_few_links_take_few_partitions(spark):
     finally:
         for k, v in known.items():
             spark.conf.set(k, v)
+
+
+@pytest.mark.parametrize("sent", [1 << 18, 0])
+def test_rows_wait_without_sketches_and_are_dealt_once(spark, make_docs, monkeypatch, sent):
+    """Sketches are not dealt by bucket with every round where they can be sent; without that the roots are the same."""
+    from tidemark.llm import common
+
+    plans, by_bucket = [], near_copies._by_bucket
+
+    def seen(rows, *more):
+        out = by_bucket(rows, *more)
+        plans.append((near_copies.BITS[0] in rows.columns, "hashpartitioning(key" in out._jdf.queryExecution().executedPlan().toString()))
+        return out
+
+    monkeypatch.setattr(near_copies, "_by_bucket", seen)
+    monkeypatch.setattr(common, "MOST_SENT", sent)
+    line = prose(np.random.default_rng(2), 25)
+    rows = [(k, " ".join(line[: k % 26] + prose(np.random.default_rng(k // 3), 40) + [f"own{k}"] * (k % 3))) for k in range(120)]
+    labels = spark.createDataFrame([(i, i) for i, _ in rows], "id long, label long")
+    got = dict(near_copies.join_copies(make_docs(rows), labels, sample=1, hot=1000).collect())
+    pairs = brute_kept(rows)[1]
+    root = {x: x for a, b, _ in pairs for x in (a, b)}
+    for _ in root:
+        for a, b, _ in pairs:
+            root[a] = root[b] = min(root[a], root[b])
+    assert got == root and len(root) > 50
+    assert sum(wide for wide, _ in plans) == near_copies.STARS + 1
+    if sent:
+        assert [dealt for _, dealt in plans] == [True] + [False] * (len(plans) - 1)
+
+
+def test_rows_without_a_partner_of_their_size_are_left_out():
+    rng = np.random.default_rng(7)
+    rows = np.unique(np.column_stack([rng.integers(0, 60, 500), rng.integers(0, 6, 500), np.arange(500), rng.integers(1, 90, 500)]), axis=0)
+    rows = rows[np.lexsort((rows[:, 2], rows[:, 1], rows[:, 0]))]
+    want = [tuple(a) for a in rows if any(a[0] == b[0] and a[1] != b[1] and 5 * min(a[3], b[3]) >= 4 * max(a[3], b[3]) for b in rows)]
+    (got,) = near_copies._mixed(tuple(rows.T))
+    assert list(zip(*(x.tolist() for x in got), strict=True)) == [tuple(map(int, a)) for a in want] and 0 < len(want) < 500

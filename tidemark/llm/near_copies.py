@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import words
-from .common import cut, fitted, join_hot, short
+from .common import beside, cut, fitted, join_hot, short
 from .components import components
 from .simhash import COPY_WIDTH, SIMILAR, shingles, text_mark
 
@@ -144,10 +144,10 @@ def prefixes(texts: DataFrame, hot: np.ndarray | None = None) -> DataFrame:
 Columns = tuple[np.ndarray, ...]
 
 
-def _by_bucket(rows: DataFrame, search: Callable[[Columns], Iterator[Columns]], schema: str) -> DataFrame:
+def _by_bucket(rows: DataFrame, search: Callable[[Columns], Iterator[Columns]], schema: str, dealt: bool = False) -> DataFrame:
     """``search`` over whole buckets of ``rows`` (key, label, set, n and perhaps BITS,
     all longs), in the order of key, label and set; one call has all buckets that end
-    in a batch."""
+    in a batch. ``dealt``: every bucket lies in one partition already, so no row moves."""
     names = [x.split()[0] for x in schema.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -171,16 +171,28 @@ def _by_bucket(rows: DataFrame, search: Callable[[Columns], Iterator[Columns]],
         if held:
             yield from searched(tuple(np.concatenate(h) for h in held))
 
-    return rows.repartition("key").sortWithinPartitions("key", "label", "set").mapInArrow(run, schema)
+    return (rows if dealt else rows.repartition("key")).sortWithinPartitions("key", "label", "set").mapInArrow(run, schema)
 
 
 def _mixed(rows: Columns) -> Iterator[Columns]:
-    """The rows of buckets with more than one label."""
-    key, label = rows[0], rows[1]
-    starts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
-    size = np.diff(np.concatenate([starts, [len(key)]]))
-    keep = np.repeat(label[starts] != label[starts + size - 1], size)  # labels are in order
-    yield tuple(x[keep] for x in rows)
+    """The rows that have one under another label in their bucket, of a size that allows similarity."""
+    new = np.concatenate([[True], rows[0][1:] != rows[0][:-1]])
+    starts = np.flatnonzero(new)
+    size = np.diff(np.concatenate([starts, [len(new)]]))
+    several = np.repeat(rows[1][starts] != rows[1][starts + size - 1], size)  # labels are in order
+    key, label, sets, n = (x[several] for x in rows)
+    bucket = np.cumsum(new[several])
+    run = np.cumsum(np.concatenate([[True], (key[1:] != key[:-1]) | (label[1:] != label[:-1])])[: len(key)])
+    least, most = np.ceil(SIMILAR * n - 1e-6).astype(np.int64), np.floor(n / SIMILAR + 1e-6).astype(np.int64)
+
+    def fitting(group: np.ndarray) -> np.ndarray:
+        """Rows of each one's group whose sizes fit its own."""
+        group = group << 32
+        order = np.sort(group + n)
+        return np.searchsorted(order, group + most, side="right") - np.searchsorted(order, group + least)
+
+    keep = fitting(bucket) > fitting(run)
+    yield key[keep], label[keep], sets[keep], n[keep]
 
 
 def _pairs(star: int | None) -> Callable[[Columns], Iterator[Columns]]:
@@ -291,9 +303,10 @@ def _similar(pairs: DataFrame, texts: DataFrame, first: DataFrame) -> DataFrame:
     return pairs.join(left, "a").join(right, "b").where(enough).select(F.col("a_label").alias("a"), F.col("b_label").alias("b")).distinct()
 
 
-def _renamed(rows: DataFrame, roots: DataFrame) -> DataFrame:
-    new = short(roots.select(F.col("node").alias("label"), "root"))
-    return rows.join(new, "label", "left").withColumn("label", F.coalesce("root", "label")).select(*rows.columns)
+def _renamed(rows: DataFrame, roots: DataFrame) -> tuple[DataFrame, bool]:
+    """``rows`` under the roots of their labels, and whether they stayed in their partitions."""
+    out, stayed = beside(rows, roots.select(F.col("node").alias("label"), "root"), "label", "left")
+    return out.withColumn("label", F.coalesce("root", "label")).select(*rows.columns), stayed
 
 
 def join_copies(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE, hot: int = HOT) -> DataFrame:
@@ -310,17 +323,21 @@ def join_copies(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text
     roots = cut(components(links))
     owners = short(cut(first.select("id", "mark", "label", F.col("digest").alias("set"))))
     rows = prefixes(texts, late).join(owners, ["id", "mark"]).where("digest = set").select(F.explode("prefix").alias("key"), "label", "set", "n")
-    row = "key long, label long, set long, n long"
+    row, found = "key long, label long, set long, n long", "a long, b long, need long"
+    names = rows.columns
     rows = cut(_by_bucket(rows, _mixed, row))
-    rows = rows.join(short(cut(first.select(F.col("digest").alias("set"), *BITS))), "set").select("key", "label", "set", "n", *BITS)
-    row += "".join(f", {b} long" for b in BITS)
+    sketches = cut(first.select(F.col("digest").alias("set"), *BITS))
     for star in (*range(STARS), None):
         if star != 0:
-            rows = cut(_by_bucket(_renamed(rows, roots), _mixed, row))
-        small, large = (rows, None) if star is not None else _split(rows, [x.split()[0] for x in row.split(", ")])
-        told = _by_bucket(small, _pairs(star), "a long, b long, need long")
+            renamed, stayed = _renamed(rows, roots)
+            rows = cut(_by_bucket(renamed, _mixed, row, stayed))
+        # rows wait without their sketches, whole buckets in a partition, which get them when pairs are told
+        small, large = (rows, None) if star is not None else _split(rows, names)
+        wide, stayed = beside(small, sketches, "set")
+        told = _by_bucket(wide.select(*names, *BITS), _pairs(star), found, stayed and large is None)
         if large is not None:
-            told = told.unionByName(_by_bucket(large, _block_pairs, "a long, b long, need long"))
+            wide = beside(large, sketches, "set")[0]
+            told = told.unionByName(_by_bucket(wide.select(*names, *BITS, "tag"), _block_pairs, found))
         met = told.groupBy("a", "b").agg(F.count("*").alias("common"), F.min("need").alias("need"))
         links = fitted(cut(links.union(_similar(fitted(cut(met.where("common >= need").select("a", "b"))), texts, first)).distinct()))
         roots = cut(components(links))
