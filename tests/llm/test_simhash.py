@@ -1,4 +1,5 @@
 import re
+import uuid
 from collections import Counter
 
 import numpy as np
@@ -84,6 +85,40 @@ def test_components_of_chain_and_star(spark):
     assert got == {i: 0 for i in range(41)} | {100 + i: 100 for i in range(50)}
 
 
+def jobs_of(spark, make):
+    """The rows that ``make`` gives, and how many Spark jobs it took."""
+    group = f"jobs-{uuid.uuid4()}"
+    spark.sparkContext.setJobGroup(group, "")
+    try:
+        return make().collect(), len(spark.sparkContext.statusTracker().getJobIdsForGroup(group))
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+
+
+def test_components_take_few_jobs(spark):
+    """A long chain in odd order takes no rounds of stars, whose plans fill the driver's memory, as long as one task may have all links."""
+    order = [int(x) for x in np.random.default_rng(3).permutation(3000)]
+    chain = spark.createDataFrame(list(zip(order, order[1:])), "a long, b long").repartition(3)
+    got, jobs = jobs_of(spark, lambda: components(chain))
+    assert {tuple(r) for r in got} == {(i, 0) for i in range(3000)} and jobs <= 16
+
+
+@pytest.mark.parametrize("most", [1, 50, 1 << 18])
+def test_components_of_many_links_go_by_rounds(spark, most):
+    rng = np.random.default_rng(4)
+    links = [tuple(x) for x in rng.integers(-150, 150, (140, 2)).tolist()] * 2 + [(i, i + 1) for i in range(1000, 1060)] + [(None, 5), (7, 7)]
+    root = {x: x for pair in links if None not in pair and pair[0] != pair[1] for x in pair}
+    changed = True
+    while changed:
+        changed = False
+        for a, b in links:
+            if a in root and b in root and a != b and root[a] != root[b]:
+                root[a] = root[b] = min(root[a], root[b])
+                changed = True
+    got = components(spark.createDataFrame(links, "a long, b long").repartition(3), most).collect()
+    assert len(got) == len(root) and {r.node: r.root for r in got} == root
+
+
 def test_empty_table_and_extra_columns(make_docs):
     assert simhash.near_groups(make_docs([])).count() == 0
     docs = make_docs([(2, "a b c"), (1, "A b c"), (3, "else where now")]).selectExpr("*", "1 as fp", "2 as component_id")
